@@ -307,4 +307,6 @@ def oracle_ctes() -> list[tuple[str, str]]:
 def with_ctes(sql: str) -> str:
     """A query over the curated tables as one statement for the oracle."""
     parts = ",\n".join(f"{name} AS ({body})" for name, body in oracle_ctes())
-    return f"WITH {parts}\n{sql}"
+    sql = sql.strip()
+    more = sql.upper().startswith("WITH ")
+    return f"WITH {parts}" + (f",\n{sql[5:]}" if more else f"\n{sql}")

@@ -31,12 +31,12 @@ def share_within(
     """Value as a share of its group's total (or of everything)."""
     if not by:
         total = df.agg(F.sum(value).alias("t"))
-        return df.withColumn(name, F.col(value) / total.select("t").scalar())
+        return df.withColumn(name, F.try_divide(F.col(value), total.select("t").scalar()))
     totals = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.sum(value).alias("__total"))
     cond = [df[c].eqNullSafe(F.col(f"__{c}")) for c in by]
     return (
         df.join(totals, cond, "left")
-        .withColumn(name, F.col(value) / F.col("__total"))
+        .withColumn(name, F.try_divide(value, "__total"))
         .drop("__total", *[f"__{c}" for c in by])
     )
 
