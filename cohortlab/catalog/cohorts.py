@@ -323,8 +323,8 @@ def declared_at_first_course(spark, d):
 
 @query(
     "language_shares",
-    """SELECT source, lang, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share
-       FROM documents GROUP BY ALL""",
+    """SELECT source, lang, n, round(n / sum(n) OVER (PARTITION BY source), 6) AS share
+       FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL)""",
 )
 def language_shares(spark, d):
     counts = summaries.count_by(table(spark, d, "documents").select("source", "lang"), "source", "lang")

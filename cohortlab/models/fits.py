@@ -162,7 +162,7 @@ def tidy(spark: SparkSession, specs: Sequence[ModelSpec], fits: dict[str, Fit])
         for component, model in fits[s.model_idx].parts.items():
             for i, (term, estimate, se) in enumerate(model.results()):
                 rows.append(
-                    (s.model_idx, component, i, term, estimate, se, int(model.n), model.converged)
+                    (s.model_idx, component, i, term, estimate, se, int(model.n), bool(model.converged))
                 )
     return spark.createDataFrame(
         rows,
