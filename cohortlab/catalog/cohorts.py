@@ -244,8 +244,7 @@ def group_gaps(spark, d):
 
 @query("reference_gap", "SELECT round(ref, 6) + 0.0 AS ref FROM ref_gap", curated=True)
 def reference_gap(spark, d):
-    c = curated(spark, d)
-    df = c["crs_1"].join(c["profile_clean"].select("id", "demographic"), "id", "left")
+    df = curated(spark, d)["student_facts"]
     ref = summaries.mean_of_means(df.filter(F.col("demographic") == "M.White"), "grade_diff", ["id"], "ref")
     return rounded(ref, "ref")
 
@@ -414,9 +413,7 @@ def women_share_lines(spark, d):
     c = curated(spark, d)
     courses = verbs.distinct_rows(c["crs"].select("term", "course_id", "women_share"))
     line = summaries.mean_se(courses, "women_share", ["term"]).drop("se")
-    people = verbs.distinct_rows(c["crs_1"].select("id", "term")).join(
-        c["profile_clean"].select("id", "gender"), "id", "left"
-    )
+    people = verbs.distinct_rows(c["student_facts"].select("id", "term", "gender"))
     campus = people.filter(terms.term_year("term").between(1996, 2000)).groupBy("term").agg(
         F.avg((F.col("gender") == "F").cast("int")).alias("mean")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.catalog import standin
 from cohortlab.plans import registrar
 from cohortlab.plans.regressions import model_table
+from cohortlab.session import staged
 from cohortlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The registrar plan over the stand-in tables, lazy."""
+    """The registrar plan over the stand-in tables, its shared stages stored."""
     t = standin.tables(spark, folder)
     raw = {
         "raw_profile": standin.profile(t),
@@ -44,7 +45,7 @@ def curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "faculty": standin.faculty(t),
         "division": standin.course_division(t),
     }
-    out = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"])
+    out = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"], staged)
     out["modelled"] = model_table(out["analysis"], raw["faculty"], raw["division"])
     return {**t, **raw, **out}
 

@@ -6,6 +6,8 @@ course) and ``major_term`` (one wide row per student).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +125,14 @@ def course_facts(phi_crs: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def course_totals(facts: DataFrame, students: DataFrame) -> DataFrame:
-    """Size, means, counts and shares per course."""
-    df = natural_join(facts, students)
-    out = df.groupBy("course_id").agg(
+def student_facts(facts: DataFrame, students: DataFrame) -> DataFrame:
+    """Facts with the columns of their student; the one table the rest reads."""
+    return natural_join(facts, students)
+
+
+def course_totals(facts: DataFrame) -> DataFrame:
+    """Size, means, counts and shares per course, from the student facts."""
+    out = facts.groupBy("course_id").agg(
         F.count(F.lit(1)).alias("n_students"),
         F.avg("grade").alias("mean_grade"),
         F.avg("term_cum_gpa").alias("mean_cum_gpa"),
@@ -143,10 +149,9 @@ def course_totals(facts: DataFrame, students: DataFrame) -> DataFrame:
     return shares_of(out, columns_between(out, "women", "undeclared"), "n_students")
 
 
-def course_gaps(facts: DataFrame, students: DataFrame) -> DataFrame:
+def course_gaps(facts: DataFrame) -> DataFrame:
     """Gap of each demographic group in each course against the reference."""
-    df = natural_join(facts.select("id", "course_id", "grade_diff"), students.select("id", "demographic"))
-    return group_gap(df, "grade_diff", ["course_id"], "demographic", ["id"], REFERENCE)
+    return group_gap(facts, "grade_diff", ["course_id"], "demographic", ["id"], REFERENCE)
 
 
 FIRST_FLAGS = ["human_dev", "bio_sci", "soc", "undeclared"]
@@ -211,38 +216,36 @@ def course_table(courses: DataFrame) -> DataFrame:
     return courses.withColumns({"major": explicit_missing("major"), "term_posix": term_date("term")})
 
 
-def analysis_table(
-    students: DataFrame, facts: DataFrame, totals: DataFrame, gaps: DataFrame
-) -> DataFrame:
+def analysis_table(facts: DataFrame, totals: DataFrame, gaps: DataFrame) -> DataFrame:
     """First courses of students with a binary gender in a named group.
 
-    The first-term rows are taken from the facts directly: nesting them per
-    student and joining them back to the facts would give the same rows after
-    two more shuffles of the facts.
+    ``facts`` are the student facts. Their first-term rows are used directly:
+    nesting them per student and joining them back to the facts would give the
+    same rows after two more shuffles of the facts.
     """
     names = columns_between(totals, "current_phil", "undeclared")
-    first = first_rows(facts).withColumns(
+    first = first_rows(facts).filter(
+        (F.col("gender") != "N")
+        & (F.col("race4") != "Other")
+        & F.col("major").isNotNull()
+        & F.col("grade").isNotNull()
+        & F.col("term_cum_gpa").isNotNull()
+    )
+    first = first.withColumns(
         {
             "major_at_first_phil": F.col("major"),
             "phil_at_first_phil": F.col("current_phil"),
             **{f"{c}_student": F.col(c) for c in names},
             "n_later_phil": F.col("n_phil") - F.col("n_first_phil"),
         }
-    )
-    first = first.drop("current_phil", "other_major")
-    first = first.filter(
-        F.col("major_at_first_phil").isNotNull()
-        & F.col("grade").isNotNull()
-        & F.col("term_cum_gpa").isNotNull()
-    )
-    people = students.filter((F.col("gender") != "N") & (F.col("race4") != "Other"))
-    people = across(people, ["ethnicity", "ethnicity_code"], explicit_missing)
-    df = people.join(first, "id")
-    clash = set(people.columns) - {"id"}
+    ).drop("current_phil", "other_major")
+    first = across(first, ["ethnicity", "ethnicity_code"], explicit_missing)
+    clash = set(first.columns) - {"course_id"}
     courses = totals.withColumnsRenamed(
-        {c: f"{c}_course" for c in names} | {c: f"{c}_class" for c in totals.columns if c in clash}
+        {c: f"{c}_course" for c in names}
+        | {c: f"{c}_class" for c in totals.columns if c in clash and c not in names}
     )
-    df = keyed_join(df, courses, ["course_id"], "left")
+    df = keyed_join(first, courses, ["course_id"], "left")
     df = keyed_join(df, gaps, ["course_id", "demographic"], "left")
     return df.withColumns(
         {
@@ -256,22 +259,35 @@ def analysis_table(
     )
 
 
-def build(profile: DataFrame, phi_crs: DataFrame, major_term: DataFrame) -> dict[str, DataFrame]:
-    """All stages of the plan, lazy, by name."""
-    calendar = student_calendar(major_term)
+def build(
+    profile: DataFrame,
+    phi_crs: DataFrame,
+    major_term: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+) -> dict[str, DataFrame]:
+    """All stages of the plan by name.
+
+    ``keep`` may store the calendar and the student facts, which all other
+    stages read; without it everything stays lazy.
+    """
+    calendar = keep(student_calendar(major_term), "calendar")
     students = clean_profile(profile, ever_majored(calendar))
     facts = course_facts(phi_crs, calendar)
-    totals = course_totals(facts, students)
-    gaps = course_gaps(facts, students)
+    names = facts.columns
+    wide = keep(student_facts(facts, students), "student_facts")
+    facts = wide.select(*names)
+    totals = course_totals(wide)
+    gaps = course_gaps(wide)
     nested = first_course_nested(facts)
     return {
         "calendar": calendar,
         "profile_clean": students,
+        "student_facts": wide,
         "crs_1": facts,
         "crs_2": totals,
         "dmg": gaps,
         "crs_4": nested,
         "crs": clean_courses(facts, totals),
         "profile": student_table(students, nested),
-        "analysis": analysis_table(students, facts, totals, gaps),
+        "analysis": analysis_table(wide, totals, gaps),
     }
