@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from cohortlab.models.design import Design
 from cohortlab.models.kernels import (
     BiasReduced,
+    Block,
     Linear,
     Logistic,
     Model,
@@ -41,6 +42,7 @@ FITTERS: dict[str, dict[str | None, type[Model]]] = {
 }
 
 FAN_IN = 64
+BLOCK_ROWS = 2048  # a block of design rows stays in a core's cache
 
 
 @dataclass
@@ -79,18 +81,17 @@ class Fit:
 
 def _local_sums(models: dict[int, Model], names: Sequence[str], width: int):
     """Task function: batches of the design table to one vector per model."""
-    where = {name: width + i for i, name in enumerate(names)}
 
     def run(batches):
         sums = {k: np.zeros(m.size()) for k, m in models.items()}
         for batch in batches:
-            block = np.column_stack(
-                [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns]
-            )
-            x = block[:, :width]
-            for k, m in models.items():
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for i in range(0, batch.num_rows, BLOCK_ROWS):
+                part = [c[i : i + BLOCK_ROWS] for c in columns]
+                block = Block(part[:width], dict(zip(names, part[width:])))
                 with np.errstate(all="ignore"):
-                    sums[k] += m.local(x, block[:, where[m.y]])
+                    for k, m in models.items():
+                        sums[k] += m.local(block)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(list(sums), pa.int32()),
@@ -150,7 +151,7 @@ def fit_sweep(design: Design, specs: Sequence[ModelSpec], stage: bool = True) ->
     ys = sorted({design.outcomes[s.outcome] for s in specs})
     table = design.table.select(*[f"x{i}" for i in range(design.width)], *ys)
     if stage:
-        table = staged(table, "design")
+        table = staged(table, "design", spread=True)
     run_lockstep(table, design.width, [m for f in fits.values() for m in f.parts.values()])
     return {s.model_idx: fits[s.formula] for s in specs}
 

@@ -63,8 +63,29 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    values, back = np.unique(np.asarray(x, float), return_inverse=True)
-    return np.array([math.lgamma(v) for v in values])[back]
+    return np.array([math.lgamma(v) for v in x])
+
+
+class Block:
+    """One batch of the design table; design rows are built once per term set."""
+
+    def __init__(self, base, outcomes):
+        self.base = base  # arrays of the base columns
+        self.outcomes = outcomes  # outcome column -> array
+        self.built = {}
+
+    def design(self, columns):
+        """Design as (columns x rows) and which rows are complete."""
+        key = tuple(columns)
+        if key not in self.built:
+            n = len(next(iter(self.outcomes.values())))
+            out = np.empty((len(columns), n))
+            for j, idx in enumerate(columns):
+                out[j] = self.base[idx[0]] if idx else 1.0
+                for i in idx[1:]:
+                    out[j] *= self.base[i]
+            self.built[key] = out, np.isfinite(out.sum(axis=0))
+        return self.built[key]
 
 
 class Model:
@@ -85,15 +106,16 @@ class Model:
         self.done = False
         self.converged = False
 
-    def rows(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Design rows of this model's complete cases."""
-        cols = [self.columns[j] for j in self.keep]
-        out = np.ones((len(y), len(cols)))
-        for j, idx in enumerate(cols):
-            for i in idx:
-                out[:, j] *= x[:, i]
-        ok = np.isfinite(y) & np.isfinite(out).all(axis=1)
-        return out[ok], y[ok]
+    def outcome(self, y: np.ndarray) -> np.ndarray:
+        """The modelled outcome; NaN leaves a row out."""
+        return y
+
+    def rows(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Complete cases: design as (columns x rows), and the outcome."""
+        a, ok = block.design([tuple(self.columns[j]) for j in self.keep])
+        y = self.outcome(block.outcomes[self.y])
+        ok = ok & np.isfinite(y)
+        return (a, y) if ok.all() else (a[:, ok], y[ok])
 
     def size(self) -> int:
         p = len(self.keep)
@@ -123,9 +145,9 @@ class Model:
 class Linear(Model):
     """Least squares from one pass of cross products."""
 
-    def local(self, x, y):
-        a, y = self.rows(x, y)
-        return self.pack(len(y), float(y @ y), a.T @ y, a.T @ a)
+    def local(self, block):
+        a, y = self.rows(block)
+        return self.pack(len(y), float(y @ y), a @ y, a @ a.T)
 
     def advance(self, total):
         self.n, yy, xy, info = self.unpack(total)
@@ -157,18 +179,17 @@ class Glm(Model):
     def deviance(self, y, mu):
         raise NotImplementedError
 
-    def local(self, x, y):
-        a, y = self.rows(x, y)
+    def local(self, block):
+        a, y = self.rows(block)
         if self.beta is None:
             mu = self.start(y)
             w = self.weight(mu)
-            score = a.T @ (w * self.link(mu) + (y - mu))
-            return self.pack(len(y), 0.0, score, (a * w[:, None]).T @ a)
-        mu = self.mean(a @ self.beta)
+            # weighted working response; its link is that of the starting mean
+            score = a @ (w * self.link(mu) + (y - mu))
+            return self.pack(len(y), 0.0, score, (a * w) @ a.T)
+        mu = self.mean(self.beta @ a)
         w = self.weight(mu)
-        return self.pack(
-            len(y), float(self.deviance(y, mu)), a.T @ (y - mu), (a * w[:, None]).T @ a
-        )
+        return self.pack(len(y), float(self.deviance(y, mu)), a @ (y - mu), (a * w) @ a.T)
 
     def advance(self, total):
         self.n, dev, score, info = self.unpack(total)
@@ -202,7 +223,6 @@ class Logistic(Glm):
         return (y + 0.5) / 2
 
     def link(self, mu):
-        # working response times weight uses the link of the starting mean
         return np.log(mu / (1 - mu))
 
     def deviance(self, y, mu):
@@ -213,8 +233,8 @@ class Logistic(Glm):
 class Positive(Logistic):
     """Logistic model of ``y > 0``, the zero part of a hurdle model."""
 
-    def rows(self, x, y):
-        return super().rows(x, np.where(np.isfinite(y), (y > 0).astype(float), y))
+    def outcome(self, y):
+        return np.where(np.isfinite(y), (y > 0).astype(float), y)
 
 
 class Poisson(Glm):
@@ -245,15 +265,15 @@ class BiasReduced(Logistic):
 
     max_rounds = 60
 
-    def local(self, x, y):
-        a, y = self.rows(x, y)
+    def local(self, block):
+        a, y = self.rows(block)
         if self.beta is None:
-            return self.pack(len(y), 0.0, a.T @ (y - 0.5), (a * 0.25).T @ a)
-        mu = self.mean(a @ self.beta)
+            return self.pack(len(y), 0.0, a @ (y - 0.5), (a * 0.25) @ a.T)
+        mu = self.mean(self.beta @ a)
         w = self.weight(mu)
-        lev = w * np.einsum("ij,jk,ik->i", a, self.cov, a)
-        score = a.T @ (y - mu + lev * (0.5 - mu))
-        return self.pack(len(y), 0.0, score, (a * w[:, None]).T @ a)
+        lev = w * ((self.cov @ a) * a).sum(axis=0)
+        score = a @ (y - mu + lev * (0.5 - mu))
+        return self.pack(len(y), 0.0, score, (a * w) @ a.T)
 
     def advance(self, total):
         self.n, _, score, info = self.unpack(total)
@@ -283,8 +303,8 @@ class TruncatedCount(Model):
     max_rounds = 60
     widest = 10.0  # largest log dispersion: beyond it the model is Poisson
 
-    def rows(self, x, y):
-        return super().rows(x, np.where(y > 0, y, np.nan))
+    def outcome(self, y):
+        return np.where(y > 0, y, np.nan)
 
     def size(self):
         if self.beta is None:
@@ -296,41 +316,44 @@ class TruncatedCount(Model):
         p = len(self.keep) + (0 if self.beta is None else 1)
         return total[0], total[1], total[2 : 2 + p], total[2 + p :].reshape(p, p)
 
-    def local(self, x, y):
-        a, y = self.rows(x, y)
+    def local(self, block):
+        a, y = self.rows(block)
         if self.beta is None:
             mu = y + 0.1
-            return self.pack(len(y), 0.0, a.T @ (mu * np.log(mu) + y - mu), (a * mu[:, None]).T @ a)
+            return self.pack(len(y), 0.0, a @ (mu * np.log(mu) + y - mu), (a * mu) @ a.T)
         th = math.exp(self.log_theta)
-        mu = np.exp(np.clip(a @ self.beta, -30, 30))
+        mu = np.exp(np.clip(self.beta @ a, -30, 30))
         s = th + mu
         ratio = th / s
         log_zero = th * np.log(ratio)
         zero = np.exp(log_zero)
         odds = zero / np.clip(-np.expm1(log_zero), 1e-300, None)
+        counts, back = np.unique(y, return_inverse=True)
+        theta = np.array([th])
+        lg = (log_gamma(counts + th) - math.lgamma(th) - log_gamma(counts + 1))[back]
+        dg = (digamma(counts + th) - digamma(theta)[0])[back]
+        tg = (trigamma(counts + th) - trigamma(theta)[0])[back]
         value = (
-            log_gamma(y + th) - math.lgamma(th) - log_gamma(y + 1)
+            lg
             + th * math.log(th) + y * np.log(mu) - (y + th) * np.log(s)
             - np.log(np.clip(-np.expm1(log_zero), 1e-300, None))
         )
         # derivatives of the log zero probability
         za, zt = -th * mu / s, np.log(ratio) + 1 - ratio
         ge = th * (y - mu) / s + odds * za
-        dg = digamma(y + th) - digamma(np.array([th]))[0]
         gt = dg + math.log(th) + 1 - np.log(s) - (y + th) / s + odds * zt
         pull = odds * (1 + odds)
         hee = -th * mu * (y + th) / s**2 + pull * za**2 - odds * th**2 * mu / s**2
         het = (y - mu) * mu / s**2 + pull * za * zt - odds * mu**2 / s**2
-        tg = trigamma(y + th) - trigamma(np.array([th]))[0]
         htt = tg + 1 / th - 1 / s - (mu - y) / s**2
         htt = htt + pull * zt**2 + odds * (1 / th - 1 / s - mu / s**2)
         gl, hel, hll = th * gt, th * het, th**2 * htt + th * gt
-        p = a.shape[1]
+        p = len(a)
         hess = np.empty((p + 1, p + 1))
-        hess[:p, :p] = (a * hee[:, None]).T @ a
-        hess[:p, p] = hess[p, :p] = a.T @ hel
+        hess[:p, :p] = (a * hee) @ a.T
+        hess[:p, p] = hess[p, :p] = a @ hel
         hess[p, p] = hll.sum()
-        return self.pack(len(y), float(value.sum()), np.append(a.T @ ge, gl.sum()), -hess)
+        return self.pack(len(y), float(value.sum()), np.append(a @ ge, gl.sum()), -hess)
 
     def advance(self, total):
         self.n, value, score, info = self.unpack(total)

@@ -80,9 +80,11 @@ def student_calendar(
 def calendar_rows(calendar: DataFrame, years: int = YEARS) -> DataFrame:
     """One row per student and term: id, admit_term, rel_term, term, major."""
     names = F.array(*[F.lit(t) for t in relative_terms(years)])
-    return calendar.select(
-        "id", "admit_term", "start", "first_index", F.posexplode("series").alias("k", "major")
-    ).select(
+    # the outer form keeps Spark from computing the series twice to pre-filter it
+    rows = calendar.select(
+        "id", "admit_term", "start", "first_index", F.posexplode_outer("series").alias("k", "major")
+    )
+    return rows.filter(F.col("k").isNotNull()).select(
         "id",
         "admit_term",
         F.get(names, F.col("start") + F.col("k")).alias("rel_term"),

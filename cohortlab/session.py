@@ -50,12 +50,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where a result is scanned many times: the columns stay prunable and
-    nothing depends on an executor's memory.
+    nothing depends on an executor's memory. ``spread`` is for tables that feed
+    heavy per-row work: one that came out in fewer pieces than there are cores
+    is written again in more.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cohortlab/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/cohortlab/{uuid.uuid4().hex}"
+
+    def stored(data: DataFrame, path: str) -> DataFrame:
+        data.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    out = stored(df, f"{folder}/{name}")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and out.rdd.getNumPartitions() < cores:
+        out = stored(out.repartition(cores), f"{folder}/{name}_spread")
+    return out
