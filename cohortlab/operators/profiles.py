@@ -133,14 +133,11 @@ def correlations(
     pairs = [(b, a) for a, b in combinations(sorted(names), 2)]
     cells = []
     for a, b in pairs:
-        # a constant column has no correlation: NULL, not a division error
+        # written out, because corr() fails on a constant column instead of giving NULL
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        varies = (F.var_pop(F.when(both, F.col(a))) > 0) & (F.var_pop(F.when(both, F.col(b))) > 0)
-        cells.append(
-            F.struct(
-                F.lit(a).alias("Var1"), F.lit(b).alias("Var2"), F.when(varies, F.corr(a, b)).alias("cor")
-            )
-        )
+        spread = [F.stddev_pop(F.when(both, F.col(c))) for c in (a, b)]
+        cor = F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+        cells.append(F.struct(F.lit(a).alias("Var1"), F.lit(b).alias("Var2"), cor.alias("cor")))
     one = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(cells)])
     return (
         one.select(F.explode(F.array(*[f"p{i}" for i in range(len(cells))])).alias("c"))
