@@ -82,7 +82,8 @@ MAJOR_COLUMNS = "id, admit_term, rel_term, term, major, current_phil, human_dev,
 
 @query("majors_by_term", f"SELECT {MAJOR_COLUMNS} FROM major_long", curated=True)
 def majors_by_term(spark, d):
-    return registrar.major_long(curated(spark, d)["raw_majors"]).select(*MAJOR_COLUMNS.split(", "))
+    rows = calendar.calendar_rows(curated(spark, d)["calendar"])
+    return rows.withColumns(registrar.major_flags()).select(*MAJOR_COLUMNS.split(", "))
 
 
 @query(

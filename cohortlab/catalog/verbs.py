@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.catalog.registry import curated, query, rnd, rounded, table
 from cohortlab.functions import missing, numbers, recode, terms, text
 from cohortlab.operators import checks, joins, reshape, summaries, verbs
+from cohortlab.operators.calendar import calendar_rows
 from cohortlab.plans import registrar, trends
 from cohortlab.sources.html import list_links, table_cells
 from cohortlab.sources.tables import load, lookup_table, read_files
@@ -743,7 +744,7 @@ def key_checks(spark, d):
     curated=True,
 )
 def series_length_check(spark, d):
-    return checks.size_report(registrar.major_long(curated(spark, d)["raw_majors"]), ["id"])
+    return checks.size_report(calendar_rows(curated(spark, d)["calendar"]), ["id"])
 
 
 @query(

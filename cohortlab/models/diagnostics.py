@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.numbers import inverse_logit
 from cohortlab.operators.scans import running_totals
+from cohortlab.session import staged
 
 
 def score_counts(df: DataFrame, score: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score, with totals below it."""
+    """Positives and negatives per distinct score, with totals below it.
+
+    The counts are stored, so the rows are scored and scanned once although
+    the running totals pass over the counts several times.
+    """
     per = (
         df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
         .groupBy(*by, F.col(score).alias("threshold"))
@@ -21,6 +26,7 @@ def score_counts(df: DataFrame, score: str, truth: str, by: Sequence[str] = ())
             F.count_if(~F.col(truth)).alias("neg"),
         )
     )
+    per = staged(per, "score_counts")
     return running_totals(
         per, {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, ["threshold"], by
     )

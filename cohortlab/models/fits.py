@@ -42,6 +42,7 @@ FITTERS: dict[str, dict[str | None, type[Model]]] = {
 }
 
 FAN_IN = 64
+MAX_SUMS = 20_000_000  # numbers per round that reach the driver
 BLOCK_ROWS = 2048  # a block of design rows stays in a core's cache
 
 
@@ -117,6 +118,8 @@ def _add_up(partial: DataFrame, tasks: int) -> dict[int, np.ndarray]:
 
 def run_lockstep(table: DataFrame, width: int, models: Sequence[Model]) -> None:
     """Advance all models together until each one is done."""
+    if sum(m.size() for m in models) > MAX_SUMS:
+        raise ValueError("too many design columns to fit these models together")
     names = sorted({m.y for m in models})
     source = table.select(*[f"x{i}" for i in range(width)], *names)
     tasks = source.rdd.getNumPartitions()

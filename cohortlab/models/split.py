@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.session import staged
+
 
 def stratified_split(
     df: DataFrame,
@@ -21,7 +23,9 @@ def stratified_split(
     Rows are ordered by a hash of their (unique) key and the seed, so the
     choice does not depend on partitioning. The n-th smallest hash of a stratum
     is found by counting hash prefixes and then ranking only the rows that
-    share the deciding prefix: a stratum is never sorted as a whole.
+    share the deciding prefix: a stratum is never sorted as a whole. The two
+    small tables in between (one row per stratum) are stored, so Spark knows
+    their size when it decides how to join them.
     """
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
     rows = df.select(*[F.col(s).alias(f"__{s}") for s in strata], F.md5(text).alias("__h"))
@@ -41,6 +45,7 @@ def stratified_split(
         F.col("__bin").alias("__edge"),
         (F.col("want") - (F.col("upto") - F.col("n"))).alias("need"),
     )
+    edge = staged(edge, "split_edges")
     same = [rows[m].eqNullSafe(F.col(f"_{m}")) for m in marks]
     border = rows.join(edge, [*same, rows["__bin"] == edge["__edge"]])
     place = F.row_number().over(Window.partitionBy(*marks).orderBy("__h"))
@@ -49,6 +54,7 @@ def stratified_split(
         .filter(F.col("__place") == F.col("need"))
         .select(*[F.col(m) for m in marks], F.col("__h").alias("__cut"))
     )
+    cut = staged(cut, "split_cuts")
     on = [df[s].eqNullSafe(F.col(f"__{s}")) for s in strata]
     return (
         df.join(cut, on, "left")

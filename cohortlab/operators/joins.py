@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_BANDS = 1000
+
 
 def _conjunction(left: DataFrame, right: DataFrame, pairs, na_matches: str) -> Column:
     tests = [
@@ -106,8 +108,12 @@ def band_join(
     """Band lookup with per-group bands held in a table (by, low, high, label).
 
     The few bands of a group travel as one array, so the join is an equi-join
-    with one row per group and never pairs a row with every band.
+    with one row per group and never pairs a row with every band. A group with
+    more than ``MAX_BANDS`` bands is refused before anything is gathered.
     """
+    crowded = bands.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_BANDS)
+    if not crowded.isEmpty():
+        raise ValueError(f"more than {MAX_BANDS} bands in one group")
     packed = bands.groupBy(by).agg(
         F.array_sort(F.collect_set(F.struct("low", "high", label))).alias("__bands")
     )

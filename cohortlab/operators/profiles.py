@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.recode import level_index
 from cohortlab.operators.scans import CHUNK, cut_points, running_totals
+from cohortlab.session import staged
 
 
 def value_counts(df: DataFrame, names: Sequence[str], chunks: int = 64) -> DataFrame:
@@ -49,7 +50,7 @@ def quantiles(
     Distinct values are counted, counts are accumulated chunk by chunk, and
     the two order statistics around each quantile are picked by rank.
     """
-    counts = value_counts(df, names, chunks)
+    counts = staged(value_counts(df, names, chunks), "value_counts")
     ranked = running_totals(counts, {"upto": F.col("n")}, ["value"], ["variable"], F.col(CHUNK))
     sizes = counts.groupBy("variable").agg(F.sum("n").alias("size"))
     ranked = ranked.join(sizes, "variable")

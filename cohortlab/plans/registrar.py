@@ -96,11 +96,19 @@ def clean_profile(profile: DataFrame, ever: DataFrame) -> DataFrame:
     return df.withColumn("demographic", cross_label("gender", "race4"))
 
 
-def course_facts(phi_crs: DataFrame, calendar: DataFrame) -> DataFrame:
+def people_table(calendar: DataFrame, students: DataFrame) -> DataFrame:
+    """One row per student: cleaned profile and major series."""
+    return keyed_join(calendar.select("id", "first_index", "series"), students, ["id"], "full")
+
+
+def course_facts(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
     """Student x course with grade gap and the major held in that term.
 
     The major is picked from the student's series by term arithmetic, so the
     join brings one row per student instead of one row per student and term.
+    ``people`` is the student calendar, or :func:`people_table` to get the
+    profile columns along with it: one join per fact table leaves Spark free to
+    split the rows of a student who holds many of them.
     """
     df = phi_crs.select(
         F.col("E_PIDM").alias("id"),
@@ -114,20 +122,18 @@ def course_facts(phi_crs: DataFrame, calendar: DataFrame) -> DataFrame:
         lookup("COURSE_LETTER_GRADE", GRADE_POINTS).alias("grade"),
         F.col("TERM_CUM_GPA").alias("term_cum_gpa"),
     )
-    df = keyed_join(df, calendar.select("id", "first_index", "series"), ["id"], "left")
+    names = df.columns
+    df = keyed_join(df, people.drop("admit_term", "start"), ["id"], "left")
     df = df.withColumn("major", value_at_term("series", "first_index", "term"))
-    df = df.drop("series", "first_index").withColumns(major_flags())
-    return df.withColumns(
+    df = df.withColumns(major_flags()).withColumns(
         {
             "grade_diff": F.col("term_cum_gpa") - F.col("grade"),
             "other_major": F.col("human_dev") | F.col("bio_sci") | F.col("soc"),
         }
     )
-
-
-def student_facts(facts: DataFrame, students: DataFrame) -> DataFrame:
-    """Facts with the columns of their student; the one table the rest reads."""
-    return natural_join(facts, students)
+    derived = ["major", *MAJOR_FLAGS, "grade_diff", "other_major"]
+    extra = [c for c in people.columns if c not in ("id", "admit_term", "start", "first_index", "series")]
+    return df.select(*names, *derived, *extra)
 
 
 def course_totals(facts: DataFrame) -> DataFrame:
@@ -272,10 +278,8 @@ def build(
     """
     calendar = keep(student_calendar(major_term), "calendar")
     students = clean_profile(profile, ever_majored(calendar))
-    facts = course_facts(phi_crs, calendar)
-    names = facts.columns
-    wide = keep(student_facts(facts, students), "student_facts")
-    facts = wide.select(*names)
+    wide = keep(course_facts(phi_crs, people_table(calendar, students)), "student_facts")
+    facts = wide.select(*columns_between(wide, "id", "other_major"))
     totals = course_totals(wide)
     gaps = course_gaps(wide)
     nested = first_course_nested(facts)
