@@ -461,6 +461,41 @@ def top_levels(spark, d):
     return profiles.top_values(curated(spark, d)["profile_clean"], ["race", "gender", "ethnicity"])
 
 
+@query(
+    "column_profile",
+    """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+       h AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 8)), 7) AS bin, count(*) AS n FROM orders, e GROUP BY 1),
+       c AS (SELECT nullif(o_orderpriority, '5-LOW') AS v, count(*) AS n FROM orders GROUP BY 1),
+       t AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS r FROM c WHERE v IS NOT NULL)
+       SELECT 'price' AS variable, 'numeric' AS kind, 0::BIGINT AS missing, count(*) AS complete, round(avg(o_totalprice), 4) AS mean,
+         round(quantile_cont(o_totalprice, 0.25), 4) AS p25, (SELECT string_agg(n, ',' ORDER BY bin) FROM h) AS hist,
+         NULL::DOUBLE AS n_unique, NULL AS top_counts FROM orders
+       UNION ALL SELECT 'priority', 'categorical', count(*) - count(nullif(o_orderpriority, '5-LOW')), count(nullif(o_orderpriority, '5-LOW')),
+         NULL, NULL, NULL, count(DISTINCT nullif(o_orderpriority, '5-LOW')), (SELECT string_agg(v || ': ' || n, ', ' ORDER BY r) FROM t WHERE r <= 4) FROM orders""",
+)
+def column_profile(spark, d):
+    df = table(spark, d, "orders").select(
+        F.col("o_totalprice").alias("price"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("priority")
+    )
+    out = profiles.column_profile(df, ["price"], ["priority"])
+    return rounded(
+        out.select(
+            "variable",
+            "kind",
+            "missing",
+            "complete",
+            "mean",
+            "p25",
+            F.array_join("hist", ",").alias("hist"),
+            F.col("n_unique").cast("double").alias("n_unique"),
+            "top_counts",
+        ),
+        "mean",
+        "p25",
+        digits=4,
+    )
+
+
 DEMOGRAPHICS = ["admission_type", "gender", "race", "first_gen", "low_income"]
 
 

@@ -36,6 +36,8 @@ from cohortlab.plans.regressions import (
     grid_design,
     model_grid,
     report,
+    roc_scores,
+    run,
 )
 from cohortlab.session import staged
 
@@ -353,12 +355,8 @@ def _two_scores(spark, d):
     ]
     design = grid_design(df, specs)
     fits = fit_sweep(design, specs)
-    cells = F.array(
-        *[F.struct(F.lit(s.model_idx).alias("model_idx"), fits[s.model_idx].score(design).alias("score")) for s in specs]
-    )
-    rows = design.table.select(F.explode(cells).alias("m"), (F.col("y_ever_phil") == 1).alias("y"))
     # one score per factor level: rounding joins sums that differ in the last digit
-    return rows.select("m.model_idx", F.round("m.score", 9).alias("score"), "y")
+    return roc_scores(design, specs, fits).withColumn("score", F.round("score", 9))
 
 
 @query(
@@ -452,28 +450,42 @@ def effect_bands(spark, d):
     return rounded(out, "estimate_comb", "se_comb", digits=5)
 
 
-CONTROL_SETS = {name: [["admission_type"]] for name in dag.FOCAL if name != "admission_type"} | {
-    "admission_type": [["class"]]
-}
+@lru_cache(maxsize=2)
+def _grid(spark, d):
+    """The whole grid fitted on the training rows, with everything read off it."""
+    return run(_modelled(spark, d), model_grid(dag.control_sets(spark)), TEST_SHARE, SEED)
 
 
 @query("model_grid_effects")
 def model_grid_effects(spark, d):
-    """The whole grid on the training rows: fits, focal effects, bands."""
-    specs = model_grid(dag.control_sets(spark))
-    df = stratified_split(
-        _modelled(spark, d), ["ever_phil", "demographic"], ["id", "course_id"], TEST_SHARE, SEED
-    )
-    train = df.filter(~F.col("is_test"))
-    design = grid_design(train, specs)
-    fits = fit_sweep(design, specs)
-    out = plottable(report(coefficients(train, specs, fits)))
+    out = plottable(_grid(spark, d)["estimates"])
     numbers = ["estimate_comb", "se_comb", "ci_low", "ci_high"]
     return rounded(
         out.select("model_idx", "focal_var", "formula", "model_type", "process", "term", *numbers, "level"), *numbers, digits=4
     )
 
 
+@query("model_grid_areas")
+def model_grid_areas(spark, d):
+    return rounded(_grid(spark, d)["auc"], "auc", digits=4)
+
+
+@query("model_grid_rootograms")
+def model_grid_rootograms(spark, d):
+    return _grid(spark, d)["rootograms"].select("model_idx", "bin", "observed", "fitted")
+
+
+@query(
+    "scored_models",
+    """SELECT m.model_idx, round(CASE WHEN m.model_idx = '1' THEN s ELSE ln(s / (1 - s)) END, 5) + 0.0 AS score, ever_phil AS y
+       FROM (SELECT ever_phil, avg(ever_phil::INT) OVER (PARTITION BY demographic) AS s FROM modelled)
+       CROSS JOIN (VALUES ('1'), ('2')) m(model_idx)""",
+    curated=True,
+)
+def scored_models(spark, d):
+    return rounded(_two_scores(spark, d), "score", digits=5)
+
+
 @query(
     "model_groups",
     """SELECT hurdle_component AS component, 'hurdle ' || hurdle_component AS model_type, CASE hurdle_component WHEN 'count' THEN 'count' ELSE 'logistic' END AS model_group, n

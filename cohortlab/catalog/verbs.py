@@ -122,13 +122,13 @@ TREND_SQL = """
     counts AS (SELECT *, count(*) AS n FROM long GROUP BY ALL),
     grid AS (SELECT DISTINCT page, qtr, "table", category, unnest(generate_series(1995, 2001)) AS year FROM counts),
     trends AS (SELECT g.page, g."table", g.category, CAST(g.year AS INT) AS year, coalesce(c.n, 0)::DOUBLE AS n, g.qtr,
-        round(coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.page, g."table", g.year), 0), 6) AS frac,
+        coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.page, g."table", g.year), 0) AS frac,
         g.year || g.qtr AS term
         FROM grid g LEFT JOIN counts c ON g.page = c.page AND g."table" = c."table" AND g.category = c.category AND g.year = c.year)
 """
 
 
-@query("trend_tables", TREND_SQL + "SELECT * FROM trends")
+@query("trend_tables", TREND_SQL + "SELECT * REPLACE (round(frac, 6) AS frac) FROM trends")
 def trend_tables(spark, d):
     return rounded(_trend_table(spark, d), "frac")
 
@@ -150,13 +150,13 @@ def trend_gender(spark, d):
     + """, raced AS (SELECT *, CASE category WHEN 'Asian-PI' THEN 'Asian' WHEN 'African American' THEN 'Black'
         WHEN 'Chicano-Latino' THEN 'Hispanic' WHEN 'Other/Unknown' THEN 'Other' ELSE category END AS race
         FROM trends WHERE "table" = 'race')
-    SELECT page, term, round(sum(frac), 4) + 0.0 AS poc_share FROM raced
+    SELECT page, term, round(sum(frac), 6) + 0.0 AS poc_share FROM raced
     WHERE race NOT IN ('White', 'Other') AND year >= 1996 AND year <= 2000 GROUP BY page, term""",
 )
 def trend_poc_share(spark, d):
-    df = trends.race_trend(rounded(_trend_table(spark, d), "frac"))
+    df = trends.race_trend(_trend_table(spark, d))
     df = df.filter(missing.not_in("race", ["White", "Other"]) & F.col("year").between(1996, 2000))
-    return df.groupBy("page", "term").agg(rnd(F.sum("frac"), 4).alias("poc_share"))
+    return df.groupBy("page", "term").agg(rnd(F.sum("frac")).alias("poc_share"))
 
 
 @query(

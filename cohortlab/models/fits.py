@@ -28,6 +28,7 @@ from cohortlab.models.kernels import (
     Poisson,
     Positive,
     TruncatedCount,
+    predict,
 )
 from cohortlab.models.spec import ModelSpec
 from cohortlab.session import staged
@@ -159,6 +160,43 @@ def fit_sweep(design: Design, specs: Sequence[ModelSpec], stage: bool = True) ->
     return {s.model_idx: fits[s.formula] for s in specs}
 
 
+def score_models(
+    design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str, response: bool = False
+) -> DataFrame:
+    """Scores of many models for every complete row: model_idx, score, y.
+
+    One scan serves all models and specs that share a formula share the work;
+    rows with a missing variable or outcome are left out per model. Scores are
+    on the link scale, or expected outcomes with ``response``.
+    """
+    y = design.outcomes[outcome]
+    names = [f"x{i}" for i in range(design.width)]
+    distinct: dict[int, tuple[Fit, list[str]]] = {}
+    for s in specs:
+        if s.outcome != outcome:
+            raise ValueError(f"model {s.model_idx} is not a model of {outcome}")
+        fit = fits[s.model_idx]
+        distinct.setdefault(id(fit), (fit, []))[1].append(s.model_idx)
+    jobs = [(fit.spec.model_type, fit.parts, ids) for fit, ids in distinct.values()]
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            block = Block(columns[:-1], {y: columns[-1]})
+            seen = np.isfinite(columns[-1])
+            for kind, parts, ids in jobs:
+                with np.errstate(all="ignore"):
+                    score, ok = predict(kind, parts, block, response)
+                ok = ok & seen
+                for idx in ids:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([idx] * int(ok.sum())), pa.array(score[ok]), pa.array(columns[-1][ok])],
+                        names=["model_idx", "score", "y"],
+                    )
+
+    return design.table.select(*names, y).mapInArrow(run, "model_idx string, score double, y double")
+
+
 def tidy(spark: SparkSession, specs: Sequence[ModelSpec], fits: dict[str, Fit]) -> DataFrame:
     """Coefficient table of a sweep, in design order within each component."""
     rows = []

@@ -398,3 +398,21 @@ class TruncatedCount(Model):
         se = np.sqrt(np.clip(np.diag(self.cov), 0, None))
         out = [(self.labels[j], float(b), float(s)) for j, b, s in zip(self.keep, self.beta, se)]
         return [*out, ("Log(theta)", float(self.log_theta), float(se[-1]))]
+
+
+def predict(kind: str, parts: dict, block: Block, response: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of one fitted model for a block, and which rows are complete."""
+
+    def link(model):
+        a, ok = block.design([tuple(model.columns[j]) for j in model.keep])
+        return model.beta @ a, ok
+
+    if kind == "hurdle":
+        (eta, ok), (zero, ok_zero) = link(parts["count"]), link(parts["zero"])
+        theta, mu = math.exp(parts["count"].log_theta), np.exp(eta)
+        positive = 1.0 / (1.0 + np.exp(-zero))
+        return positive * mu / -np.expm1(theta * np.log(theta / (mu + theta))), ok & ok_zero
+    eta, ok = link(parts[None])
+    if not response or kind == "lm":
+        return eta, ok
+    return (np.exp(eta) if kind == "Poisson" else 1.0 / (1.0 + np.exp(-eta))), ok

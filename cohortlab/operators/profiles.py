@@ -42,15 +42,13 @@ def value_counts(df: DataFrame, names: Sequence[str], chunks: int = 64) -> DataF
     return long.groupBy("variable", "value", CHUNK).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(
-    df: DataFrame, names: Sequence[str], probs: Mapping[str, float], chunks: int = 64
-) -> DataFrame:
+def quantiles(counts: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     """Exact interpolated quantiles of many columns, without gathering one.
 
-    Distinct values are counted, counts are accumulated chunk by chunk, and
-    the two order statistics around each quantile are picked by rank.
+    ``counts`` is :func:`value_counts`, best stored. The counts are accumulated
+    chunk by chunk, and the two order statistics around each quantile are
+    picked by rank.
     """
-    counts = staged(value_counts(df, names, chunks), "value_counts")
     ranked = running_totals(counts, {"upto": F.col("n")}, ["value"], ["variable"], F.col(CHUNK))
     sizes = counts.groupBy("variable").agg(F.sum("n").alias("size"))
     ranked = ranked.join(sizes, "variable")
@@ -68,8 +66,12 @@ def quantiles(
     return ranked.groupBy("variable").agg(*out)
 
 
-def numeric_profile(df: DataFrame, names: Sequence[str], chunks: int = 64) -> DataFrame:
+def numeric_profile(
+    df: DataFrame, names: Sequence[str], counts: DataFrame | None = None
+) -> DataFrame:
     """Missing, complete, mean, deviation and the five quartile points."""
+    if counts is None:
+        counts = staged(value_counts(df, names), "value_counts")
     exprs = []
     for c in names:
         x = F.col(c).cast("double")
@@ -84,7 +86,49 @@ def numeric_profile(df: DataFrame, names: Sequence[str], chunks: int = 64) -> Da
         )
     one = df.agg(*exprs).select(F.explode(F.array(*names)).alias("v")).select("v.*")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
-    return one.join(quantiles(df, names, probs, chunks), "variable", "left")
+    return one.join(quantiles(counts, probs), "variable", "left")
+
+
+def column_profile(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 8, k: int = 4
+) -> DataFrame:
+    """One row per column: what is missing, how it is spread, what is frequent.
+
+    Numeric columns carry mean, deviation, quartile points and an equal-width
+    histogram as an array; categorical ones the number of distinct values and
+    their most frequent values as text.
+    """
+    counts = staged(value_counts(df, numeric), "value_counts")
+    spread = numeric_profile(df, numeric, counts)
+    ends = counts.groupBy("variable").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    cells = counts.join(ends, "variable")
+    place = F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))
+    cells = cells.withColumn(
+        "bin", F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(bins - 1))).otherwise(0)
+    )
+    heights = [F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)) for i in range(bins)]
+    hist = cells.groupBy("variable").agg(F.array(*heights).alias("hist"))
+    left = spread.join(hist, "variable", "left").withColumn("kind", F.lit("numeric"))
+    gaps = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("variable"),
+                F.count_if(F.col(c).isNull()).alias("missing"),
+                F.count(c).alias("complete"),
+            ).alias(c)
+            for c in categorical
+        ]
+    )
+    gaps = gaps.select(F.explode(F.array(*categorical)).alias("v")).select("v.*")
+    text = F.concat(F.col("value"), F.lit(": "), F.col("n").cast("string"))
+    # at most k rows per column
+    top = top_values(df, categorical, k).groupBy("variable", "n_unique").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x["t"]), ", "
+        ).alias("top_counts")
+    )
+    right = gaps.join(top, "variable", "left").withColumn("kind", F.lit("categorical"))
+    return left.unionByName(right, allowMissingColumns=True)
 
 
 def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:

@@ -3,7 +3,8 @@
 A window partitioned by a key sends the whole key to one task. The operators
 here cut each key's ordered rows into chunks: a small summary per (key, chunk)
 is aggregated map-side, carried from chunk to chunk over the summary only, and
-joined back, so the full rows are grouped by (key, chunk). ``chunk`` must never
+added as one row to each chunk, so the full rows are shuffled once, by (key,
+chunk). ``chunk`` must never
 decrease along the order (a day, a month, a rounded value). Without one,
 quantile cut points of the first order column are used; they are computed once
 and become literals of the plan, so a recomputed task cuts the same way.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "__chunk"
+SEED = "__seed"
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], chunks: int) -> list[list[float]]:
@@ -66,14 +68,21 @@ def _asc(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def _attach(df: DataFrame, by: Sequence[str], carried: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Join per-chunk values back to the rows."""
-    keys = [*by, CHUNK]
-    side = carried.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *names)
-    if not by:
-        side = F.broadcast(side)  # one row per chunk: bounded by the chunk count
-    cond = [df[k].eqNullSafe(F.col(f"__k_{k}")) for k in keys]
-    return df.join(side, cond, "left").drop(*[f"__k_{k}" for k in keys])
+def _so_far(by: Sequence[str]) -> Window:
+    """The chunks of a key before the current one."""
+    w = _window(by).orderBy(F.col(CHUNK).asc_nulls_last())
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _with_seeds(rows: DataFrame, seeds: DataFrame, place: int) -> DataFrame:
+    """Add one carried row per (key, chunk), before (0) or after (2) its rows.
+
+    The carried value then takes part in the window itself, so the rows are
+    shuffled once and never joined.
+    """
+    return rows.withColumn(SEED, F.lit(1)).unionByName(
+        seeds.withColumn(SEED, F.lit(place)), allowMissingColumns=True
+    )
 
 
 def running_totals(
@@ -89,27 +98,16 @@ def running_totals(
     if bounded:
         w = _window(by).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(x).over(w) for n, x in totals.items()})
-    rows = chunked(df, order, chunk, chunks)
-    per_chunk = rows.groupBy(*by, CHUNK).agg(*[F.sum(x).alias(n) for n, x in totals.items()])
-    before = _window(by).orderBy(F.col(CHUNK).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = per_chunk.select(
-        *by, CHUNK, *[F.sum(n).over(before).alias(f"__before_{n}") for n in totals]
-    )
-    rows = _attach(rows, by, carried, [f"__before_{n}" for n in totals])
-    within = (
-        Window.partitionBy(*by, CHUNK)
-        .orderBy(*_asc(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    zero = F.lit(0)
-    return rows.withColumns(
-        {
-            n: F.coalesce(F.sum(x).over(within), zero) + F.coalesce(F.col(f"__before_{n}"), zero)
-            for n, x in totals.items()
-        }
-    ).drop(CHUNK, *[f"__before_{n}" for n in totals])
+    parts = {n: f"__part_{n}" for n in totals}
+    rows = chunked(df, order, chunk, chunks).withColumns({parts[n]: x for n, x in totals.items()})
+    per_chunk = rows.groupBy(*by, CHUNK).agg(*[F.sum(p).alias(p) for p in parts.values()])
+    seeds = per_chunk.select(*by, CHUNK, *[F.sum(p).over(_so_far(by)).alias(p) for p in parts.values()])
+    both = _with_seeds(rows, seeds, 0)
+    w = Window.partitionBy(*by, CHUNK).orderBy(*_asc([SEED, *order]))
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({n: F.coalesce(F.sum(p).over(w), F.lit(0)) for n, p in parts.items()})
+    names = [*[c for c in df.columns if c not in totals], *totals]
+    return out.filter(F.col(SEED) == 1).select(*names)
 
 
 def sequence_number(
@@ -137,26 +135,14 @@ def carry_forward(
     per_chunk = rows.groupBy(*by, CHUNK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
     )
-    before = _window(by).orderBy(F.col(CHUNK).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = per_chunk.select(
-        *by,
-        CHUNK,
-        *[F.last(c, ignorenulls=True).over(before).alias(f"__before_{c}") for c in columns],
+    seeds = per_chunk.select(
+        *by, CHUNK, *[F.last(c, ignorenulls=True).over(_so_far(by)).alias(c) for c in columns]
     )
-    rows = _attach(rows, by, carried, [f"__before_{c}" for c in columns])
-    within = (
-        Window.partitionBy(*by, CHUNK)
-        .orderBy(*_asc(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return rows.withColumns(
-        {
-            c: F.coalesce(F.last(c, ignorenulls=True).over(within), F.col(f"__before_{c}"))
-            for c in columns
-        }
-    ).drop(CHUNK, *[f"__before_{c}" for c in columns])
+    both = _with_seeds(rows, seeds, 0)
+    w = Window.partitionBy(*by, CHUNK).orderBy(*_asc([SEED, *order]))
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    return out.filter(F.col(SEED) == 1).select(*df.columns)
 
 
 def next_value(
@@ -172,19 +158,17 @@ def next_value(
     """Value of the following row; turns cut points into intervals."""
     if bounded:
         return df.withColumn(name, F.lead(column).over(_window(by).orderBy(*_asc(order))))
-    rows = chunked(df, order, chunk, chunks)
+    rows = chunked(df, order, chunk, chunks).withColumn("__value", F.col(column))
     per_chunk = rows.groupBy(*by, CHUNK).agg(
-        F.min_by(F.struct(column), F.struct(*order)).alias("__first")
-    )
-    carried = per_chunk.select(
-        *by,
-        CHUNK,
-        F.lead("__first").over(_window(by).orderBy(F.col(CHUNK).asc_nulls_last())).alias("__next"),
+        F.min_by(F.struct("__value"), F.struct(*order)).alias("__first")
     )
-    rows = _attach(rows, by, carried, ["__next"])
-    w = Window.partitionBy(*by, CHUNK).orderBy(*_asc(order))
-    inside = F.lead(F.struct(column)).over(w)
-    return rows.withColumn(name, F.coalesce(inside, F.col("__next"))[column]).drop(CHUNK, "__next")
+    following = F.lead("__first").over(_window(by).orderBy(F.col(CHUNK).asc_nulls_last()))
+    seeds = per_chunk.select(*by, CHUNK, following.alias("__next")).filter("__next is not null")
+    seeds = seeds.select(*by, CHUNK, "__next.__value")
+    both = _with_seeds(rows, seeds, 2)
+    w = Window.partitionBy(*by, CHUNK).orderBy(*_asc([SEED, *order]))
+    out = both.withColumn(name, F.lead("__value").over(w))
+    return out.filter(F.col(SEED) == 1).select(*df.columns, name)
 
 
 def from_anchor(

@@ -104,11 +104,13 @@ def group_gap(
 ) -> DataFrame:
     """Mean gap per (entity, group) relative to a reference group.
 
-    The reference is the mean over its members of their own mean gap.
+    The reference is the mean over its members of their own mean gap. Cells
+    without a known gap, and all cells when there is no reference, are left out.
     """
     ref = mean_of_means(df.filter(F.col(group) == reference), gap, person, "ref")
-    cells = df.groupBy(*entity, group).agg(F.avg(gap).alias("__m")).filter("__m is not null")
-    return cells.select(*entity, group, (F.col("__m") - ref.select("ref").scalar()).alias(name))
+    cells = df.groupBy(*entity, group).agg(F.avg(gap).alias("__m"))
+    out = cells.select(*entity, group, (F.col("__m") - ref.select("ref").scalar()).alias(name))
+    return out.filter(F.col(name).isNotNull())
 
 
 def linear_trend(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:

@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.numbers import deciles
 from cohortlab.models.design import Design, build_design, variables_of
-from cohortlab.models.effects import back_transformed, focal_effects, with_band, with_model_group
-from cohortlab.models.fits import Fit, fit_sweep, tidy
+from cohortlab.models.diagnostics import (
+    count_rootogram,
+    roc_auc,
+    roc_curve,
+    threshold_sensitivity,
+)
+from cohortlab.models.effects import (
+    back_transformed,
+    focal_effects,
+    highlights,
+    with_band,
+    with_model_group,
+)
+from cohortlab.models.fits import Fit, fit_sweep, score_models, tidy
 from cohortlab.models.spec import ModelSpec, spec_grid, spec_table
+from cohortlab.models.split import stratified_split
 from cohortlab.operators.joins import keyed_join
 from cohortlab.operators.verbs import across, columns_like
 from cohortlab.plans.dag import GENERAL_CONTROLS
+from cohortlab.session import staged
 
 # Variables a shorthand of the causal model stands for.
 SHORTHANDS = {
@@ -136,6 +151,48 @@ def report(coefs: DataFrame) -> DataFrame:
     return with_band(back_transformed(effects))
 
 
-def fitted_grid(train: DataFrame, specs: Sequence[ModelSpec]) -> tuple[Design, dict[str, Fit]]:
-    design = grid_design(train, specs)
-    return design, fit_sweep(design, specs)
+def faculty_table(faculty: DataFrame) -> DataFrame:
+    """Instructor dimension with the log of the students taught."""
+    return faculty.withColumn("instructor_log_total", F.log10("n")).drop("n", "notes")
+
+
+def of_outcome(specs: Sequence[ModelSpec], outcome: str) -> list[ModelSpec]:
+    return [s for s in specs if s.outcome == outcome]
+
+
+def roc_scores(design: Design, specs: Sequence[ModelSpec], fits: Mapping[str, Fit], outcome: str = "ever_phil") -> DataFrame:
+    """Link-scale scores of all models of a binary outcome."""
+    scores = score_models(design, of_outcome(specs, outcome), fits, outcome)
+    return scores.withColumn("y", F.col("y") > 0.5)
+
+
+def rootograms(design: Design, specs: Sequence[ModelSpec], fits: Mapping[str, Fit], outcome: str = "n_later_phil") -> DataFrame:
+    """Observed and fitted counts of all models of a count outcome."""
+    scores = score_models(design, of_outcome(specs, outcome), fits, outcome, response=True)
+    return count_rootogram(scores, "y", "score", ["model_idx"])
+
+
+def run(
+    df: DataFrame, specs: Sequence[ModelSpec], test_share: float = TEST_SHARE, seed: int = 2003
+) -> dict[str, DataFrame]:
+    """Split, fit, diagnose and report a grid over the modelled rows."""
+    rows = staged(
+        stratified_split(df, ["ever_phil", "demographic"], ["id", "course_id"], test_share, seed), "split"
+    )
+    design = grid_design(rows, specs, keep=["is_test"])
+    train = replace(design, table=design.table.filter(~F.col("is_test")))
+    test = replace(design, table=design.table.filter(F.col("is_test")))
+    fits = fit_sweep(train, specs)
+    coefs = coefficients(df, specs, fits)
+    scores = roc_scores(train, specs, fits)
+    kinds = spec_table(df.sparkSession, specs).select("model_idx", "model_type")
+    curve = roc_curve(scores, "score", "y", ["model_idx"]).join(kinds, "model_idx")
+    return {
+        "coefficients": coefs,
+        "estimates": report(coefs),
+        "roc": curve,
+        "auc": roc_auc(scores, "score", "y", ["model_idx"]),
+        "sensitivity": threshold_sensitivity(curve, F.col("model_type") == "lm"),
+        "rootograms": rootograms(test, specs, fits),
+        "highlights": highlights(coefs, HIGHLIGHTS),
+    }

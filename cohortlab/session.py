@@ -17,6 +17,8 @@ def session(app: str = "cohortlab", master: str | None = None, **conf: str) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole pages travel to the HTML reader: keep a batch of them small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     )
     if master:
         builder = builder.master(master)

@@ -14,7 +14,7 @@ from conftest import TESTDATA
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # more than a few seconds each and run by tools/check.py
-SLOW = {"model_grid_effects"}
+SLOW = {"model_grid_effects", "model_grid_areas", "model_grid_rootograms"}
 
 
 @pytest.fixture(scope="module")
