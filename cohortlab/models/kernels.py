@@ -269,7 +269,7 @@ class BiasReduced(Logistic):
         a, y = self.rows(block)
         p = len(a)
         if self.beta is None:
-            return self.pack(len(y), 0.0, np.zeros(p), a @ a.T)
+            return super().local(block)
         mu = self.mean(self.beta @ a)
         w = self.weight(mu)
         if self.wants_info:
@@ -282,8 +282,8 @@ class BiasReduced(Logistic):
         self.n, dev, score, info = self.unpack(total)
         self.rounds += 1
         if self.beta is None:
-            self.drop_aliased(info, score)
-            self.beta = np.zeros(len(self.keep))
+            info, score = self.drop_aliased(info, score)
+            self.beta = scaled_inverse(info) @ score
             self.wants_info, self.best, self.held, self.halved = True, -float("inf"), None, 0
         elif self.wants_info:
             value = -0.5 * dev + 0.5 * np.linalg.slogdet(info)[1]
