@@ -34,7 +34,7 @@ def keyed_join(
     """
     on = list(on)
     if how in ("left_semi", "left_anti"):
-        tagged = right.select(*[F.col(k).alias(f"__{k}") for k in on]).distinct()
+        tagged = right.select(*[F.col(k).alias(f"__{k}") for k in on])
         pairs = [(k, f"__{k}") for k in on]
         return left.join(tagged, _conjunction(left, tagged, pairs, na_matches), how)
     clash = (set(left.columns) & set(right.columns)) - set(on)

@@ -40,6 +40,12 @@ def _as_number(df: DataFrame, column: str) -> Column:
         return F.unix_micros(column).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        # no time zone may bend the order, so it is put together from its parts
+        day = F.unix_date(F.col(column).cast("date")).cast("double")
+        return day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+    if not isinstance(kind, (T.NumericType, T.BooleanType)):
+        raise ValueError(f"no cut points for {column}: pass chunk= or order by a number first")
     return F.col(column).cast("double")
 
 

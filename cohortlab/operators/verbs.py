@@ -59,7 +59,7 @@ def keep(df: DataFrame, conditions: Sequence[Column]) -> DataFrame:
 def members(df: DataFrame, column: str, values) -> DataFrame:
     """Rows whose value is in a literal list or in another table's column."""
     if isinstance(values, DataFrame):
-        only = values.select(F.col(values.columns[0]).alias(column)).distinct()
+        only = values.select(F.col(values.columns[0]).alias(column))
         return df.join(only, column, "left_semi")
     return df.filter(F.col(column).isin(list(values)))
 

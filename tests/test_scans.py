@@ -71,3 +71,22 @@ def test_from_anchor_drops_groups_without_one(spark):
 def test_group_size_matches_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     assert rows(scans.with_group_size(df, ["k"]), "v", "n") == [(1, 2), (2, 2), (3, 1)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date"])
+def test_time_orders_are_cut(spark, kind):
+    df = spark.range(500).select(
+        (F.col("id") % 3).alias("k"),
+        F.expr(f"cast(timestamp_ntz'2024-03-30 20:00:00' + make_interval(0, 0, 0, 0, 0, id) as {kind})").alias("t"),
+        "id",
+    )
+    plain = scans.sequence_number(df, "n", ["t", "id"], ["k"], bounded=True)
+    assert rows(scans.sequence_number(df, "n", ["t", "id"], ["k"], chunks=7)) == rows(plain)
+
+
+def test_text_order_needs_a_chunk(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y")], "k string, t string")
+    with pytest.raises(ValueError):
+        scans.sequence_number(df, "n", ["t"], ["k"])
+    out = scans.sequence_number(df, "n", ["t"], ["k"], chunk=F.substring("t", 1, 1))
+    assert rows(out, "t", "n") == [("x", 1), ("y", 2)]
