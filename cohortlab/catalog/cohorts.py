@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlab.catalog.registry import curated, query, rnd, rounded, table
+from cohortlab.catalog.registry import curated, query, rounded, table
 from cohortlab.catalog.standin import QUARTER_OF_MONTH
 from cohortlab.functions import recode, terms
 from cohortlab.operators import calendar, profiles, reshape, scans, summaries, verbs

@@ -24,7 +24,7 @@ from cohortlab.models.effects import (
     with_model_group,
 )
 from cohortlab.models.fits import baseline_covariances, fit_sweep
-from cohortlab.models.spec import ModelSpec, right_hand_side, spec_grid
+from cohortlab.models.spec import ModelSpec, right_hand_side
 from cohortlab.models.split import stratified_split
 from cohortlab.plans import dag
 from cohortlab.plans.regressions import (

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.catalog.registry import curated, query, rnd, rounded, table
-from cohortlab.functions import missing, numbers, recode, terms, text
+from cohortlab.functions import missing, numbers, recode, text
 from cohortlab.operators import checks, joins, reshape, summaries, verbs
 from cohortlab.operators.calendar import calendar_rows
 from cohortlab.plans import registrar, trends

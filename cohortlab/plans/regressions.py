@@ -114,7 +114,6 @@ def model_table(analysis: DataFrame, faculty: DataFrame, division: DataFrame) ->
     df = keyed_join(analysis, faculty, ["instructor"], "left", suffixes=("", "_instructor"))
     df = keyed_join(df, division, ["title"], "left").withColumnRenamed("division", "course_division")
     df = df.filter(F.col("race_instructor").isNotNull() & F.col("course_division").isNotNull())
-    # the source names the instructor columns after joining, so none may be left bare
     return across(df, columns_like(df, "_share"), deciles)
 
 

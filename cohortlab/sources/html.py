@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame
 
 import cohortlab
 
+# The readers travel with the job; executors need no installed package.
 cloudpickle.register_pickle_by_value(cohortlab)
 
-VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr"}
-
-
 class _TableReader(HTMLParser):
     """Rows of the first table inside every nested table with a given id."""
 
@@ -31,14 +29,12 @@ class _TableReader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
-            holder = self.stack[-1] if self.stack else None
             entry = {"holder": bool(self.stack) and dict(attrs).get("id") == self.wanted}
             waiting = next((t for t in reversed(self.stack) if t["holder"] and not t.get("used")), None)
             if waiting is not None:
                 waiting["used"] = True
                 entry["rows"] = []
                 self.found.append(entry["rows"])
-            del holder
             self.stack.append(entry)
         elif self._rows() is not None:
             if tag == "tr":
