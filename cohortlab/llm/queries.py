@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import line_dedup, sentencepiece_codec, token_counts
+from cohortlab.llm import decontamination, line_dedup, sentencepiece_codec, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -53,6 +53,63 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_duplicates(docs, words=3, radius=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with ten-word windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    out = decontamination.contamination(docs, items, window=10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    hit = decontamination.words_hit(F.col("hits")).cast("long")
+    return out.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM item WHERE len(w) > 0
+), wins AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+), places AS (
+  SELECT doc_id, i, z.n, array_to_string(w[i:i + z.n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT DISTINCT n FROM sized) z
+  WHERE i + z.n - 1 <= len(w)
+), hits AS (
+  SELECT doc_id, i, places.n, item_id FROM places JOIN wins ON places.win = wins.win AND places.n = wins.n
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts through a digest cache of this run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +121,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES = {"op4_line_dedup": OP4_SQL}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
