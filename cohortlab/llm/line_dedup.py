@@ -30,7 +30,7 @@ from cohortlab.llm.common import LOWER, SPACES, UPPER, lowered
 from cohortlab.session import staged
 
 #: Distinct keys of a shard, on average.
-SHARD_KEYS = 32_768
+SHARD_KEYS = 8_192
 #: Documents of a block, on average.
 BLOCK_DOCS = 4_000
 _TO_LOWER = str.maketrans(UPPER, LOWER)

@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, line_dedup, sentencepiece_codec, simhash, token_counts
+from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, sentencepiece_codec, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by pattern, and the words that give it away."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.sanitise(docs)
+    counts = [pii.number_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +61,21 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from two thirds of the documents, predicted for all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language.held_out())
+    model = language.learn(docs.where(~F.col("held_out")))
+    out = language.identify(docs.select("doc_id", "text", "held_out"), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("id") % 20 == 0, k=20)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,8 +142,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op6_neighbours": op6_neighbours,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
