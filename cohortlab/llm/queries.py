@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, sentencepiece_codec, simhash, token_counts
+from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, secret_scan, sentencepiece_codec, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -35,6 +35,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of credentials in every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_scan.scan(docs)
+    places = F.transform("secrets", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return out.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), F.array_join(places, ",").alias("spans"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,6 +152,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_secrets": op3_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_neighbours": op6_neighbours,
