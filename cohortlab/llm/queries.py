@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, secret_scan, sentencepiece_codec, simhash, token_counts
+from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -84,6 +84,14 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, F.col("id") % 20 == 0, k=20)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in 50-byte strings that a smaller document has go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs, length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -156,6 +164,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
     "op6_neighbours": op6_neighbours,
+    "op7_repeats": op7_repeats,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
