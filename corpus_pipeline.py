@@ -1,26 +1,72 @@
-"""A training-data pipeline over `documents`: each stage applies one corpus operator to all its predecessor kept."""
+"""A training-data pipeline over `documents`: each stage applies one corpus operator to all its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of `documents`, the last one
+also the tokens. Rows without an id pass the near-duplicate stage as they are.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm import line_dedup
+from cohortlab.llm import decontamination, language, line_dedup, sentencepiece_codec, simhash
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document stays when one language has at least this share of it.
+LEAST_SHARE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or without a language that has half of them, go."""
+    model = language.learn(docs.where(~language.held_out()))
+    out = language.identify(docs.select(*COLUMNS), model)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; a document that had a text and has none left goes."""
+    """Lines found in ten documents or more go."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS)).withColumnRenamed("kept_text", "text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-STAGES = [("line_dedup", drop_lines)]
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with linked fingerprints the one with the least id stays."""
+    groups = simhash.near_duplicates(docs.select("doc_id", "text"), words=3, radius=3)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    # repeated rows of one id are copies too
+    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return kept.withColumn("nth", row).where("nth = 1 OR doc_id IS NULL").select(*COLUMNS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ten words in a row of a benchmark item go."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontamination.contamination(docs.select("doc_id", "text"), items)
+    hit = found.where(F.size("hits") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, their number, and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = sentencepiece_codec.round_trip(docs.select(*COLUMNS), model)
+    n_tokens = F.floor(F.octet_length("ids") / 4).alias("n_tokens")
+    return out.select(*COLUMNS, "ids", n_tokens, (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("language", known_language),
+    ("line_dedup", drop_lines),
+    ("near_dedup", one_of_each),
+    ("decontamination", without_benchmark),
+    ("tokens", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
