@@ -137,10 +137,10 @@ class PrefixTable:
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; the blank the model puts in front goes."""
-        raw = self.raw
-        out = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()])
-        text = out.decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        raw, ids = self.raw, np.frombuffer(ids, "<u4").tolist()
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        first = next((i for i in ids if raw[i]), None)
+        return text[1:] if self.piece.get(first, "")[:1] == MARK else text
 
 
 _LOADED: dict[str, PrefixTable] = {}

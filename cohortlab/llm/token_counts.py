@@ -55,6 +55,8 @@ class Counter:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         # where no piece spans two words, a text's count is the sum over its words
         self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces)
+        # a blank without a word: alone it would be an empty text to the library
+        self.blank = {"": 1 if self.model.piece_to_id(MARK) != self.model.unk_id() else len(MARK.encode())}
 
     def __call__(self, texts: list[str]) -> list[int]:
         if self.batch is not None:
@@ -68,6 +70,8 @@ class Counter:
                 if len(kept) + len(new) > KEPT_WORDS:
                     kept.clear()
                     new = list(set(split))
+                kept.update(self.blank)
+                new = [w for w in new if w]
                 kept.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
             out.append(sum(map(kept.__getitem__, split)))
         return out
