@@ -178,6 +178,62 @@ def first_month_orders(spark, d):
     return scans.first_period(df, ["o_custkey"], ["year", "month"]).select("o_custkey", "o_orderkey")
 
 
+# ---- the same operators with unknown keys and unknown order values --------
+
+UNKNOWN_SQL = """WITH e AS (SELECT event_id, nullif(user_id, 3) AS u, CASE WHEN event_id % 11 <> 0 THEN event_id // 7 END AS t,
+    event_type, CASE WHEN event_type = 'purchase' THEN value END AS price FROM events)
+"""
+
+
+def _unknown(spark, d):
+    return table(spark, d, "events").select(
+        "event_id",
+        F.nullif("user_id", F.lit(3)).alias("u"),
+        F.when(F.col("event_id") % 11 != 0, F.expr("event_id div 7")).alias("t"),
+        "event_type",
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("price"),
+    )
+
+
+@query(
+    "price_carried_unknown",
+    UNKNOWN_SQL
+    + """SELECT event_id, u, round(last_value(price IGNORE NULLS) OVER (PARTITION BY u ORDER BY t NULLS LAST, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS price FROM e""",
+)
+def price_carried_unknown(spark, d):
+    out = scans.carry_forward(_unknown(spark, d), ["price"], ["t", "event_id"], ["u"], chunks=5)
+    return rounded(out.select("event_id", "u", "price"), "price")
+
+
+@query(
+    "next_event_unknown",
+    UNKNOWN_SQL + "SELECT event_id, u, lead(event_id) OVER (PARTITION BY u ORDER BY t NULLS LAST, event_id) AS following FROM e",
+)
+def next_event_unknown(spark, d):
+    out = scans.next_value(_unknown(spark, d), "event_id", "following", ["t", "event_id"], ["u"], chunks=5)
+    return out.select("event_id", "u", "following")
+
+
+@query(
+    "from_last_purchase_unknown",
+    UNKNOWN_SQL
+    + """SELECT event_id, u FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN k END) OVER (PARTITION BY u) AS start
+        FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY t NULLS LAST, event_id) AS k FROM e)) WHERE k >= start""",
+)
+def from_last_purchase_unknown(spark, d):
+    out = scans.from_anchor(_unknown(spark, d), F.col("event_type") == "purchase", ["t", "event_id"], ["u"])
+    return out.select("event_id", "u")
+
+
+@query(
+    "first_period_unknown",
+    UNKNOWN_SQL + "SELECT event_id, u FROM (SELECT *, min(t) OVER (PARTITION BY u) AS first FROM e) WHERE t = first",
+)
+def first_period_unknown(spark, d):
+    return scans.first_period(_unknown(spark, d), ["u"], ["t"]).select("event_id", "u")
+
+
 @query(
     "later_course_counts",
     """SELECT DISTINCT id, n_phil, n_first_phil, n_later_phil, multiple_phil FROM students WHERE n_phil IS NOT NULL""",

@@ -72,8 +72,8 @@ def turns_above_last(spark, d):
 
 CANDIDATES = (
     EDGE_SQL
-    + """, xs AS (SELECT conv_id, node AS exposure FROM turns WHERE node IN ('t1', 't2')
-            AND (conv_id, node) NOT IN (SELECT conv_id, node FROM ends)),
+    + """, xs AS (SELECT conv_id, node AS exposure FROM turns
+            WHERE (conv_id, node) NOT IN (SELECT conv_id, node FROM ends)),
     up AS (SELECT conv_id, exposure, 'x' AS side, exposure AS node FROM xs
         UNION SELECT x.conv_id, exposure, 'y', n.node FROM xs x JOIN ends n ON x.conv_id = n.conv_id
         UNION SELECT u.conv_id, exposure, side, e.src FROM up u JOIN edges e ON u.conv_id = e.conv_id AND u.node = e.dst),
@@ -95,7 +95,7 @@ def _candidates(spark, d):
     nodes = graph.node_table(edges, _latent(spark, d), BY)
     turns = _turns(spark, d)
     last = turns.groupBy("conv_id").agg(F.concat(F.lit("t"), F.max("turn").cast("string")).alias("node"))
-    exposures = turns.filter(F.col("node").isin("t1", "t2")).select("conv_id", "node")
+    exposures = turns.select("conv_id", "node")
     exposures = exposures.join(last, ["conv_id", "node"], "left_anti")
     return graph.control_candidates(edges, nodes, exposures, last, BY)
 

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from cohortlab.catalog.registry import curated, query, rnd, rounded, table
+from cohortlab.catalog.registry import curated, folder_state, query, rnd, rounded, table
 from cohortlab.models.design import build_design, complete_cases, variables_of
 from cohortlab.models.diagnostics import (
     binary_rootogram,
@@ -44,9 +44,13 @@ from cohortlab.session import staged
 SEED = 2003
 
 
-@lru_cache(maxsize=4)
 def _modelled(spark, d):
     """The modelled rows, stored once: every fit scans them several times."""
+    return _modelled_as_of(spark, d, folder_state(spark, d))
+
+
+@lru_cache(maxsize=4)
+def _modelled_as_of(spark, d, state):
     names = sorted({v for s in model_grid({f: [dag.FOCAL] for f in dag.FOCAL}) for v in s.variables()})
     keep = ["id", "course_id", "ever_phil", "n_later_phil", "mean_grade", "other_major_share", "other_major_student"]
     df = curated(spark, d)["modelled"]
@@ -67,10 +71,19 @@ def _fit(df, specs):
 # ---- split and design ----------------------------------------------------
 
 
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+def _key(*parts) -> str:
+    """SQL of the key text: every part with its length."""
+    texts = [f"({p}::BIGINT)::VARCHAR" if str(p) == "l_quantity" else f"({p})::VARCHAR" for p in parts]
+    return " || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts)
+
+
 @query(
     "stratified_split",
     f"""SELECT id, course_id, place <= round_even(n * {TEST_SHARE}, 0) AS is_test FROM (SELECT id, course_id,
-        row_number() OVER (PARTITION BY ever_phil, demographic ORDER BY md5(id || '|' || course_id || '|{SEED}')) AS place,
+        row_number() OVER (PARTITION BY ever_phil, demographic ORDER BY md5({_key('id', 'course_id', SEED)})) AS place,
         count(*) OVER (PARTITION BY ever_phil, demographic) AS n FROM modelled)""",
     curated=True,
 )
@@ -83,14 +96,32 @@ def split_rows(spark, d):
 @query(
     "stratified_split_lines",
     f"""SELECT l_orderkey, l_linenumber, place <= round_even(n * 0.1, 0) AS is_test FROM (SELECT l_orderkey, l_linenumber,
-        row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|7')) AS place,
+        row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY md5({_key(*LINE_KEY, 7)})) AS place,
         count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem)""",
 )
 def split_lines(spark, d):
-    df = table(spark, d, "lineitem")
-    out = stratified_split(
-        df, ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 0.1, 7
+    df = table(spark, d, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("long"))
+    out = stratified_split(df, ["l_returnflag", "l_linestatus"], LINE_KEY, 0.1, 7)
+    return out.select("l_orderkey", "l_linenumber", "is_test")
+
+
+@query(
+    "stratified_split_unknown",
+    f"""SELECT l_orderkey, l_linenumber, place <= round_even(n * 0.25, 0) AS is_test FROM (SELECT l_orderkey, l_linenumber,
+        row_number() OVER (PARTITION BY flag ORDER BY md5({_key("x", "y", *LINE_KEY[:3], "l_quantity", 7)})) AS place,
+        count(*) OVER (PARTITION BY flag) AS n FROM (SELECT * REPLACE (l_quantity::BIGINT AS l_quantity), nullif(l_returnflag, 'A') AS flag,
+        CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END AS x, CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey END AS y FROM lineitem))""",
+)
+def split_unknown(spark, d):
+    even = F.col("l_suppkey") % 2 == 0
+    df = table(spark, d, "lineitem").select(
+        *LINE_KEY[:3],
+        F.col("l_quantity").cast("long").alias("l_quantity"),
+        F.nullif("l_returnflag", F.lit("A")).alias("flag"),
+        F.when(even, F.col("l_suppkey")).alias("x"),
+        F.when(~even, F.col("l_suppkey")).alias("y"),
     )
+    out = stratified_split(df, ["flag"], ["x", "y", *LINE_KEY[:3], "l_quantity"], 0.25, 7)
     return out.select("l_orderkey", "l_linenumber", "is_test")
 
 
@@ -334,6 +365,21 @@ def roc_points(spark, d):
     return rounded(out, "threshold", "specificity", "sensitivity")
 
 
+@query(
+    "roc_points_unknown",
+    ROC_SQL.format(
+        by="k,", score="l_quantity", truth="l_returnflag = 'R'", source="(SELECT *, nullif(l_linestatus, 'O') AS k FROM lineitem)", part="PARTITION BY k"
+    )
+    + """SELECT k, round(s, 6) AS threshold, round(tn / n, 6) AS specificity, round((p - fn) / p, 6) AS sensitivity FROM w
+        UNION ALL SELECT DISTINCT k, '-inf'::DOUBLE, 0, 1 FROM w UNION ALL SELECT DISTINCT k, 'inf'::DOUBLE, 1, 0 FROM w""",
+)
+def roc_points_unknown(spark, d):
+    df = table(spark, d, "lineitem").select(
+        F.nullif("l_linestatus", F.lit("O")).alias("k"), "l_quantity", (F.col("l_returnflag") == "R").alias("y")
+    )
+    return rounded(roc_curve(df, "l_quantity", "y", ["k"]), "threshold", "specificity", "sensitivity")
+
+
 @query(
     "roc_area_by_group",
     ROC_SQL.format(
@@ -450,9 +496,13 @@ def effect_bands(spark, d):
     return rounded(out, "estimate_comb", "se_comb", digits=5)
 
 
-@lru_cache(maxsize=2)
 def _grid(spark, d):
     """The whole grid fitted on the training rows, with everything read off it."""
+    return _grid_as_of(spark, d, folder_state(spark, d))
+
+
+@lru_cache(maxsize=2)
+def _grid_as_of(spark, d, state):
     return run(_modelled(spark, d), model_grid(dag.control_sets(spark)), TEST_SHARE, SEED)
 
 

@@ -34,9 +34,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load(spark, folder, [name])[name]
 
 
-@lru_cache(maxsize=4)
 def curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The registrar plan over the stand-in tables, its shared stages stored."""
+    """The registrar plan over the stand-in tables, its shared stages stored.
+
+    Kept while the folder's files stay as they are.
+    """
+    return _curated(spark, folder, folder_state(spark, folder))
+
+
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+
+
+@lru_cache(maxsize=4)
+def _curated(spark: SparkSession, folder: str, state: tuple) -> dict[str, DataFrame]:
     t = standin.tables(spark, folder)
     raw = {
         "raw_profile": standin.profile(t),

@@ -10,6 +10,7 @@ from cohortlab.functions import missing, numbers, recode, text
 from cohortlab.operators import checks, joins, reshape, summaries, verbs
 from cohortlab.operators.calendar import calendar_rows
 from cohortlab.plans import registrar, trends
+from cohortlab.plans.descriptives import MAJOR_BREAK
 from cohortlab.sources.html import list_links, table_cells
 from cohortlab.sources.tables import load, lookup_table, read_files
 
@@ -35,6 +36,16 @@ def file_constant(spark, d):
     return summaries.count_by(df, "season", "l_returnflag")
 
 
+@query(
+    "files_with_constants",
+    """SELECT 'country' AS kind, n_name AS name, count(*) AS n FROM nation GROUP BY ALL
+       UNION ALL SELECT 'continent', NULL, count(*) FROM region""",
+)
+def files_with_constants(spark, d):
+    paths = {f"{d}/nation.parquet": "country", f"{d}/region.parquet": "continent"}
+    return summaries.count_by(read_files(spark, paths, "kind", schema="n_name string"), "kind", F.col("n_name").alias("name"))
+
+
 @query(
     "page_list_links",
     r"""SELECT page_id, CAST(i - 1 AS INT) AS item_idx, hrefs[i] AS href FROM (
@@ -53,9 +64,6 @@ PRIORITY_LABELS = {
     "4-NOT SPECIFIED": "Other/Unknown",
     "5-LOW": "White",
 }
-YEARS = [str(y) for y in range(1995, 2002)]
-
-
 def trend_pages(spark, d):
     """One HTML page per quarter and nation with two nested count tables."""
     from cohortlab.catalog.standin import QUARTER_OF_MONTH
@@ -73,19 +81,21 @@ def trend_pages(spark, d):
         F.year("o_orderdate").cast("string").alias("year"),
         F.explode(marks).alias("m"),
     ).select("page", "year", "m.*")
-    counts = long.groupBy("page", "tab", "label").pivot("year", YEARS).agg(F.count(F.lit(1)))
+    span = long.agg(F.min("year"), F.max("year")).first()
+    years = [str(y) for y in range(int(span[0]), int(span[1]) + 1)] if span[0] else []
+    counts = long.groupBy("page", "tab", "label").pivot("year", years).agg(F.count(F.lit(1)))
     body = F.concat(
         F.lit("<tr><td>"),
         "label",
         F.lit("</td>"),
         *[
             F.concat(F.lit("<td>"), F.coalesce(F.format_number(y, 0), F.lit("")), F.lit("</td>"))
-            for y in YEARS
+            for y in years
         ],
         F.lit("</tr>"),
     )
-    head = "<tr><th>Label</th>" + "".join(f"<th>{y}</th>" for y in YEARS) + "</tr>"
-    total = "<tr><td>Total</td>" + "<td>1</td>" * len(YEARS) + "</tr>"
+    head = "<tr><th>Label</th>" + "".join(f"<th>{y}</th>" for y in years) + "</tr>"
+    total = "<tr><td>Total</td>" + "<td>1</td>" * len(years) + "</tr>"
     # at most eight label rows per page
     tables = counts.groupBy("page", "tab").agg(
         F.concat(
@@ -120,7 +130,7 @@ TREND_SQL = """
             WHEN '2-HIGH' THEN 'African American' WHEN '3-MEDIUM' THEN 'Chicano-Latino'
             WHEN '4-NOT SPECIFIED' THEN 'Other/Unknown' ELSE 'White' END FROM base),
     counts AS (SELECT *, count(*) AS n FROM long GROUP BY ALL),
-    grid AS (SELECT DISTINCT page, qtr, "table", category, unnest(generate_series(1995, 2001)) AS year FROM counts),
+    grid AS (SELECT DISTINCT page, qtr, "table", category, unnest(generate_series((SELECT min(year) FROM base), (SELECT max(year) FROM base))) AS year FROM counts),
     trends AS (SELECT g.page, g."table", g.category, CAST(g.year AS INT) AS year, coalesce(c.n, 0)::DOUBLE AS n, g.qtr,
         coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.page, g."table", g.year), 0) AS frac,
         g.year || g.qtr AS term
@@ -329,14 +339,14 @@ def event_ticks(spark, d):
 
 @query(
     "nested_first_courses",
-    """SELECT id, 0 AS part, string_agg(course_id, ',' ORDER BY course_id) AS courses,
+    """SELECT id, string_agg(course_id, ',' ORDER BY course_id) AS courses,
        count(*) AS n_first FROM crs_4 GROUP BY id""",
     curated=True,
 )
 def nested_first_courses(spark, d):
     df = curated(spark, d)["crs_4"]
     ids = F.transform("first_phil_course", lambda c: c["course_id"])
-    return df.select("id", "part", F.array_join(ids, ",").alias("courses"), F.size(ids).cast("long").alias("n_first"))
+    return df.select("id", F.array_join(ids, ",").alias("courses"), F.size(ids).cast("long").alias("n_first"))
 
 
 @query(
@@ -345,7 +355,7 @@ def nested_first_courses(spark, d):
 )
 def nested_round_trip(spark, d):
     df = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    return reshape.unnest(reshape.nest(df, ["o_orderkey", "o_orderpriority"], "orders", max_items=4), "orders")
+    return reshape.unnest(reshape.nest(df, ["o_orderkey", "o_orderpriority"], "orders", part=F.pmod("o_orderkey", F.lit(4))), "orders")
 
 
 @query(
@@ -361,14 +371,16 @@ def term_split(spark, d):
 @query(
     "majors_by_college",
     r"""SELECT regexp_extract(part, '[A-Z]') AS college, part AS major, CAST(sum(n) AS BIGINT) AS n FROM (
-        SELECT unnest(string_split(regexp_replace(major, ',( [FPh()])', '@@\1', 'g'), ',')) AS raw, n,
-        replace(raw, '@@', ',') AS part FROM (SELECT coalesce(major, '(Missing)') AS major, count(*) AS n FROM crs_1 GROUP BY 1))
+        SELECT unnest(string_split(regexp_replace(major, ',([ FPh()])', '@@\1', 'g'), ',')) AS raw, n,
+        replace(raw, '@@', ',') AS part FROM (SELECT replace(coalesce(major, '(Missing)'), ', ', ',') AS major, count(*) AS n FROM crs_1 GROUP BY 1))
         GROUP BY ALL""",
     curated=True,
 )
 def majors_by_college(spark, d):
-    df = curated(spark, d)["crs_1"].select(recode.explicit_missing("major").alias("major"))
-    rows = reshape.split_rows(summaries.count_by(df, "major"), "major", r",(?![ F(Ph)])|,(?= [^F(Ph) ])")
+    # the majors of the stand-in are listed with ", "; those of the source with "," alone
+    listed = F.replace(recode.explicit_missing("major"), F.lit(", "), F.lit(",")).alias("major")
+    df = curated(spark, d)["crs_1"].select(listed)
+    rows = reshape.split_rows(summaries.count_by(df, "major"), "major", MAJOR_BREAK)
     rows = rows.groupBy("major").agg(F.sum("n").alias("n"))
     return rows.select(text.capital("major").alias("college"), "major", "n")
 

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BANDS = 1000
+#: Bands that travel in one array, on average.
+SLAB_BANDS = 1000
 
 
 def _conjunction(left: DataFrame, right: DataFrame, pairs, na_matches: str) -> Column:
@@ -107,17 +108,24 @@ def band_join(
 ) -> DataFrame:
     """Band lookup with per-group bands held in a table (by, low, high, label).
 
-    The few bands of a group travel as one array, so the join is an equi-join
-    with one row per group and never pairs a row with every band. A group with
-    more than ``MAX_BANDS`` bands is refused before anything is gathered.
+    The scale is cut into slabs at quantiles of the bands' lower ends. A band
+    goes to every slab that it overlaps and a value to the one that holds it,
+    so the join is an equi-join on (group, slab): the bands of a group and slab
+    travel as one short array, however many there are in all.
     """
-    crowded = bands.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_BANDS)
-    if not crowded.isEmpty():
-        raise ValueError(f"more than {MAX_BANDS} bands in one group")
-    packed = bands.groupBy(by).agg(
+    slabs = -(-bands.count() // SLAB_BANDS)
+    cuts = sorted(set(bands.select(F.col("low").cast("double")).approxQuantile("low", [i / slabs for i in range(1, slabs)], 0.25 / slabs))) if slabs > 1 else []
+    edges = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+
+    def slab(x: Column) -> Column:
+        return F.size(F.filter(edges, lambda c: c <= x.cast("double")))
+
+    spread = F.explode(F.sequence(slab(F.col("low")), F.greatest(slab(F.col("low")), slab(F.col("high")))))
+    packed = bands.withColumn("__slab", spread).groupBy(by, "__slab").agg(
         F.array_sort(F.collect_set(F.struct("low", "high", label))).alias("__bands")
     )
     hit = F.get(
         F.filter("__bands", lambda b: (F.col(value) >= b["low"]) & (F.col(value) < b["high"])), F.lit(0)
     )
-    return df.join(packed, by, "left").withColumn(label, hit[label]).drop("__bands")
+    placed = df.withColumn("__slab", slab(F.col(value)))
+    return placed.join(packed, [by, "__slab"], "left").withColumn(label, hit[label]).drop("__bands", "__slab")

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.recode import level_index
-from cohortlab.operators.scans import CHUNK, cut_points, running_totals
+from cohortlab.operators.scans import CHUNK, CHUNK_ROWS, cut_points, running_totals
 from cohortlab.session import staged
 
 
-def value_counts(df: DataFrame, names: Sequence[str], chunks: int = 64) -> DataFrame:
-    """(variable, value, n) of numeric columns with an order-preserving chunk."""
+def value_counts(df: DataFrame, names: Sequence[str], chunks: int | None = None) -> DataFrame:
+    """(variable, value, n) of numeric columns with an order-preserving chunk.
+
+    As many chunks as the rows need, unless ``chunks`` says.
+    """
+    chunks = max(2, chunks or -(-df.count() // CHUNK_ROWS))
     work = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     cuts = cut_points(work, names, chunks)
     usable = [(c, s) for c, s in zip(names, cuts) if len(s) >= 3]

@@ -38,32 +38,18 @@ def nest(
     df: DataFrame,
     columns: Sequence[str],
     name: str,
-    max_items: int = 10_000,
-    size: Column | None = None,
+    part: Column | None = None,
 ) -> DataFrame:
     """Fold columns into an array per distinct value of all the others.
 
-    A group larger than ``max_items`` comes back as several rows that differ in
-    ``part``, so no task ever holds one unbounded group; ``unnest`` restores
-    every row either way. ``size`` gives the group size where the rows already
-    carry it; otherwise the groups are counted first.
+    One row per group: an array is what the caller asks for, so it must fit a
+    row. Groups that don't are nested in pieces: ``part`` is then an expression
+    over the rows, and there is one row per group and part. Counts and joins
+    are better taken from the flat rows; ``unnest`` restores them either way.
     """
     by = [c for c in df.columns if c not in set(columns)]
-    rows = df
-    if size is None:
-        counts = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(
-            F.count(F.lit(1)).alias("__n")
-        )
-        large = counts.filter(F.col("__n") > max_items)
-        rows = df.join(large, [df[c].eqNullSafe(F.col(f"__{c}")) for c in by], "left")
-        size = F.coalesce("__n", F.lit(1))
-    rows = rows.withColumn("__parts", F.ceil(size / F.lit(max_items)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.greatest("__parts", F.lit(1)))
-    return (
-        rows.groupBy(*by, spread.cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
-        .select(*by, "part", name)
-    )
+    keys = [*by, *([] if part is None else [part.alias("part")])]
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def unnest(df: DataFrame, name: str, keep_empty: bool = False) -> DataFrame:

@@ -6,8 +6,11 @@ is aggregated map-side, carried from chunk to chunk over the summary only, and
 added as one row to each chunk, so the full rows are shuffled once, by (key,
 chunk). ``chunk`` must never
 decrease along the order (a day, a month, a rounded value). Without one,
-quantile cut points of the first order column are used; they are computed once
-and become literals of the plan, so a recomputed task cuts the same way.
+quantile cut points of the order columns are used, as many as the rows need;
+they are computed once and become literals of the plan, so a recomputed task
+cuts the same way. Rows tied on a column are cut by the next one.
+
+NULL order values come last everywhere, and NULL keys are a group of their own.
 
 ``bounded=True`` says that every key is known to be small and takes the plain
 window.
@@ -15,6 +18,7 @@ window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -24,6 +28,8 @@ from pyspark.sql import types as T
 
 CHUNK = "__chunk"
 SEED = "__seed"
+#: Rows of a chunk, on average, when the cut points are found here.
+CHUNK_ROWS = 1_000_000
 
 
 def cut_points(df: DataFrame, columns: Sequence[str], chunks: int) -> list[list[float]]:
@@ -52,24 +58,57 @@ def _as_number(df: DataFrame, column: str) -> Column:
 def chunked(
     df: DataFrame, order: Sequence[str], chunk: Column | None = None, chunks: int | None = None
 ) -> DataFrame:
-    """Add the chunk column that cuts the order into pieces."""
+    """Add the chunk column that cuts the order into pieces.
+
+    A value that fills a chunk by itself gets one of its own, and its rows are
+    cut by the next order column.
+    """
     if chunk is not None:
         return df.withColumn(CHUNK, chunk)
-    chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = df.withColumn("__order", _as_number(df, order[0]))
-    splits = cut_points(work, ["__order"], max(chunks, 2))[0]
-    if len(splits) < 3:
-        return df.withColumn(CHUNK, F.lit(0.0))
-    cutter = Bucketizer(
-        splits=splits, inputCol="__order", outputCol=CHUNK, handleInvalid="keep"
-    )
-    return cutter.transform(work).drop("__order")
+    chunks = max(2, chunks or -(-df.count() // CHUNK_ROWS))
+    probs = [i / chunks for i in range(1, chunks)]
+    work, tied, parts, added = df, None, [], []
+    for level, name in enumerate(order):
+        try:
+            number = _as_number(df, name)
+        except ValueError:
+            if not level:
+                raise
+            break
+        place, bucket = f"__order{level}", f"__bucket{level}"
+        work = work.withColumn(place, number)
+        some = work if tied is None else work.filter(tied)
+        found = some.approxQuantile(place, probs, min(0.01, 0.25 / chunks))
+        crowded = sorted({q for q in found if found.count(q) > 1})
+        splits = sorted({*found, *(math.nextafter(q, math.inf) for q in crowded)} - {math.inf, -math.inf})
+        added += [place, bucket]
+        cutter = Bucketizer(
+            splits=[-math.inf, *(splits or [0.0]), math.inf], inputCol=place, outputCol=bucket, handleInvalid="keep"
+        )
+        work = cutter.transform(work)
+        piece = F.coalesce(bucket, F.lit(math.inf))  # unknown values come last
+        parts.append(piece if tied is None else F.when(tied, piece))
+        if not crowded:
+            break
+        here = F.col(place).isin(crowded)
+        tied = here if tied is None else tied & here
+    return work.withColumn(CHUNK, F.array(*parts)).drop(*added)
 
 
 def _window(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
+def _place(order: Sequence[str]) -> Column:
+    """The order columns as one value that sorts NULL last, like the windows."""
+    return F.struct(*[x for c in order for x in (F.col(c).isNull().alias(f"{c}_unknown"), F.col(c))])
+
+
+def _same(left: DataFrame, by: Sequence[str]) -> list[Column]:
+    """Keys equal to their copies named ``__key``; NULL is a key like any other."""
+    return [left[c].eqNullSafe(F.col(f"__{c}")) for c in by]
+
+
 def _asc(names: Sequence[str]) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
@@ -137,7 +176,7 @@ def carry_forward(
         w = _window(by).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     rows = chunked(df, order, chunk, chunks)
-    at = F.struct(*order)
+    at = _place(order)
     per_chunk = rows.groupBy(*by, CHUNK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
     )
@@ -166,7 +205,7 @@ def next_value(
         return df.withColumn(name, F.lead(column).over(_window(by).orderBy(*_asc(order))))
     rows = chunked(df, order, chunk, chunks).withColumn("__value", F.col(column))
     per_chunk = rows.groupBy(*by, CHUNK).agg(
-        F.min_by(F.struct("__value"), F.struct(*order)).alias("__first")
+        F.min_by(F.struct("__value"), _place(order)).alias("__first")
     )
     following = F.lead("__first").over(_window(by).orderBy(F.col(CHUNK).asc_nulls_last()))
     seeds = per_chunk.select(*by, CHUNK, following.alias("__next")).filter("__next is not null")
@@ -181,13 +220,13 @@ def from_anchor(
     df: DataFrame, is_anchor: Column, order: Sequence[str], by: Sequence[str]
 ) -> DataFrame:
     """Rows of each group from its (last) anchor row on; groups without one go."""
-    at = F.struct(*order)
+    at = _place(order)
     start = (
-        df.groupBy(*by)
+        df.groupBy(*[F.col(c).alias(f"__{c}") for c in by])
         .agg(F.max(F.when(is_anchor, at)).alias("__start"))
         .filter(F.col("__start").isNotNull())
     )
-    return df.join(start, list(by)).filter(at >= F.col("__start")).drop("__start")
+    return df.join(start, _same(df, by)).filter(at >= F.col("__start")).select(*df.columns)
 
 
 def first_period(df: DataFrame, by: Sequence[str], period: Sequence[str]) -> DataFrame:
@@ -196,8 +235,11 @@ def first_period(df: DataFrame, by: Sequence[str], period: Sequence[str]) -> Dat
     at = F.struct(*period)
     for k in known:
         at = F.when(k, at)
-    first = df.groupBy(*by).agg(F.min(at).alias("__first")).select(*by, "__first.*")
-    return df.join(first, [*by, *period]).select(*df.columns)
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    first = df.groupBy(*keys).agg(F.min(at).alias("__first"))
+    first = first.select(*[f"__{c}" for c in by], *[F.col(f"__first.{p}").alias(f"__{p}") for p in period])
+    same = [df[p] == F.col(f"__{p}") for p in period]
+    return df.join(first, [*_same(df, by), *same]).select(*df.columns)
 
 
 def with_group_size(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
@@ -205,5 +247,4 @@ def with_group_size(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFr
     sizes = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(
         F.count(F.lit(1)).alias(name)
     )
-    cond = [df[c].eqNullSafe(F.col(f"__{c}")) for c in by]
-    return df.join(sizes, cond, "left").drop(*[f"__{c}" for c in by])
+    return df.join(sizes, _same(df, by), "left").drop(*[f"__{c}" for c in by])

@@ -178,7 +178,7 @@ def first_rows(facts: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("n_phil"), F.min(at).alias("__first"))
         .select("id", "n_phil", F.col("__first.term").alias("term"), F.col("__first.n").alias("n_first_phil"))
     )
-    return facts.join(per, ["id", "term"])
+    return keyed_join(facts, per, ["id", "term"], "inner")
 
 
 def first_courses(facts: DataFrame) -> DataFrame:
@@ -196,14 +196,16 @@ def first_courses(facts: DataFrame) -> DataFrame:
 
 def first_course_nested(facts: DataFrame) -> DataFrame:
     """One row per student with the first courses as an array."""
-    return nest(
-        first_courses(facts), ["course_id"], "first_phil_course", size=F.col("n_first_phil")
-    )
+    return nest(first_courses(facts), ["course_id"], "first_phil_course")
 
 
 def clean_courses(facts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Facts with the totals of their course."""
-    return keyed_join(facts, totals, ["course_id"], "full", suffixes=("_student", "_course"))
+    """Facts with the totals of their course.
+
+    The totals come from these facts, so every course is on both sides and a
+    left join gives the rows of a full one; it can be split at a hot course.
+    """
+    return keyed_join(facts, totals, ["course_id"], "left", suffixes=("_student", "_course"))
 
 
 def student_output(students: DataFrame, nested: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,20 +28,44 @@ def load(
 
 
 def read_files(
-    spark: SparkSession, paths: Mapping[str, str], constant: str, format: str = "parquet", **options
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    constant: str,
+    format: str = "parquet",
+    schema: T.StructType | str | None = None,
+    **options,
 ) -> DataFrame:
     """Several files as one scan, each row tagged with its file's constant.
 
-    ``paths`` maps a path to the constant. All files must have one schema.
+    ``paths`` maps a file or folder to the constant; of nested folders the
+    inner one counts. All files must have one schema, or are read with the one
+    given. A row whose file is under
+    none of the paths (a pattern, a link) fails the read.
     """
-    df = spark.read.format(format).options(**options).load(list(paths))
-    name = F.col("_metadata.file_path")
-    tag = F.lit(None).cast("string")
-    for path, value in paths.items():
-        tag = F.when(F.contains(name, F.lit(path.rstrip("/"))), F.lit(value)).otherwise(tag)
+    reader = spark.read.format(format).options(**options)
+    df = (reader.schema(schema) if schema is not None else reader).load(list(paths))
+    name = _without_slashes(F.col("_metadata.file_path"))
+    tag = F.raise_error(F.concat(F.lit("no constant for "), name)).cast("string")
+    # longer paths are tested first
+    for full, value in sorted((_full_path(spark, p), v) for p, v in paths.items()):
+        hit = (name == full) | F.startswith(name, F.lit(full + "/"))
+        tag = F.when(hit, F.lit(value)).otherwise(tag)
     return df.withColumn(constant, tag)
 
 
+def _without_slashes(path: Column) -> Column:
+    """file:///a and file:/a are the same file."""
+    return F.regexp_replace(path, "^([a-z0-9]+:)/+(?=/)", "$1")
+
+
+def _full_path(spark: SparkSession, path: str) -> str:
+    """The path, as encoded by the file source."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = fs.makeQualified(p).toUri().toString().rstrip("/")
+    return re.sub("^([a-z0-9]+:)/+(?=/)", r"\1", full)
+
+
 def lookup_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Small literal table."""
     return spark.createDataFrame(list(rows), schema)

@@ -55,6 +55,38 @@ def test_order_column_with_one_value(spark):
     assert rows(out, "u", "n") == [(1, 1), (2, 2), (3, 1)]
 
 
+def unknown_orders(spark):
+    rows = [("a", 1, 1, 10), ("a", 1, None, 20), ("a", 2, 1, None), ("a", None, 5, 7), ("a", None, None, None), (None, 3, 1, 4), (None, None, 2, None), (None, 4, 4, None)]
+    return spark.createDataFrame(rows, "k string, t int, u int, v int")
+
+
+@pytest.mark.parametrize("how", [lambda: {"chunks": 2}, lambda: {"chunks": 6}, lambda: {"chunk": F.lit(1)}, lambda: {"chunk": F.col("t")}])
+def test_unknown_order_values_come_last(spark, how):
+    df, how = unknown_orders(spark), how()
+    for scan in (
+        lambda **h: scans.carry_forward(df, ["v"], ["t", "u"], ["k"], **h),
+        lambda **h: scans.next_value(df, "v", "nx", ["t", "u"], ["k"], **h),
+        lambda **h: scans.sequence_number(df, "n", ["t", "u"], ["k"], **h),
+    ):
+        assert rows(scan(**how)) == rows(scan(bounded=True))
+    carried = rows(scans.carry_forward(df, ["v"], ["t", "u"], ["k"], **how), "k", "t", "u", "v")
+    assert ("a", 2, 1, 20) in carried and ("a", None, None, 7) in carried
+
+
+def test_unknown_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1, "x"), (None, 2, "go"), (None, None, "y"), (7, 1, "go"), (7, None, "z")], "id int, t int, s string")
+    assert rows(scans.from_anchor(df, F.col("s") == "go", ["t"], ["id"]), "id", "s") == [(7, "go"), (7, "z"), (None, "go"), (None, "y")]
+    assert rows(scans.first_period(df, ["id"], ["t"]), "id", "s") == [(7, "go"), (None, "x")]
+
+
+def test_ties_of_one_order_value_are_cut_by_the_next(spark):
+    df = spark.range(2000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 10 < 8, 5).otherwise(F.col("id") % 7).alias("t"), "id")
+    cut = scans.chunked(df, ["t", "id"], chunks=20).groupBy(scans.CHUNK).count()
+    assert max(r["count"] for r in cut.collect()) < 300
+    plain = scans.sequence_number(df, "n", ["t", "id"], ["k"], bounded=True)
+    assert rows(scans.sequence_number(df, "n", ["t", "id"], ["k"], chunks=20)) == rows(plain)
+
+
 def test_first_period_keeps_ties_and_skips_unknown(spark):
     df = spark.createDataFrame(
         [(1, 2006, 3, "a"), (1, 2006, 3, "b"), (1, 2007, 1, "c"), (2, None, 1, "d"), (2, 2008, 10, "e"), (3, None, None, "f")],

@@ -6,20 +6,49 @@ from pyspark.sql import functions as F
 from cohortlab.functions import recode, text
 from cohortlab.operators import checks, joins, profiles, reshape, summaries, verbs
 from cohortlab.plans import trends
+from cohortlab.plans.descriptives import MAJOR_BREAK
 from cohortlab.sources import stage, tables
 from cohortlab.sources.html import list_links, table_cells
 from conftest import rows
 
 
-def test_nest_splits_large_groups_and_loses_nothing(spark):
+def test_nest_has_one_row_per_group_of_any_size(spark):
+    df = spark.range(20_010).select(F.when(F.col("id") < 20_000, "hot").when(F.col("id") < 20_004, "a").alias("k"), F.col("id").alias("v"))
+    nested = reshape.nest(df, ["v"], "items")
+    assert rows(nested.select("k", F.size("items").alias("n"))) == [("a", 4), ("hot", 20_000), (None, 6)]
+    assert rows(reshape.unnest(nested, "items")) == rows(df)
+
+
+def test_nest_in_parts_loses_nothing(spark):
     df = spark.createDataFrame([("hot", i) for i in range(500)] + [("a", 1), (None, 2), (None, 3)], "k string, v int")
-    nested = reshape.nest(df, ["v"], "items", max_items=50)
+    nested = reshape.nest(df, ["v"], "items", part=F.col("v") % 10)
     sizes = nested.select("k", F.size("items").alias("n")).collect()
     assert sum(r["n"] for r in sizes) == 503
-    assert max(r["n"] for r in sizes) < 120
+    assert max(r["n"] for r in sizes) == 50
     assert rows(reshape.unnest(nested, "items")) == rows(df)
 
 
+def test_bands_of_any_number(spark):
+    inf = float("inf")
+    bands = [("a", float(i), float(i + 1), f"b{i}") for i in range(2500)] + [("b", -inf, 3.0, "low"), ("b", 2.0, inf, "high"), ("c", 5.0, 5.0, "none")]
+    values = [("a", 0.0), ("a", 2499.5), ("a", 1234.25), ("a", 2500.0), ("b", 2.5), ("b", 9e9), ("b", -9e9), ("c", 5.0), ("d", 1.0), ("a", None)]
+    out = joins.band_join(
+        spark.createDataFrame(values, "g string, v double"), spark.createDataFrame(bands, "g string, low double, high double, level string"), "g", "v"
+    )
+    expected = ["b0", "b2499", "b1234", None, "low", "high", "low", None, None, None]
+    assert rows(out) == sorted([(*v, e) for v, e in zip(values, expected)], key=repr)
+
+
+def test_files_are_told_apart_by_their_whole_path(spark, tmp_path):
+    for name, n in (("part1", 1), ("part10", 10), ("part 1", 3), ("part1/inner", 5)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / name / "x"))
+    paths = {str(tmp_path / n / "x"): n for n in ("part1", "part10", "part 1", "part1/inner")}
+    out = tables.read_files(spark, paths, "tag").groupBy("tag").count()
+    assert rows(out) == [("part 1", 3), ("part1", 1), ("part1/inner", 5), ("part10", 10)]
+    with pytest.raises(Exception, match="no constant for"):
+        tables.read_files(spark, {str(tmp_path / "part1*" / "x"): "any"}, "tag").collect()
+
+
 def test_unnest_can_keep_empty(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [])], "k int, v array<int>")
     assert rows(reshape.unnest(df, "v")) == [(1, 1), (1, 2)]
@@ -40,7 +69,7 @@ def test_split_on_pattern(spark):
 
 def test_majors_split_keeps_program_names_whole(spark):
     df = spark.createDataFrame([("Art, (BA),LPhilosophy, Fine Arts,AS",)], "m string")
-    got = [r[0] for r in reshape.split_rows(df, "m", r",(?![ F(Ph)])").collect()]
+    got = [r[0] for r in reshape.split_rows(df, "m", MAJOR_BREAK).collect()]
     assert got == ["Art, (BA)", "LPhilosophy, Fine Arts", "AS"]
 
 
