@@ -16,9 +16,6 @@ from pyspark.sql import types as T
 
 from cohortlab.models.spec import ModelSpec
 
-MAX_LEVELS = 500
-
-
 @dataclass(frozen=True)
 class Variable:
     """How a source column becomes design columns."""
@@ -48,22 +45,11 @@ def factor_levels(
     if not names:
         return {}
     first = first or {}
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in names]
-    )
-    found = (
-        df.select(F.explode(cells).alias("c"))
-        .select("c.*")
-        .filter("v is not null")
-        .distinct()
-        .limit(MAX_LEVELS * len(names) + 1)
-        .collect()
-    )
+    # every level becomes a design column, so the levels of a model fit the driver
+    found = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in names]).first()
     out = {}
     for name in names:
-        levels = sorted(r["v"] for r in found if r["k"] == name)
-        if len(levels) > MAX_LEVELS or len(found) > MAX_LEVELS * len(names):
-            raise ValueError(f"{name} has too many levels for a factor")
+        levels = sorted(found[name])
         ref = first.get(name)
         if ref is not None and ref in levels:
             levels = [ref, *[v for v in levels if v != ref]]

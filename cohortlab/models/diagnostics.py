@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.numbers import inverse_logit
+from cohortlab.operators.joins import keyed_join
 from cohortlab.operators.scans import running_totals
 from cohortlab.session import staged
 
@@ -18,7 +19,19 @@ def score_counts(df: DataFrame, score: str, truth: str, by: Sequence[str] = ())
     The counts are stored, so the rows are scored and scanned once although
     the running totals pass over the counts several times.
     """
-    per = (
+    return counted(_scored(df, score, truth, by), by)
+
+
+def counted(per: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stored (threshold, pos, neg) counts with their totals below each score."""
+    per = staged(per, "score_counts")
+    return running_totals(
+        per, {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, ["threshold"], by
+    )
+
+
+def _scored(df: DataFrame, score: str, truth: str, by: Sequence[str]) -> DataFrame:
+    return (
         df.filter(F.col(score).isNotNull() & F.col(truth).isNotNull())
         .groupBy(*by, F.col(score).alias("threshold"))
         .agg(
@@ -26,10 +39,6 @@ def score_counts(df: DataFrame, score: str, truth: str, by: Sequence[str] = ())
             F.count_if(~F.col(truth)).alias("neg"),
         )
     )
-    per = staged(per, "score_counts")
-    return running_totals(
-        per, {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}, ["threshold"], by
-    )
 
 
 def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -39,7 +48,9 @@ def _totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def _with_totals(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = _totals(counts, by)
     if by:
-        return counts.join(totals, list(by))
+        tagged = totals.withColumnsRenamed({c: f"__{c}" for c in by})
+        same = [counts[c].eqNullSafe(F.col(f"__{c}")) for c in by]
+        return counts.join(tagged, same).drop(*[f"__{c}" for c in by])
     return counts.withColumns(
         {"P": totals.select("P").scalar(), "N": totals.select("N").scalar()}
     )
@@ -50,7 +61,11 @@ def roc_curve(df: DataFrame, score: str, truth: str, by: Sequence[str] = ()) ->
 
     The two infinite end thresholds are part of the curve.
     """
-    counts = score_counts(df, score, truth, by)
+    return curve_of(score_counts(df, score, truth, by), by)
+
+
+def curve_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The curve of counted scores."""
     full = _with_totals(counts, by)
     inner = full.select(
         *by,
@@ -85,7 +100,11 @@ def roc_curve(df: DataFrame, score: str, truth: str, by: Sequence[str] = ()) ->
 
 def roc_auc(df: DataFrame, score: str, truth: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the curve by mid-ranks of the distinct scores."""
-    counts = score_counts(df, score, truth, by)
+    return area_of(score_counts(df, score, truth, by), by)
+
+
+def area_of(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The area under the curve of counted scores."""
     pairs = F.sum(F.col("pos") * ((F.col("neg_upto") - F.col("neg")) + F.col("neg") / 2))
     size = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return counts.groupBy(*by).agg(F.try_divide(pairs, size).alias("auc"))
@@ -116,7 +135,7 @@ def count_rootogram(
         .groupBy(*by, F.ceil(F.col(fitted) - 0.5).cast("long").alias("bin"))
         .agg(F.count(F.lit(1)).alias("fitted"))
     )
-    return _side_by_side(observed, expected, [*by, "bin"])
+    return side_by_side(observed, expected, [*by, "bin"])
 
 
 def binary_rootogram(
@@ -131,13 +150,13 @@ def binary_rootogram(
     score = inverse_logit(fitted) if delogit else F.col(fitted)
     observed = df.groupBy(*by, F.col(outcome).alias("bin")).agg(F.count(F.lit(1)).alias("observed"))
     expected = df.groupBy(*by, (score > threshold).alias("bin")).agg(F.count(F.lit(1)).alias("fitted"))
-    return _side_by_side(
+    return side_by_side(
         observed.filter("bin is not null"), expected.filter("bin is not null"), [*by, "bin"]
     )
 
 
-def _side_by_side(observed: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:
-    both = observed.join(expected, on, "full").na.fill(0, ["observed", "fitted"])
+def side_by_side(observed: DataFrame, expected: DataFrame, on: list[str]) -> DataFrame:
+    both = keyed_join(observed, expected, on, "full").na.fill(0, ["observed", "fitted"])
     return both.withColumns(
         {"sqrt_observed": F.sqrt("observed"), "sqrt_fitted": F.sqrt("fitted")}
     )

@@ -43,7 +43,7 @@ FITTERS: dict[str, dict[str | None, type[Model]]] = {
 }
 
 FAN_IN = 64
-MAX_SUMS = 20_000_000  # numbers per round that reach the driver
+ROUND_SUMS = 20_000_000  # numbers that reach the driver at once, unless one model has more
 BLOCK_ROWS = 2048  # a block of design rows stays in a core's cache
 
 
@@ -73,7 +73,7 @@ class Fit:
             pi = 1.0 / (1.0 + F.exp(-self.link(design, "zero")))
             mu = F.exp(self.link(design, "count"))
             theta = float(np.exp(self.parts["count"].log_theta))
-            return pi * mu / (1.0 - F.pow(F.lit(theta) / (mu + F.lit(theta)), F.lit(theta)))
+            return pi * mu / -F.expm1(-F.lit(theta) * F.log1p(mu / F.lit(theta)))
         return 1.0 / (1.0 + F.exp(-self.link(design)))
 
     def score(self, design: Design) -> Column:
@@ -106,21 +106,31 @@ def _local_sums(models: dict[int, Model], names: Sequence[str], width: int):
 
 
 def _add_up(partial: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """Add the vectors per model, in two levels when there are many tasks."""
-    out = partial.withColumn("v", array_to_vector("sums"))
-    if tasks > FAN_IN:
-        salt = F.pmod(F.spark_partition_id(), F.lit(int(np.ceil(tasks / FAN_IN))))
-        out = out.withColumn("salt", salt)
-        out = out.groupBy("model", "salt").agg(Summarizer.sum(F.col("v")).alias("v"))
+    """Add the vectors per model, in two levels."""
+    salt = F.pmod(F.spark_partition_id(), F.lit(int(np.ceil(tasks / FAN_IN))))
+    out = partial.withColumn("v", array_to_vector("sums")).withColumn("salt", salt)
+    out = out.groupBy("model", "salt").agg(Summarizer.sum(F.col("v")).alias("v"))
     out = out.groupBy("model").agg(Summarizer.sum(F.col("v")).alias("v"))
     rows = out.select("model", vector_to_array("v").alias("v")).collect()
     return {r["model"]: np.asarray(r["v"]) for r in rows}
 
 
 def run_lockstep(table: DataFrame, width: int, models: Sequence[Model]) -> None:
-    """Advance all models together until each one is done."""
-    if sum(m.size() for m in models) > MAX_SUMS:
-        raise ValueError("too many design columns to fit these models together")
+    """Advance all models together until each one is done.
+
+    Models whose sums are more than a driver should hold at once take turns.
+    """
+    turns, held = [[]], 0
+    for m in models:
+        if turns[-1] and held + m.size() > ROUND_SUMS:
+            turns.append([])
+            held = 0
+        turns[-1].append(m)
+        held += m.size()
+    if len(turns) > 1:
+        for some in turns:
+            run_lockstep(table, width, some)
+        return
     names = sorted({m.y for m in models})
     source = table.select(*[f"x{i}" for i in range(width)], *names)
     tasks = source.rdd.getNumPartitions()
@@ -197,6 +207,83 @@ def score_models(
     return design.table.select(*names, y).mapInArrow(run, "model_idx string, score double, y double")
 
 
+def _jobs(specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str):
+    """The distinct fits of an outcome's specs, and which models each serves."""
+    distinct: dict[int, tuple[Fit, list[str]]] = {}
+    for s in specs:
+        if s.outcome != outcome:
+            raise ValueError(f"model {s.model_idx} is not a model of {outcome}")
+        fit = fits[s.model_idx]
+        distinct.setdefault(id(fit), (fit, []))[1].append(s.model_idx)
+    return [(fit.spec.model_type, fit.parts) for fit, _ in distinct.values()], [ids for _, ids in distinct.values()]
+
+
+def _per_model(counts: DataFrame, ids: Sequence[Sequence[str]]) -> DataFrame:
+    """Counts per fit to counts per model that the fit serves."""
+    named = F.array(*[F.array(*[F.lit(i) for i in some]) for some in ids])
+    out = counts.withColumn("model_idx", F.explode(F.get(named, F.col("fit"))))
+    return out.select("model_idx", *[c for c in counts.columns if c != "fit"])
+
+
+def model_score_counts(
+    design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str
+) -> DataFrame:
+    """(model_idx, threshold, pos, neg): positives and negatives per distinct score.
+
+    Each block of rows is reduced to its distinct scores where it is scored, so
+    rows x models never exist; specs that share a fit share the counts.
+    """
+    y, names = design.outcomes[outcome], [f"x{i}" for i in range(design.width)]
+    jobs, ids = _jobs(specs, fits, outcome)
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            block, truth = Block(columns[:-1], {y: columns[-1]}), columns[-1]
+            for k, (kind, parts) in enumerate(jobs):
+                with np.errstate(all="ignore"):
+                    score, ok = predict(kind, parts, block, False)
+                ok = ok & np.isfinite(truth)
+                values, at = np.unique(score[ok], return_inverse=True)
+                pos = np.bincount(at, truth[ok] > 0.5, len(values)).astype(np.int64)
+                rows = np.bincount(at, minlength=len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(values), k, np.int32)), pa.array(values), pa.array(pos), pa.array(rows - pos)],
+                    names=["fit", "threshold", "pos", "neg"],
+                )
+
+    counts = design.table.select(*names, y).mapInArrow(run, "fit int, threshold double, pos long, neg long")
+    counts = counts.groupBy("fit", "threshold").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _per_model(counts, ids)
+
+
+def model_bin_counts(
+    design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str
+) -> DataFrame:
+    """(model_idx, bin, fitted): rows per expected outcome, rounded half down.
+
+    A fitted value needs the model's variables, not the outcome.
+    """
+    names = [f"x{i}" for i in range(design.width)]
+    jobs, ids = _jobs(specs, fits, outcome)
+
+    def run(batches):
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            block = Block(columns, {outcome: columns[0]})
+            for k, (kind, parts) in enumerate(jobs):
+                with np.errstate(all="ignore"):
+                    score, ok = predict(kind, parts, block, True)
+                bins, n = np.unique(np.ceil(score[ok & np.isfinite(score)] - 0.5).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(bins), k, np.int32)), pa.array(bins), pa.array(n.astype(np.int64))],
+                    names=["fit", "bin", "fitted"],
+                )
+
+    counts = design.table.select(*names).mapInArrow(run, "fit int, bin long, fitted long")
+    return _per_model(counts.groupBy("fit", "bin").agg(F.sum("fitted").alias("fitted")), ids)
+
+
 def tidy(spark: SparkSession, specs: Sequence[ModelSpec], fits: dict[str, Fit]) -> DataFrame:
     """Coefficient table of a sweep, in design order within each component."""
     rows = []
@@ -204,12 +291,12 @@ def tidy(spark: SparkSession, specs: Sequence[ModelSpec], fits: dict[str, Fit])
         for component, model in fits[s.model_idx].parts.items():
             for i, (term, estimate, se) in enumerate(model.results()):
                 rows.append(
-                    (s.model_idx, component, i, term, estimate, se, int(model.n), bool(model.converged))
+                    (s.model_idx, component, i, term, estimate, se, int(model.n), bool(model.converged), model.status)
                 )
     return spark.createDataFrame(
         rows,
         "model_idx string, hurdle_component string, term_idx int, term string, "
-        "estimate double, se double, n_rows long, converged boolean",
+        "estimate double, se double, n_rows long, converged boolean, status string",
     )
 
 

@@ -13,6 +13,8 @@ import math
 import numpy as np
 
 ALIAS_TOL = 1e-9
+#: Log dispersion from which a settled count model is reported as at the Poisson boundary.
+POISSON_FROM = 10.0
 
 
 def independent_columns(gram: np.ndarray, tol: float = ALIAS_TOL) -> list[int]:
@@ -40,32 +42,15 @@ def scaled_inverse(gram: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(gram * np.outer(d, d), hermitian=True) * np.outer(d, d)
 
 
-def _shifted(x: np.ndarray, by: int, term) -> tuple[np.ndarray, np.ndarray]:
-    """Recurrence sum below an argument that is large enough for the series."""
-    total = np.zeros_like(x)
-    for k in range(by):
-        total += term(x + k)
-    return x + by, total
-
-
-def digamma(x: np.ndarray) -> np.ndarray:
-    z, below = _shifted(np.asarray(x, float), 8, lambda v: 1.0 / v)
-    i = 1.0 / (z * z)
-    series = i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
-    return np.log(z) - 0.5 / z - series - below
-
-
-def trigamma(x: np.ndarray) -> np.ndarray:
-    z, below = _shifted(np.asarray(x, float), 8, lambda v: 1.0 / (v * v))
-    i = 1.0 / (z * z)
-    series = i / z * (1 / 6 - i * (1 / 30 - i * (1 / 42 - i / 30)))
-    return 1.0 / z + 0.5 * i + series + below
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in x])
 
 
+def count_mean(eta: np.ndarray) -> np.ndarray:
+    """exp within the range of doubles, in fitting and scoring alike."""
+    return np.exp(np.clip(eta, -700, 700))
+
+
 class Block:
     """One batch of the design table; design rows are built once per term set."""
 
@@ -105,6 +90,14 @@ class Model:
         self.rounds = 0
         self.done = False
         self.converged = False
+        self.boundary = False
+
+    @property
+    def status(self) -> str:
+        """How the fit ended; `max_rounds` bounds the scans of one sweep."""
+        if self.boundary:
+            return "Poisson boundary"
+        return "converged" if self.converged else "stopped early"
 
     def outcome(self, y: np.ndarray) -> np.ndarray:
         """The modelled outcome; NaN leaves a row out."""
@@ -239,7 +232,7 @@ class Positive(Logistic):
 
 class Poisson(Glm):
     def mean(self, eta):
-        return np.exp(np.clip(eta, -700, 700))
+        return count_mean(eta)
 
     def weight(self, mu):
         return mu
@@ -259,48 +252,46 @@ class Poisson(Glm):
 class BiasReduced(Logistic):
     """Logistic model with the mean bias-reducing adjusted score.
 
-    Rounds alternate: one adds up the information and the penalised
-    likelihood, the next the score, whose leverages need that information.
+    The leverages of a round use the information of the round before, so score,
+    information and penalised likelihood come from one scan; where the rounds
+    settle the two are the same.
     """
 
-    max_rounds = 100
+    max_rounds = 200
 
     def local(self, block):
-        a, y = self.rows(block)
-        p = len(a)
         if self.beta is None:
             return super().local(block)
+        a, y = self.rows(block)
         mu = self.mean(self.beta @ a)
         w = self.weight(mu)
-        if self.wants_info:
-            return self.pack(len(y), float(self.deviance(y, mu)), np.zeros(p), (a * w) @ a.T)
         lev = w * ((self.cov @ a) * a).sum(axis=0)
         score = a @ (y - mu + lev * (0.5 - mu))
-        return self.pack(len(y), 0.0, score, np.zeros((p, p)))
+        return self.pack(len(y), float(self.deviance(y, mu)), score, (a * w) @ a.T)
 
     def advance(self, total):
         self.n, dev, score, info = self.unpack(total)
         self.rounds += 1
         if self.beta is None:
             info, score = self.drop_aliased(info, score)
-            self.beta = scaled_inverse(info) @ score
-            self.wants_info, self.best, self.held, self.halved = True, -float("inf"), None, 0
-        elif self.wants_info:
-            value = -0.5 * dev + 0.5 * np.linalg.slogdet(info)[1]
-            if not value >= self.best - 1e-9 * abs(self.best) and self.halved < 20:
-                self.halved += 1
-                self.beta = (self.beta + self.held) / 2
-                return
-            self.best, self.held, self.halved = value, self.beta, 0
             self.cov = scaled_inverse(info)
-            self.wants_info = False
-        else:
-            step = self.cov @ score
-            self.beta = self.beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-            spread = np.sqrt(np.clip(np.diag(self.cov), 1e-300, None))
-            self.converged = bool(np.abs(step / spread).max() < 1e-7)
-            self.done = self.converged or self.rounds >= self.max_rounds
-            self.wants_info = True
+            self.beta = self.cov @ score
+            self.best, self.held, self.halved, self.still = -float("inf"), None, 0, 0
+            return
+        value = -0.5 * dev + 0.5 * np.linalg.slogdet(info)[1]
+        if not value >= self.best - 1e-7 * abs(self.best) and self.halved < 20:
+            self.halved += 1
+            self.beta = (self.beta + self.held) / 2
+            return
+        self.best, self.held, self.halved = value, self.beta, 0
+        self.cov = scaled_inverse(info)
+        step = self.cov @ score
+        self.beta = self.beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        spread = np.sqrt(np.clip(np.diag(self.cov), 1e-300, None))
+        # two small steps in a row: the leverages have settled too
+        self.still = self.still + 1 if np.abs(step / spread).max() < 1e-7 else 0
+        self.converged = self.still >= 2
+        self.done = self.converged or self.rounds >= self.max_rounds
 
 
 class TruncatedCount(Model):
@@ -309,8 +300,7 @@ class TruncatedCount(Model):
     Newton steps in the coefficients and the log of the dispersion together.
     """
 
-    max_rounds = 60
-    widest = 10.0  # largest log dispersion: beyond it the model is Poisson
+    max_rounds = 100
 
     def outcome(self, y):
         return np.where(y > 0, y, np.nan)
@@ -331,31 +321,30 @@ class TruncatedCount(Model):
             mu = y + 0.1
             return self.pack(len(y), 0.0, a @ (mu * np.log(mu) + y - mu), (a * mu) @ a.T)
         th = math.exp(self.log_theta)
-        mu = np.exp(np.clip(self.beta @ a, -30, 30))
+        mu = count_mean(self.beta @ a)
         s = th + mu
-        ratio = th / s
-        log_zero = th * np.log(ratio)
-        zero = np.exp(log_zero)
-        odds = zero / np.clip(-np.expm1(log_zero), 1e-300, None)
+        over = np.log1p(mu / th)  # log of (theta + mu) / theta, also for a very large theta
+        zero = np.exp(-th * over)
+        odds = zero / np.clip(-np.expm1(-th * over), 1e-300, None)
         counts, back = np.unique(y, return_inverse=True)
-        theta = np.array([th])
-        lg = (log_gamma(counts + th) - math.lgamma(th) - log_gamma(counts + 1))[back]
-        dg = (digamma(counts + th) - digamma(theta)[0])[back]
-        tg = (trigamma(counts + th) - trigamma(theta)[0])[back]
+        # gamma(y + theta) / gamma(theta) as a product over the counts below y
+        below = th + np.arange(counts[-1] if len(counts) else 0)
+        upto = [np.concatenate([[0.0], np.cumsum(x)]) for x in (np.log(below / th), 1 / below, -1 / below**2)]
+        rising, dg, tg = (x[counts.astype(int)][back] for x in upto)
         value = (
-            lg
-            + th * math.log(th) + y * np.log(mu) - (y + th) * np.log(s)
-            - np.log(np.clip(-np.expm1(log_zero), 1e-300, None))
+            rising - log_gamma(counts + 1)[back]
+            + y * np.log(mu) - (y + th) * over
+            - np.log(np.clip(-np.expm1(-th * over), 1e-300, None))
         )
         # derivatives of the log zero probability
-        za, zt = -th * mu / s, np.log(ratio) + 1 - ratio
+        za, zt = -th * mu / s, mu / s - over
         ge = th * (y - mu) / s + odds * za
-        gt = dg + math.log(th) + 1 - np.log(s) - (y + th) / s + odds * zt
+        gt = dg - over + (mu - y) / s + odds * zt
         pull = odds * (1 + odds)
         hee = -th * mu * (y + th) / s**2 + pull * za**2 - odds * th**2 * mu / s**2
         het = (y - mu) * mu / s**2 + pull * za * zt - odds * mu**2 / s**2
-        htt = tg + 1 / th - 1 / s - (mu - y) / s**2
-        htt = htt + pull * zt**2 + odds * (1 / th - 1 / s - mu / s**2)
+        htt = tg + mu / (th * s) - (mu - y) / s**2
+        htt = htt + pull * zt**2 + odds * mu**2 / (th * s**2)
         gl, hel, hll = th * gt, th * het, th**2 * htt + th * gt
         p = len(a)
         hess = np.empty((p + 1, p + 1))
@@ -390,14 +379,18 @@ class TruncatedCount(Model):
         self.gradient = score
         step = step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-300))
         self.beta = self.beta + step[:-1]
-        self.log_theta = min(self.log_theta + step[-1], self.widest)
-        self.converged = bool(change < 1e-11 and values.min() > 0)
+        self.log_theta = self.log_theta + step[-1]
+        settled = bool(change < 1e-11)
+        # a dispersion that no longer changes the likelihood: the counts are Poisson
+        self.boundary = settled and self.log_theta > POISSON_FROM
+        self.converged = settled and (self.boundary or bool(values.min() > 0))
         self.done = self.converged or self.rounds >= self.max_rounds
 
     def results(self):
         se = np.sqrt(np.clip(np.diag(self.cov), 0, None))
         out = [(self.labels[j], float(b), float(s)) for j, b, s in zip(self.keep, self.beta, se)]
-        return [*out, ("Log(theta)", float(self.log_theta), float(se[-1]))]
+        spread = float("nan") if self.boundary else float(se[-1])
+        return [*out, ("Log(theta)", float(self.log_theta), spread)]
 
 
 def predict(kind: str, parts: dict, block: Block, response: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -409,10 +402,10 @@ def predict(kind: str, parts: dict, block: Block, response: bool) -> tuple[np.nd
 
     if kind == "hurdle":
         (eta, ok), (zero, ok_zero) = link(parts["count"]), link(parts["zero"])
-        theta, mu = math.exp(parts["count"].log_theta), np.exp(eta)
+        theta, mu = math.exp(parts["count"].log_theta), count_mean(eta)
         positive = 1.0 / (1.0 + np.exp(-zero))
-        return positive * mu / -np.expm1(theta * np.log(theta / (mu + theta))), ok & ok_zero
+        return positive * mu / -np.expm1(-theta * np.log1p(mu / theta)), ok & ok_zero
     eta, ok = link(parts[None])
     if not response or kind == "lm":
         return eta, ok
-    return (np.exp(eta) if kind == "Poisson" else 1.0 / (1.0 + np.exp(-eta))), ok
+    return (count_mean(eta) if kind == "Poisson" else 1.0 / (1.0 + np.exp(-eta))), ok

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.session import staged
 
 
+def key_text(*parts: Column) -> Column:
+    """One text per combination of values: every part with its length, NULL without one."""
+
+    def part(x: Column) -> Column:
+        x = x.cast("string")
+        return F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+
+    return F.concat(*[part(x) for x in parts])
+
+
 def stratified_split(
     df: DataFrame,
     strata: Sequence[str],
@@ -25,9 +35,13 @@ def stratified_split(
     is found by counting hash prefixes and then ranking only the rows that
     share the deciding prefix: a stratum is never sorted as a whole. The two
     small tables in between (one row per stratum) are stored, so Spark knows
-    their size when it decides how to join them.
+    their size when it decides how to join them. Rows with one key are refused:
+    nothing tells them apart.
     """
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    repeats = df.groupBy(*key).count().filter("count > 1")
+    if not repeats.isEmpty():
+        raise ValueError(f"the key {list(key)} is not unique")
+    text = key_text(*[F.col(k) for k in key], F.lit(seed))
     rows = df.select(*[F.col(s).alias(f"__{s}") for s in strata], F.md5(text).alias("__h"))
     marks = [f"__{s}" for s in strata]
     rows = rows.withColumn("__bin", F.substring("__h", 1, 4))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from cohortlab.functions.numbers import deciles
 from cohortlab.models.design import Design, build_design, variables_of
 from cohortlab.models.diagnostics import (
-    count_rootogram,
-    roc_auc,
-    roc_curve,
+    area_of,
+    counted,
+    curve_of,
+    side_by_side,
     threshold_sensitivity,
 )
 from cohortlab.models.effects import (
@@ -23,7 +24,14 @@ from cohortlab.models.effects import (
     with_band,
     with_model_group,
 )
-from cohortlab.models.fits import Fit, fit_sweep, score_models, tidy
+from cohortlab.models.fits import (
+    Fit,
+    fit_sweep,
+    model_bin_counts,
+    model_score_counts,
+    score_models,
+    tidy,
+)
 from cohortlab.models.spec import ModelSpec, spec_grid, spec_table
 from cohortlab.models.split import stratified_split
 from cohortlab.operators.joins import keyed_join
@@ -166,9 +174,17 @@ def roc_scores(design: Design, specs: Sequence[ModelSpec], fits: Mapping[str, Fi
 
 
 def rootograms(design: Design, specs: Sequence[ModelSpec], fits: Mapping[str, Fit], outcome: str = "n_later_phil") -> DataFrame:
-    """Observed and fitted counts of all models of a count outcome."""
-    scores = score_models(design, of_outcome(specs, outcome), fits, outcome, response=True)
-    return count_rootogram(scores, "y", "score", ["model_idx"])
+    """Observed and fitted counts of all models of a count outcome.
+
+    Observed counts are those of all rows with an outcome, the same for every
+    model; fitted ones are of all rows with the model's variables.
+    """
+    mine = of_outcome(specs, outcome)
+    fitted = model_bin_counts(design, mine, fits, outcome)
+    y = F.col(design.outcomes[outcome])
+    observed = design.table.filter(y.isNotNull()).groupBy(y.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("observed"))
+    names = F.explode(F.array(*[F.lit(s.model_idx) for s in mine])).alias("model_idx")
+    return side_by_side(observed.select("*", names), fitted, ["model_idx", "bin"])
 
 
 def run(
@@ -183,14 +199,15 @@ def run(
     test = replace(design, table=design.table.filter(F.col("is_test")))
     fits = fit_sweep(train, specs)
     coefs = coefficients(df, specs, fits)
-    scores = roc_scores(train, specs, fits)
+    binary = of_outcome(specs, "ever_phil")
+    counts = counted(model_score_counts(train, binary, fits, "ever_phil"), ["model_idx"])
     kinds = spec_table(df.sparkSession, specs).select("model_idx", "model_type")
-    curve = roc_curve(scores, "score", "y", ["model_idx"]).join(kinds, "model_idx")
+    curve = curve_of(counts, ["model_idx"]).join(kinds, "model_idx")
     return {
         "coefficients": coefs,
         "estimates": report(coefs),
         "roc": curve,
-        "auc": roc_auc(scores, "score", "y", ["model_idx"]),
+        "auc": area_of(counts, ["model_idx"]),
         "sensitivity": threshold_sensitivity(curve, F.col("model_type") == "lm"),
         "rootograms": rootograms(test, specs, fits),
         "highlights": highlights(coefs, HIGHLIGHTS),

@@ -1,6 +1,7 @@
 """Fits against numpy and MLlib, splits, diagnostics."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,14 +10,20 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
 
 from cohortlab.models import diagnostics
-from cohortlab.models.design import Variable, build_design, variables_of
-from cohortlab.models.fits import baseline_covariances, fit_sweep, tidy
+from cohortlab.models import fits as fits_module
+from cohortlab.models.design import Variable, build_design, factor_levels, variables_of
+from cohortlab.models.fits import (
+    baseline_covariances,
+    fit_sweep,
+    model_bin_counts,
+    model_score_counts,
+    score_models,
+    tidy,
+)
 from cohortlab.models.kernels import (
     Block,
     TruncatedCount,
-    digamma,
     independent_columns,
-    trigamma,
 )
 from cohortlab.models.spec import ModelSpec, expand, right_hand_side, spec_grid
 from cohortlab.models.split import stratified_split
@@ -171,10 +178,77 @@ def test_truncated_derivatives():
         np.testing.assert_allclose(-(gu - gd) / 2e-5, info[i], rtol=1e-4, atol=1e-4)
 
 
-def test_special_functions():
-    assert digamma(np.array([1.0]))[0] == pytest.approx(-0.5772156649015329)
-    assert trigamma(np.array([1.0]))[0] == pytest.approx(math.pi**2 / 6)
-    assert digamma(np.array([0.1]))[0] == pytest.approx(-10.423754940411076)
+@pytest.mark.parametrize("log_theta", [-2.0, 0.4, 5.0])
+def test_truncated_likelihood_is_the_textbook_one(log_theta):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=200), rng.poisson(4, size=200).astype(float)
+    m = TruncatedCount(["1", "x"], [(), (0,)], "y")
+    m.beta, m.log_theta = np.array([0.8, 0.3]), log_theta
+    value = m.unpack(m.local(Block([x], {"y": y})))[1]
+    a, keep = np.column_stack([np.ones(200), x]), y > 0
+    assert value == pytest.approx(truncated_loglik(a[keep], y[keep], m.beta, log_theta), rel=1e-9)
+
+
+def test_truncated_likelihood_tends_to_the_poisson_one():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=200), rng.poisson(3, size=200).astype(float)
+    m = TruncatedCount(["1", "x"], [(), (0,)], "y")
+    m.beta = np.array([0.9, 0.2])
+    mu, keep = np.exp(m.beta[0] + m.beta[1] * x), y > 0
+    lg = np.vectorize(math.lgamma)
+    poisson = (y * np.log(mu) - mu - lg(y + 1) - np.log(-np.expm1(-mu)))[keep].sum()
+    for log_theta in (20.0, 30.0):
+        m.log_theta = log_theta
+        assert m.unpack(m.local(Block([x], {"y": y})))[1] == pytest.approx(poisson, rel=1e-7)
+
+
+def test_counts_without_extra_spread_end_at_the_poisson_boundary(spark):
+    # less spread than Poisson counts have: no dispersion fits better than none
+    df = spark.createDataFrame([(float(i % 3), [0, 2, 3, 2, 3, 2][i % 6]) for i in range(600)], "x double, c long")
+    _, fit = fit_one(df, spec("c", "hurdle", (("x",),)))
+    count = fit.parts["count"]
+    assert count.status == "Poisson boundary" and count.converged
+    assert math.isnan(count.results()[-1][2])
+    assert fit.parts["zero"].status == "converged"
+
+
+def test_factor_of_many_levels(spark):
+    df = spark.range(1400).select(F.concat(F.lit("v"), F.col("id") % 700).alias("a"), F.concat(F.lit("w"), F.col("id") % 2).alias("b"))
+    out = factor_levels(df, ["a", "b"], {"b": "w1"})
+    assert len(out["a"]) == 700 and out["b"] == ("w1", "w0")
+
+
+def test_models_take_turns_when_their_sums_are_many(spark, data, monkeypatch):
+    specs = [spec("y", "logistic", (("x",),), "1"), spec("y", "lm", (("x",), ("g",)), "2")]
+    design = build_design(data, variables_of(data, ["x", "g"]), ["y"])
+    together = {k: f.parts[None].beta for k, f in fit_sweep(design, specs).items()}
+    monkeypatch.setattr(fits_module, "ROUND_SUMS", 5)
+    for k, f in fit_sweep(design, specs).items():
+        np.testing.assert_allclose(f.parts[None].beta, together[k], rtol=1e-9)
+
+
+def test_counts_of_scores_and_bins_per_model(spark, data):
+    specs = [spec("c", "Poisson", (("x",),), "1"), spec("c", "hurdle", (("x",),), "2"), spec("c", "Poisson", (("x",),), "3")]
+    design = build_design(data, variables_of(data, ["x"]), ["c"])
+    fits = fit_sweep(design, specs)
+    plain = score_models(design, specs, fits, "c", response=True).withColumn("bin", F.ceil(F.col("score") - 0.5))
+    # the rows without an outcome have a fitted value too
+    known = replace(design, table=design.table.filter("y_c is not null"))
+    got = model_bin_counts(known, specs, fits, "c")
+    assert rows(got, "model_idx", "bin", "fitted") == rows(plain.groupBy("model_idx", "bin").agg(F.count("*").alias("n")), "model_idx", "bin", "n")
+    whole = model_bin_counts(design, specs, fits, "c").groupBy("model_idx").agg(F.sum("fitted").alias("n")).collect()
+    assert {r["n"] for r in whole} == {design.table.filter("x0 is not null").count()}
+
+
+def test_scores_are_counted_per_distinct_value(spark, data):
+    specs = [spec("y", "logistic", (("g",),), "1"), spec("y", "lm", (("g",),), "2")]
+    design = build_design(data, variables_of(data, ["g"]), ["y"])
+    fits = fit_sweep(design, specs)
+    plain = score_models(design, specs, fits, "y").groupBy("model_idx", F.col("score").alias("threshold")).agg(
+        F.count_if(F.col("y") > 0.5).alias("pos"), F.count_if(F.col("y") <= 0.5).alias("neg")
+    )
+    names = ["model_idx", "threshold", "pos", "neg"]
+    assert rows(model_score_counts(design, specs, fits, "y"), *names) == rows(plain, *names)
 
 
 def test_aliased_columns_are_left_out(spark, data):
@@ -183,6 +257,21 @@ def test_aliased_columns_are_left_out(spark, data):
     assert [t for t, _, _ in fit.parts[None].results()] == ["(Intercept)", "x", "gb", "gc"]
 
 
+def test_split_keys_that_look_alike(spark):
+    df = spark.createDataFrame([("x", None), (None, "x"), ("a|b", "c"), ("a", "b|c"), ("1:a", ""), ("1", "a")], "a string, b string")
+    out = stratified_split(df.withColumn("s", F.lit(1)), ["s"], ["a", "b"], 0.5)
+    assert out.filter("is_test").count() == 3
+    with pytest.raises(ValueError):
+        stratified_split(df.union(df).withColumn("s", F.lit(1)), ["s"], ["a", "b"], 0.5)
+
+
+def test_unknown_group_has_a_whole_curve(spark):
+    df = spark.createDataFrame([(g, s, s > 2) for g in ("a", None) for s in (1.0, 2.0, 3.0, 4.0)], "g string, s double, y boolean")
+    curve = diagnostics.roc_curve(df, "s", "y", ["g"])
+    assert rows(curve.groupBy("g").count()) == [("a", 6), (None, 6)]
+    assert rows(diagnostics.roc_auc(df, "s", "y", ["g"])) == [("a", 1.0), (None, 1.0)]
+
+
 def test_independent_columns():
     a = np.array([[1, 0, 1], [1, 1, 2], [1, 2, 3], [1, 3, 4]], float)
     assert independent_columns(a.T @ a) == [0, 1]
