@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from cohortlab.llm.common import slices
 
 MARK = "▁"
-#: Words whose ids a Python worker keeps; when full it starts anew.
-KEPT_WORDS = 200_000
+#: Words whose ids a Python worker keeps, in each of two tables: when the new one is full it
+#: becomes the old one, so frequent words are never forgotten.
+KEPT_WORDS = 500_000
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -71,10 +72,12 @@ class PrefixTable:
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if self._merged(p) == [p]:  # else merging never makes this piece
-                self.automaton.add_word(p, (i, len(p)))
+                self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.size = [len(self.piece.get(i, "")) for i in range(size)]
+        self.fits: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kept_words = kept_words
 
     def _merged(self, text: str) -> list[str]:
@@ -91,24 +94,27 @@ class PrefixTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        fit = self.fits.get(key)
-        if fit is None:
-            a, b = self.piece[left], self.piece[right]
-            fit = self.fits[key] = self._merged(a + b) == [a, b]
-        return fit
+        a, b = self.piece[left], self.piece[right]
+        return self._merged(a + b) == [a, b]
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (given without the blank in front of it)."""
         text = MARK + word.replace(" ", MARK)
         last = [-1] * (len(text) + 1)  # by prefix length; -1: ends in an unknown character
-        fits, compatible = self.fits, self.compatible
-        for stop, (token, size) in self.automaton.iter(text):
-            start = stop + 1 - size
-            if start == 0 or (left := last[start]) < 0:
-                last[stop + 1] = token
-            elif (fit := fits.get((left, token))) or fit is None and compatible(left, token):
-                last[stop + 1] = token
+        fits, size = self.fits, self.size
+        for stop, token in self.automaton.iter(text):
+            stop += 1
+            if last[stop] >= 0:  # a prefix has one last token
+                continue
+            left = last[stop - size[token]]
+            if left >= 0:
+                pair = left << 32 | token
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = self.compatible(left, token)
+                if not fit:
+                    continue
+            last[stop] = token
         out, at = [], len(text)
         while at:
             token = last[at]
@@ -117,21 +123,25 @@ class PrefixTable:
                 at -= 1
             else:
                 out.append(token)
-                at -= len(self.piece[token])
+                at -= size[token]
         return out[::-1]
 
+    def _packed(self, word: str) -> bytes:
+        """The word's packed ids, from the older table or anew."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.encode_word(word), "<u4").tobytes()
+        if len(word) <= 64:
+            if len(self.kept) >= self.kept_words:
+                self.older, self.kept = self.kept, {}
+            self.kept[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         """All ids as little-endian unsigned 32-bit integers, begin and end ids included."""
-        kept, parts = self.kept, [np.uint32(self.begin).tobytes()]
+        parts = [np.uint32(self.begin).tobytes()]
         for word in words(text or ""):
-            ids = kept.get(word)
-            if ids is None:
-                if len(kept) >= self.kept_words:
-                    kept.clear()
-                ids = np.array(self.encode_word(word), "<u4").tobytes()
-                if len(word) <= 64:
-                    kept[word] = ids
-            parts.append(ids)
+            parts.append(self.kept.get(word) or self._packed(word))
         parts.append(np.uint32(self.end).tobytes())
         return b"".join(parts)
 
