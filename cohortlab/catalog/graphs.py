@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortlab.catalog.registry import query, table
 from cohortlab.operators import graph
-from cohortlab.plans.dag import controls_table
+from cohortlab.models.spec import spec_grid, spec_table
+from cohortlab.plans.dag import controls_table, spec_controls
 
 BY = ["conv_id"]
 
@@ -100,6 +101,48 @@ def _candidates(spark, d):
     return graph.control_candidates(edges, nodes, exposures, last, BY)
 
 
+SHORT = {"t1": ["t1a", "t1b"]}
+KINDS = {"a": ["lm", "logistic"], "b": ["Poisson"]}
+
+
+def _specs(spark, d):
+    """The spec grid over the control sets of the first conversation that has any."""
+    found = _candidates(spark, d)
+    first = found.agg(F.min("conv_id").alias("conv_id"))
+    # a conversation has a handful of turns, so a handful of sets
+    rows = found.join(first, "conv_id").groupBy("exposure").agg(F.sort_array(F.collect_set("control")).alias("c")).orderBy("exposure").collect()
+    sets = {r["exposure"]: [r["c"]] for r in rows}
+    return spec_table(spark, spec_grid(sets, ["length"], SHORT, KINDS, {"b": ["a"]}))
+
+
+SPECS = CANDIDATES + """, sets AS (SELECT exposure, list_sort(list(DISTINCT control)) AS cs FROM result
+        WHERE conv_id = (SELECT min(conv_id) FROM result) GROUP BY 1),
+    wide AS (SELECT exposure, flatten(list_transform(cs, lambda x: CASE WHEN x = 't1' THEN ['t1a', 't1b'] ELSE [x] END)) AS cs,
+        CASE WHEN exposure = 't1' THEN ['t1a', 't1b'] ELSE [exposure] END AS focal FROM sets),
+    grid AS (SELECT *, unnest(focal) AS one FROM wide
+        CROSS JOIN (VALUES ('full', 1), ('interaction', 2)) f(formula, f_no)
+        CROSS JOIN (VALUES ('a', 'lm', 1), ('a', 'logistic', 2), ('b', 'Poisson', 1)) k(outcome, model_type, k_no)),
+    specs AS (SELECT row_number() OVER (ORDER BY outcome, one, exposure, f_no, k_no)::VARCHAR AS model_idx, outcome, one AS focal_var, formula, model_type,
+        cs || ['length'] || focal || (CASE WHEN formula = 'interaction' THEN ['demographic'] ELSE [] END)
+        || (CASE WHEN outcome = 'b' THEN ['a'] ELSE [] END) AS mains,
+        CASE WHEN formula = 'interaction' THEN list_transform(focal, lambda v: v || ':demographic') ELSE [] END AS crossed FROM grid)
+"""
+
+
+@query("spec_rows", SPECS + "SELECT model_idx, outcome, focal_var, formula, model_type, array_to_string(mains || crossed, '+') AS terms FROM specs")
+def spec_rows(spark, d):
+    terms = F.array_join(F.transform("terms", lambda t: F.array_join(t, ":")), "+")
+    return _specs(spark, d).select("model_idx", "outcome", "focal_var", "formula", "model_type", terms.alias("terms"))
+
+
+@query(
+    "spec_control_rows",
+    SPECS + "SELECT DISTINCT focal_var AS exposure, control FROM (SELECT focal_var, unnest(mains) AS control FROM specs WHERE formula = 'full') WHERE control <> focal_var",
+)
+def spec_control_rows(spark, d):
+    return spec_controls(_specs(spark, d))
+
+
 @query("turn_controls", CANDIDATES + "SELECT * FROM result")
 def turn_controls(spark, d):
     return _candidates(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -299,13 +300,17 @@ def _returned(spark, d):
     return per.join(o, "o_orderkey").select("y", "demographic", "o_totalprice")
 
 
-def _hurdle(spark, d, terms):
+def _hurdle_fit(spark, d, terms):
     df = _returned(spark, d)
     specs = [ModelSpec("1", "y", "demographic", "full", "hurdle", terms)]
     names = [t[0] for t in terms]
     design = build_design(df, variables_of(df, names, logs=["o_totalprice"]), ["y"])
-    fits = fit_sweep(design, specs)
-    return coefficients(df, specs, fits)
+    return design, specs, fit_sweep(design, specs)
+
+
+def _hurdle(spark, d, terms):
+    design, specs, fits = _hurdle_fit(spark, d, terms)
+    return coefficients(design.table, specs, fits)
 
 
 @query(
@@ -324,6 +329,37 @@ def hurdle_zero_part(spark, d):
     return rounded(out.select("term", "estimate", "se"), "estimate", "se", digits=5)
 
 
+@query(
+    "hurdle_score_equations",
+    """SELECT component, term, 0.0::DOUBLE AS score FROM (SELECT DISTINCT o_orderpriority AS g FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+       CROSS JOIN (VALUES ('count'), ('zero')) c(component) CROSS JOIN LATERAL (SELECT CASE WHEN g = '1-URGENT' THEN '(Intercept)' ELSE 'demographic' || g END AS term)
+       UNION ALL SELECT 'count', 'Log(theta)', 0.0""",
+)
+def hurdle_score_equations(spark, d):
+    """Mean derivative of the log-likelihood by every coefficient: zero at the maximum."""
+    design, _, fits = _hurdle_fit(spark, d, (("demographic",),))
+    fit = fits["1"]
+    count, y = fit.parts["count"], F.col("y_y")
+    th, mu = F.lit(float(math.exp(count.log_theta))), F.exp(fit.link(design, "count"))
+    over = F.log1p(mu / th)
+    odds = F.exp(-th * over) / -F.expm1(-th * over)
+    by_eta = th * (y - mu) / (th + mu) - odds * th * mu / (th + mu)
+    # the sum over counts below y of 1 / (theta + i)
+    rising = F.aggregate(F.sequence(F.lit(0), F.greatest(y.cast("int") - 1, F.lit(0))), F.lit(0.0), lambda s, i: s + 1 / (th + i))
+    by_theta = rising - over + (mu - y) / (th + mu) + odds * (mu / (th + mu) - over)
+    pi = 1 / (1 + F.exp(-fit.link(design, "zero")))
+    positive = y > 0
+    cells = []
+    for part, by in (("count", F.when(positive, by_eta)), ("zero", positive.cast("double") - pi)):
+        model = fit.parts[part]
+        for j in model.keep:
+            cells.append((part, model.labels[j], by * design.term(tuple(model.columns[j]))))
+    cells.append(("count", "Log(theta)", F.when(positive, th * by_theta)))
+    one = design.table.agg(*[F.avg(x).alias(f"s{i}") for i, (_, _, x) in enumerate(cells)])
+    rows = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(t).alias("term"), F.col(f"s{i}").alias("score")) for i, (c, t, _) in enumerate(cells)])
+    return rounded(one.select(F.explode(rows).alias("r")).select("r.*"), "score", digits=5)
+
+
 @query("hurdle_both_parts")
 def hurdle_both_parts(spark, d):
     out = _hurdle(spark, d, (("demographic",), ("o_totalprice",)))

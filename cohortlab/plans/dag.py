@@ -37,35 +37,72 @@ GENERAL_CONTROLS = ["year", "quarter"]
 
 # Each node with its direct causes.
 PARENTS = {
-    "outcome": "practical_major undeclared_student other_major_student philosophy_person mentoring",
-    "admission_type": "class",
-    "bias": "dmg instructor_log_total instructor_demographics",
-    "classroom_culture": "bias n_students mean_grade current_phil_share other_major_share "
-    "peer_demographics instructor_demographics course_division instructor_log_total",
-    "course_division": "admission_type",
-    "current_phil_share": "course_division",
-    "dmg": "instructor_demographics instructor_log_total",
-    "field_spec_ability": "classroom_culture grade_diff prior_perceptions mentoring",
-    "gender_race_schemas": "classroom_culture prior_perceptions current_phil_share "
-    "peer_demographics instructor_demographics",
-    "grade_diff": "dmg prev_phil_course",
-    "instructor_log_total": "course_division",
-    "instructor_demographics": "instructor_log_total",
-    "logic_systematic_abstract": "classroom_culture prior_perceptions current_phil_share "
-    "peer_demographics instructor_demographics",
-    "mean_grade": "bias peer_demographics instructor_demographics current_phil_share "
-    "instructor_log_total",
-    "mentoring": "instructor_demographics bias instructor_log_total",
-    "n_students": "course_division instructor_log_total",
-    "other_major_student": "other_major_share",
-    "other_major_share": "course_division instructor_log_total",
-    "practical_major": "class",
-    "undeclared_student": "admission_type course_division other_major_student",
-    "peer_demographics": "current_phil_share instructor_demographics",
-    "philosophy_person": "prior_perceptions classroom_culture gender_race_schemas mentoring "
-    "logic_systematic_abstract grade_diff field_spec_ability",
-    "prev_phil_course": "admission_type class undeclared_student",
-    "prior_perceptions": "class",
+    "outcome": [
+        "practical_major",
+        "undeclared_student",
+        "other_major_student",
+        "philosophy_person",
+        "mentoring",
+    ],
+    "admission_type": ["class"],
+    "bias": ["dmg", "instructor_log_total", "instructor_demographics"],
+    "classroom_culture": [
+        "bias",
+        "n_students",
+        "mean_grade",
+        "current_phil_share",
+        "other_major_share",
+        "peer_demographics",
+        "instructor_demographics",
+        "course_division",
+        "instructor_log_total",
+    ],
+    "course_division": ["admission_type"],
+    "current_phil_share": ["course_division"],
+    "dmg": ["instructor_demographics", "instructor_log_total"],
+    "field_spec_ability": ["classroom_culture", "grade_diff", "prior_perceptions", "mentoring"],
+    "gender_race_schemas": [
+        "classroom_culture",
+        "prior_perceptions",
+        "current_phil_share",
+        "peer_demographics",
+        "instructor_demographics",
+    ],
+    "grade_diff": ["dmg", "prev_phil_course"],
+    "instructor_log_total": ["course_division"],
+    "instructor_demographics": ["instructor_log_total"],
+    "logic_systematic_abstract": [
+        "classroom_culture",
+        "prior_perceptions",
+        "current_phil_share",
+        "peer_demographics",
+        "instructor_demographics",
+    ],
+    "mean_grade": [
+        "bias",
+        "peer_demographics",
+        "instructor_demographics",
+        "current_phil_share",
+        "instructor_log_total",
+    ],
+    "mentoring": ["instructor_demographics", "bias", "instructor_log_total"],
+    "n_students": ["course_division", "instructor_log_total"],
+    "other_major_student": ["other_major_share"],
+    "other_major_share": ["course_division", "instructor_log_total"],
+    "practical_major": ["class"],
+    "undeclared_student": ["admission_type", "course_division", "other_major_student"],
+    "peer_demographics": ["current_phil_share", "instructor_demographics"],
+    "philosophy_person": [
+        "prior_perceptions",
+        "classroom_culture",
+        "gender_race_schemas",
+        "mentoring",
+        "logic_systematic_abstract",
+        "grade_diff",
+        "field_spec_ability",
+    ],
+    "prev_phil_course": ["admission_type", "class", "undeclared_student"],
+    "prior_perceptions": ["class"],
 }
 
 # Nodes that nobody measured.
@@ -101,8 +138,8 @@ LABELS = {
 }
 
 
-def model_edges(spark: SparkSession, parents: Mapping[str, str] = PARENTS) -> DataFrame:
-    rows = [(node, names.split()) for node, names in parents.items()]
+def model_edges(spark: SparkSession, parents: Mapping[str, Sequence[str]] = PARENTS) -> DataFrame:
+    rows = [(node, list(names)) for node, names in parents.items()]
     return edges_from_parents(
         spark.createDataFrame(rows, "node string, parents array<string>"), "node", "parents"
     )
@@ -116,7 +153,14 @@ def model_nodes(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def control_sets(
     spark: SparkSession, focal: Sequence[str] = tuple(FOCAL)
 ) -> dict[str, list[list[str]]]:
-    """One sorted control set per focal variable, ready for the spec grid."""
+    """One sorted control set per focal variable, ready for the spec grid.
+
+    A set may be empty: nothing then needs adjusting. A variable that is not in
+    the model has no set at all, and is refused.
+    """
+    nodes = {*PARENTS, *(p for names in PARENTS.values() for p in names)}
+    if unknown := set(focal) - nodes:
+        raise ValueError(f"no control set for {sorted(unknown)}: not in the causal model")
     edges = model_edges(spark)
     found = control_candidates(
         edges,
@@ -130,6 +174,17 @@ def control_sets(
     return {v: sets.get(v, [[]]) for v in focal}
 
 
+def spec_controls(specs: DataFrame) -> DataFrame:
+    """(exposure, control) rows of a spec table: the main effects beside the focal variable.
+
+    ``specs`` is :func:`cohortlab.models.spec.spec_table`; the controls that all
+    models share come with them.
+    """
+    mains = F.filter("terms", lambda t: F.size(t) == 1)
+    rows = specs.filter("formula = 'full'").select(F.col("focal_var").alias("exposure"), F.explode(mains).alias("t"))
+    return rows.select("exposure", F.col("t")[0].alias("control")).filter("control <> exposure").distinct()
+
+
 def controls_table(pairs: DataFrame, levels: Sequence[str], always: Sequence[str]) -> DataFrame:
     """(exposure, control) rows to a table of X marks, some controls always on."""
     wide = indicators(pairs, ["exposure"], "control", levels)

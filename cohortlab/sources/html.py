@@ -7,6 +7,7 @@ is DataFrame work.
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -80,6 +81,20 @@ def _tables_of(html: str, wanted: str):
                 yield t, i, row[0], j, name, value
 
 
+def _texts(batches, page: str, html: str):
+    for pdf in batches:
+        for key, text in zip(pdf[page], pdf[html]):
+            if text:
+                yield key, text
+
+
+def _frames(rows, names: list[str]):
+    """Rows to frames of a bounded size, whatever a batch of pages holds."""
+    rows = iter(rows)
+    while some := list(islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(some, columns=names)
+
+
 def table_cells(df: DataFrame, page: str, html: str, table_id: str = "main") -> DataFrame:
     """One row per table cell: page, table_idx, row_idx, label, col_idx, header, value.
 
@@ -88,18 +103,12 @@ def table_cells(df: DataFrame, page: str, html: str, table_id: str = "main") ->
     source = df.select(page, html)
     kind = source.schema[page].dataType.simpleString()
 
+    names = [page, "table_idx", "row_idx", "label", "col_idx", "header", "value"]
+
     def run(batches):
-        for pdf in batches:
-            rows = [
-                (key, *cell)
-                for key, text in zip(pdf[page], pdf[html])
-                if text
-                for cell in _tables_of(text, table_id)
-            ]
-            yield pd.DataFrame(
-                rows,
-                columns=[page, "table_idx", "row_idx", "label", "col_idx", "header", "value"],
-            )
+        yield from _frames(
+            ((key, *cell) for key, text in _texts(batches, page, html) for cell in _tables_of(text, table_id)), names
+        )
 
     return source.mapInPandas(
         run,
@@ -107,6 +116,9 @@ def table_cells(df: DataFrame, page: str, html: str, table_id: str = "main") ->
         "header string, value string",
     )
 
+#: Rows of a frame handed back to Spark.
+FRAME_ROWS = 10_000
+
 
 class _LinkReader(HTMLParser):
     """Links that are the content of a list item."""
@@ -141,16 +153,15 @@ def list_links(df: DataFrame, page: str, html: str) -> DataFrame:
     source = df.select(page, html)
     kind = source.schema[page].dataType.simpleString()
 
+    def links(batches):
+        for key, text in _texts(batches, page, html):
+            reader = _LinkReader()
+            reader.feed(text)
+            reader.close()
+            for i, (href, inside) in enumerate(reader.items):
+                yield key, i, href, inside
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, text in zip(pdf[page], pdf[html]):
-                if not text:
-                    continue
-                reader = _LinkReader()
-                reader.feed(text)
-                reader.close()
-                rows += [(key, i, h, t) for i, (h, t) in enumerate(reader.items)]
-            yield pd.DataFrame(rows, columns=[page, "item_idx", "href", "text"])
+        yield from _frames(links(batches), [page, "item_idx", "href", "text"])
 
     return source.mapInPandas(run, f"`{page}` {kind}, item_idx int, href string, text string")

@@ -40,6 +40,11 @@ def stage(spark: SparkSession, folder: str, name: str, build: Callable[[], DataF
         build().write.parquet(draft)
         fs, target = _fs(spark, path)
         _, source = _fs(spark, draft)
-        if not fs.rename(source, target) and not exists(spark, path):
+        # another builder may have finished meanwhile; onto a folder that is there,
+        # some file systems move the draft inside it and report success
+        placed = not fs.exists(target) and fs.rename(source, target)
+        _, inside = _fs(spark, f"{path}/{source.getName()}")
+        fs.delete(inside if placed else source, True)
+        if not exists(spark, path):
             raise OSError(f"could not put stage {path} in place")
     return read(spark, path)

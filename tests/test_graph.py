@@ -35,7 +35,7 @@ def test_model_has_the_expected_size(spark):
 
 
 def test_controls_equal_set_logic(spark):
-    parents = {k: v.split() for k, v in dag.PARENTS.items()}
+    parents = dag.PARENTS
     got = dag.control_sets(spark)
     assert set(got) == set(dag.FOCAL)
     for x in dag.FOCAL:
