@@ -46,6 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def run_folder(spark: SparkSession) -> str:
+    """What this application keeps in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/cohortlab/{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete all tables that this application staged; call it when their readers are done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor never replays the whole loop."""
     shared_dir(df.sparkSession)
@@ -56,12 +67,12 @@ def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where a result is scanned many times: the columns stay prunable and
-    nothing depends on an executor's memory. ``spread`` is for tables that feed
+    nothing depends on an executor's memory; :func:`clear_run` deletes them. ``spread`` is for tables that feed
     heavy per-row work: one that came out in fewer pieces than there are cores
     is written again in more.
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark).rstrip('/')}/cohortlab/{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
     def stored(data: DataFrame, path: str) -> DataFrame:
         data.write.parquet(path)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlab import session
 from cohortlab.functions import recode, text
 from cohortlab.operators import checks, joins, profiles, reshape, summaries, verbs
 from cohortlab.plans import trends
@@ -228,3 +229,19 @@ def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark) == named
     assert named in staged(spark.range(3), "three").inputFiles()[0]
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path):
+    kept = session.staged(spark.range(3).toDF("i"), "three")
+    assert kept.count() == 3 and session.run_folder(spark) in kept.inputFiles()[0].replace("file://", "")
+    other = tmp_path / "kept"
+    spark.range(2).write.parquet(str(other))
+    folder = session.run_folder(spark)
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr(session, "run_folder", lambda s: folder + "/aside")
+    inside = session.staged(spark.range(4).toDF("i"), "four")
+    session.clear_run(spark)
+    monkey.undo()
+    assert kept.count() == 3 and spark.read.parquet(str(other)).count() == 2
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        inside.count()
