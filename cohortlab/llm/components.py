@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cohortlab.session import staged
@@ -13,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     joined = both.where("v > u").join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs one round. The
     number of rounds grows with the logarithm of the longest chain.
     """
-    edges = staged(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    edges = staged(edges.select("u", "v").where("u <> v"), "edges")
     before = None
     while True:
-        edges = staged(_small_star(_large_star(edges)), "stars")
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # what the round wrote is counted as it is written
+        seen = Observation()
+        marks = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+        edges = staged(_small_star(_large_star(edges)).observe(seen, *marks), "stars")
+        row = seen.get
         if row == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select("v", "v").distinct()

@@ -165,9 +165,8 @@ def _links(radius: int):
 
 
 def linked(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all links."""
-    distinct = fps.select("fp").distinct()
-    variants = distinct.mapInArrow(_variants(radius), "variant long, fp long")
+    """(a, b): links whose components are those of all links; ``fps`` are distinct."""
+    variants = fps.select("fp").mapInArrow(_variants(radius), "variant long, fp long")
     dealt = variants.repartition("variant").sortWithinPartitions("variant")
     return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
