@@ -37,7 +37,7 @@ WORD_PLACES = 16
 CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+/_.@-]{12,}+={0,2}"
 _KEY = r"(?i)(?:token|password|passwd|secret|api_?key|access_?key|auth)[\"']?\s*[:=]\s*[\"']?$"
 _KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)$"
-_HARMLESS = r"^(?:[^@]+@[A-Za-z0-9.-]+|[0-9.+/-]+|[0-9]+(?:\.[0-9]+)+|(?:www\.|https?:).*|/?(?:[a-z_.-]+/)+[a-z0-9_.-]+)$"
+_HARMLESS = r"^(?:[^@]+@[A-Za-z0-9.-]+|[0-9.+/-]+|[0-9]+(?:\.[0-9]+)+|(?:www\.|https?:).*|/?(?:[a-z0-9_.-]+/)+[a-z0-9_.-]*)$"
 
 NUMBERS = ["length", "switches", "pair_fit", "coverage", "slashes", "at", "dots", "digits", "joined", "quoted"]
 
