@@ -55,6 +55,8 @@ class Model:
 
     def __init__(self, names: list[str], counts: np.ndarray):
         self.names = names
+        if not names:
+            return
         total = counts.sum(axis=1, keepdims=True)
         log_p = np.log((counts + SMOOTHING) / (total + SMOOTHING * BUCKETS))
         # only the languages' likelihoods against each other matter

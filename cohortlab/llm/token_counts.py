@@ -109,10 +109,11 @@ def fill(docs: DataFrame, cache: str, tokenizer_path: str, doc_id: str = "doc_id
     known = opened(spark, cache).where(F.col("version") == version).select("digest")
     missing = keyed.groupBy("digest").agg(F.min("id").alias("from_id")).join(known, "digest", "left_anti")
     missing = missing.withColumnRenamed("digest", "wanted")
-    # one document per content; rows with the same id and text may be encoded twice
+    # one document per content; of rows with the same id and text one count is stored
     same = (F.col("digest") == F.col("wanted")) & F.col("id").eqNullSafe(F.col("from_id"))
     texts = keyed.join(missing.hint("shuffle_hash"), same).select("digest", "text")
     counted = texts.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens bigint")
+    counted = counted.dropDuplicates(["digest"])
     counted.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
 
