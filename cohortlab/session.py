@@ -57,12 +57,6 @@ def clear_run(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor never replays the whole loop."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -13,8 +13,6 @@ import check
 from conftest import TESTDATA
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# more than a few seconds each and run by tools/check.py
-SLOW = {"model_grid_effects", "model_grid_areas", "model_grid_rootograms"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +23,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, TESTDATA)
     plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
