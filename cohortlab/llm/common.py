@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised operators take at a time; one longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,6 +47,8 @@ def slices(batches, column: str = "text", most: int = SLICE_BYTES) -> Iterator[p
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # workers live on to the next stage: what this one held goes back
+    pa.default_memory_pool().release_unused()
 
 
 def binaries(parts) -> pa.Array:

@@ -32,7 +32,7 @@ from cohortlab.session import staged
 #: Distinct keys of a shard, on average.
 SHARD_KEYS = 8_192
 #: Documents of a block, on average.
-BLOCK_DOCS = 4_000
+BLOCK_DOCS = 2_000
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
