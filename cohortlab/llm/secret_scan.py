@@ -1,6 +1,8 @@
 """Operator 3: secret scan with a random forest against false positives.
 
-1. Candidates are runs of twelve or more credential characters with a digit in them.
+1. Candidates are headers of private keys, what follows a credential key (any run without
+   blanks), passwords in URLs, and elsewhere runs of twelve or more credential characters
+   with a digit in them.
 2. Features of a candidate: its length; character transitions (changes of character class,
    and how likely its letter pairs are in the corpus' words); dictionary coverage (share
    of its letters in words that ``COMMON`` documents have); path and address marks; the
@@ -34,18 +36,35 @@ TRAINING_ROWS = 20_000
 TREES, DEPTH = 20, 6
 WORD_PLACES = 16
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+/_.@-]{12,}+={0,2}"
-_KEY = r"(?i)(?:token|password|passwd|secret|api_?key|access_?key|auth)[\"']?\s*[:=]\s*[\"']?$"
-_KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+)$"
+_WORDS = r"(?i:token|password|passwd|secret|api_?key|access_?key|auth)"
+_HEADER = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"
+# the first look-behind is quick and keeps most places from the second; what closes or
+# ends a list or a sentence in brackets behind the value is not of it
+_GIVEN = r"(?<=[:=]\s{0,8}[\"']?)(?=[^\s\"'])(?<=" + _WORDS + r"[\"']?\s{0,8}[:=]\s{0,8}[\"']?)\S+?(?=[\"'][\s,;:)\]}>]|[\"']?[,;)\]}>]{0,8}(?:\s|\z))"
+_IN_URL = r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/?#]+(?=@)"
+_RUN = r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])[A-Za-z0-9+/_.@-]{12,}+={0,2}"
+CANDIDATE = f"{_HEADER}|{_GIVEN}|{_IN_URL}|{_RUN}"
+_KEY = _WORDS + r"[\"']?\s*[:=]\s*[\"']?$"
+_KNOWN = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+|-----BEGIN .*)$"
+#: Words and calls that code has after a key; the forest decides on them.
+_NO_VALUE = r"(?i)^(?:none|null|nil|true|false|undefined|[<\[{$%*(].*|.*\(.*)$"
 _HARMLESS = r"^(?:[^@]+@[A-Za-z0-9.-]+|[0-9.+/-]+|[0-9]+(?:\.[0-9]+)+|(?:www\.|https?:).*|/?(?:[a-z0-9_.-]+/)+[a-z0-9_.-]*)$"
 
 NUMBERS = ["length", "switches", "pair_fit", "coverage", "slashes", "at", "dots", "digits", "joined", "quoted"]
 
 
-def rule_labels(value: Column, before: Column) -> Column:
-    """1 for a known format or a value given to a key, 0 for addresses and numbers, else null."""
-    secret = F.rlike(value, F.lit(_KNOWN)) | F.rlike(before, F.lit(_KEY))
-    return F.when(secret, F.lit(1.0)).when(F.rlike(value, F.lit(_HARMLESS)), F.lit(0.0))
+def rule_labels(value: Column, before: Column, after: Column) -> Column:
+    """1 for a known format, a value given to a key or a password in a URL, 0 for addresses and
+    numbers, else null.
+
+    After a key it has to look given: six characters with a digit, or joined by a bare
+    equals sign or quoted. A word after a colon can be prose, and the forest decides.
+    """
+    key = F.rlike(before, F.lit(_KEY))
+    given = (F.length(value) >= 6) & F.rlike(value, F.lit("[0-9]")) | F.rlike(before, F.lit(r"(?:[^\s]=|[\"'])$"))
+    url = F.rlike(before, F.lit(r"://[^\s:/@]*:$")) & F.startswith(after, F.lit("@"))
+    secret = F.rlike(value, F.lit(_KNOWN)) | key & given & ~F.rlike(value, F.lit(_NO_VALUE)) | url
+    return F.when(secret, F.lit(1.0)).when(~key & F.rlike(value, F.lit(_HARMLESS)), F.lit(0.0))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -66,7 +85,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
-    """One row per candidate (row, start, end, value, before) with its features and ``word_k`` places.
+    """One row per candidate (row, start, end, value, before, after) with its features and ``word_k`` places.
 
     ``words`` is the dictionary: (term, n_docs).
     """
@@ -76,7 +95,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     word = F.lower(F.regexp_extract("before", r"([\p{L}_]+)[^\p{L}_]*$", 1))
     size = F.length("value")
     rows = rows.select(
-        "row", "start", "end", "value", "before",
+        "row", "start", "end", "value", "before", "after",
         size.cast("double").alias("length"),
         _share(F.length(classes) - 1, size - 1).alias("switches"),
         _share(F.length(F.regexp_replace(value, "[^/]", "")), size).alias("slashes"),
@@ -123,7 +142,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, common: int = COMMO
     found = staged(candidates(docs), "candidates")
     words = staged(document_words(docs.select("text")).where(F.col("n_docs") >= common), "words")
     rows = features(found, words)
-    rule = rule_labels(F.col("value"), F.col("before"))
+    rule = rule_labels(F.col("value"), F.col("before"), F.col("after"))
     if labelled is None:
         rows = rows.withColumn("label", rule)
     else:

@@ -120,6 +120,23 @@ def test_scan_without_training_data(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def found_in(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secrets] for r in secret_scan.scan(docs, common=2).collect()}
+
+
+def test_short_and_odd_values_after_a_key(spark):
+    given = ["Hunter2!x", "Summer2024", "correct-horse-battery", "pass1234", "-----BEGIN RSA PRIVATE KEY-----", "p:w@1", "üé#9 x"[:4], "x9!"]
+    texts = [f"password={given[0]} and", f"password: {given[1]}", f"x secret={given[2]}, and", f"go to db://user:{given[3]}@db.host/a1 now", f"{given[4]}\nabc", f"redis://:{given[5]}@h:6379", f'{{"token": "{given[6]}","user":"x"}}', f"(passwd='{given[7]}')"]
+    plain = ["the password: none of them", "auth = None", "http://host:8080/path/to/12", "a@mail12.example.com"]
+    alone = found_in(spark, texts + plain[:2])
+    assert [alone[i] for i in range(len(texts))] == [[g] for g in given] and not any(alone[len(texts) + i] for i in range(2))
+    rows, _ = findings(3, 240)
+    got = found_in(spark, [*texts, *plain[2:], *(t for _, t, _ in rows)])
+    assert [got[len(texts) + i] for i in range(2)] == [[], []]
+    assert all(got[i] == [given[i]] for i in range(len(texts)))
+
+
 def test_plans_have_no_python(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     for out in (pii.sanitise(docs), secret_scan.scan(docs, common=2)):
