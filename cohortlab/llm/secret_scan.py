@@ -8,8 +8,10 @@
    of its letters in words that ``COMMON`` documents have); path and address marks; the
    word in front, hashed, and how it is joined to the candidate.
 3. A random forest is trained on labelled findings: a table given by the caller, or else
-   those that the rules in `rule_labels` are sure of, ``TRAINING_ROWS`` at most (those
-   with the smallest hashes). It decides on every candidate.
+   those that the rules in `rule_labels` are sure of. Of either class ``TRAINING_ROWS``
+   distinct values at most (those with the smallest hashes) train it, so rare secrets all
+   do, and both classes weigh the same. It decides on every candidate, except that what
+   the rules are sure is a secret stays one, unless the caller's labels say otherwise.
 
 All by built-in functions and the DataFrame API of the ML library. Without labels of both
 classes nothing can be trained, and the rules alone decide.
@@ -32,6 +34,7 @@ from cohortlab.session import staged
 
 #: A word is in the dictionary when this many documents have it.
 COMMON = 20
+#: Distinct values of each class that the forest learns from, at most.
 TRAINING_ROWS = 20_000
 TREES, DEPTH = 20, 6
 WORD_PLACES = 16
@@ -131,6 +134,22 @@ def _pair_fit(rows: DataFrame, words: DataFrame) -> DataFrame:
     return known.groupBy("row", "start").agg(F.avg(F.coalesce("fit", F.lit(-10.0))).alias("pair_fit"))
 
 
+def training_sample(rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """(label, value, weight, ``names``): ``most`` distinct values of each label at most.
+
+    Which values, and the one row of features of each, depend on contents alone and not on
+    how the table is dealt to files.
+    """
+    values = rows.where("label IS NOT NULL").groupBy("label", "value").agg(F.min(F.struct(*names)).alias("f"))
+    values = staged(values.select("label", "value", "f.*"), "labelled")
+    sample = [values.where(F.col("label") == k).orderBy(F.xxhash64("value"), "value").limit(most) for k in (0.0, 1.0)]
+    sample = staged(sample[0].union(sample[1]).coalesce(1), "training")
+    sizes = sample.groupBy("label").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
+    weights = sizes.crossJoin(total).select("label", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    return sample.join(F.broadcast(weights), "label")
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, common: int = COMMON, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` without text, with ``n_candidates`` and ``secrets``.
 
@@ -149,12 +168,15 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, common: int = COMMO
         given = labelled.groupBy("value").agg(F.max(F.col("label").cast("double")).alias("label"))
         rows = rows.join(given, "value", "left")
     names = [*NUMBERS, *(f"word_{k}" for k in range(WORD_PLACES))]
-    rows = staged(VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("row", "start", "end", "value", "label", rule.alias("rule"), "features"), "features")
-    training = rows.where("label IS NOT NULL").orderBy(F.xxhash64("value", "row", "start")).limit(training_rows)
+    vector = VectorAssembler(inputCols=names, outputCol="features")
+    rows = staged(rows.withColumn("rule", rule).select("row", "start", "end", "value", "label", "rule", *names), "features")
+    training = staged(training_sample(rows, names, training_rows), "training")
     classes = training.groupBy("label").count().count()
     if classes == 2:
-        forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(staged(training, "training"))
-        rows = forest.transform(rows).withColumn("probability", vector_to_array("probability")[1])
+        forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(vector.transform(training))
+        rows = forest.transform(vector.transform(rows))
+        sure = (F.col("rule") == 1) & (F.coalesce("label", F.lit(1.0)) == 1)
+        rows = rows.withColumn("probability", F.when(sure, F.lit(1.0)).otherwise(vector_to_array("probability")[1]))
     else:
         rows = rows.withColumn("probability", F.coalesce("rule", F.lit(0.0)))
     hits = rows.where("probability > 0.5").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "probability"))).alias("secrets"))

@@ -137,6 +137,24 @@ def test_short_and_odd_values_after_a_key(spark):
     assert all(got[i] == [given[i]] for i in range(len(texts)))
 
 
+def test_rare_secrets_train_and_sure_ones_stay(spark):
+    rng = random.Random(5)
+    key = "AKIA" + "".join(rng.choice("0123456789ABCDEF") for _ in range(16))
+    texts = [f"mail user{i}@mail{i}.example.com now" for i in range(300)] + [f"my {key} here"] * 2
+    for parts in (1, 5):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: [(s.start, s.end) for s in r.secrets] for r in secret_scan.scan(docs, common=2, training_rows=20).collect()}
+        assert sorted(i for i in got if got[i]) == [300, 301]
+        assert got[300] == [(3, 23)]
+    rows = [(float(i == 7), f"value{i % 60}", i % 3 + 0.5) for i in range(300)]
+    sample = [
+        sorted(map(tuple, secret_scan.training_sample(spark.createDataFrame(rows, "label double, value string, x double").repartition(k), ["x"], 20).select("label", "value", "x", "weight").collect()))
+        for k in (1, 7)
+    ]
+    assert sample[0] == sample[1] and [r[0] for r in sample[0]] == [0.0] * 20 + [1.0]
+    assert sum(r[3] for r in sample[0] if r[0]) == pytest.approx(sum(r[3] for r in sample[0] if not r[0]))
+
+
 def test_plans_have_no_python(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string")
     for out in (pii.sanitise(docs), secret_scan.scan(docs, common=2)):
