@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlab.catalog import standin
 from cohortlab.plans import registrar
 from cohortlab.plans.regressions import model_table
-from cohortlab.session import staged
+from cohortlab.session import staged, times_cleared
 from cohortlab.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,10 +43,11 @@ def curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def folder_state(spark: SparkSession, folder: str) -> tuple:
-    """Names, sizes and times of a folder's files."""
+    """Names, sizes and times of a folder's files, and whether what was staged from them still stands."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))
+    return times_cleared(), *files
 
 
 @lru_cache(maxsize=4)

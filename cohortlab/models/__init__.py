@@ -1,8 +1 @@
 """Regression grids: specs, design, lockstep fits, diagnostics and effects."""
-
-from pyspark import cloudpickle
-
-import cohortlab
-
-# Task-side helpers travel with the job; executors need no installed package.
-cloudpickle.register_pickle_by_value(cohortlab)

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_cleared = 0
+
 
 def session(app: str = "cohortlab", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are planned for."""
@@ -51,8 +53,18 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortlab/{spark.sparkContext.applicationId}"
 
 
+def times_cleared() -> int:
+    """How often this process has deleted its staged tables."""
+    return _cleared
+
+
 def clear_run(spark: SparkSession) -> None:
-    """Delete all tables that this application staged; call it when their readers are done."""
+    """Delete all tables that this application staged; call it when their readers are done.
+
+    What is kept over staged tables between calls is keyed by :func:`times_cleared`.
+    """
+    global _cleared
+    _cleared += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -61,19 +73,15 @@ def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where a result is scanned many times: the columns stay prunable and
-    nothing depends on an executor's memory; :func:`clear_run` deletes them. ``spread`` is for tables that feed
-    heavy per-row work: one that came out in fewer pieces than there are cores
-    is written again in more.
+    nothing depends on an executor's memory; :func:`clear_run` deletes them.
+    ``spread`` is for tables that feed heavy per-row work: they are dealt to as
+    many pieces as there are cores at least.
     """
     spark = df.sparkSession
-    folder = f"{run_folder(spark)}/{uuid.uuid4().hex}"
-
-    def stored(data: DataFrame, path: str) -> DataFrame:
-        data.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    out = stored(df, f"{folder}/{name}")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and out.rdd.getNumPartitions() < cores:
-        out = stored(out.repartition(cores), f"{folder}/{name}_spread")
-    return out
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    out = df
+    if spread:
+        # in turn and not by contents: equal rows may be many
+        out = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    out.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,13 +10,8 @@ from html.parser import HTMLParser
 from itertools import islice
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-import cohortlab
-
-# The readers travel with the job; executors need no installed package.
-cloudpickle.register_pickle_by_value(cohortlab)
 
 class _TableReader(HTMLParser):
     """Rows of the first table inside every nested table with a given id."""

@@ -1,5 +1,7 @@
 """Edge-table operators against plain set logic."""
 
+import random
+
 from cohortlab.operators import graph
 from cohortlab.plans import dag
 from conftest import rows
@@ -53,3 +55,48 @@ def test_graphs_do_not_mix(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c")], "g int, src string, dst string")
     start = spark.createDataFrame([(1, "a"), (2, "a")], "g int, node string")
     assert rows(graph.reachable(edges, start, ["g"])) == [(1, "a"), (1, "b"), (2, "a")]
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    real = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: written.append(name) or real(df, name))
+    n = 300
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    start = spark.createDataFrame([(0, "p"), (250, "q")], "node long, search string")
+    got = rows(graph.reachable(edges, start))
+    assert got == sorted([(i, "p") for i in range(n + 1)] + [(i, "q") for i in range(250, n + 1)], key=repr)
+    assert written.count("found") <= 10
+
+
+def test_hubs_are_not_squared(spark, monkeypatch):
+    written = []
+    real = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: written.append(df) or real(df, name))
+    n = 200
+    edges = [(f"a{i}", "hub") for i in range(n)] + [("hub", f"b{i}") for i in range(n)] + [("b7", "end"), ("end", "b8")]
+    found = rows(graph.reachable(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("a3",)], "node string")))
+    assert found == sorted([("a3",), ("hub",), ("end",)] + [(f"b{i}",) for i in range(n)], key=repr)
+    assert max(df.count() for df in written) <= 2 * len(edges)
+
+
+def test_random_graphs_against_plain_search(spark):
+    rng = random.Random(5)
+    edges = [(g, rng.randint(0, 30), rng.randint(0, 30)) for g in range(4) for _ in range(18 + 12 * g)]
+    starts = [(g, rng.randint(0, 30)) for g in range(5) for _ in range(3)]
+    for up in (False, True):
+        step = {}
+        for g, a, b in edges:
+            step.setdefault((g, b if up else a), []).append((g, a if up else b))
+        expected = set()
+        for start in starts:
+            todo, seen = [start], {start}
+            while todo:
+                for node in step.get(todo.pop(), []):
+                    if node not in seen:
+                        seen.add(node)
+                        todo.append(node)
+            expected |= {(g, node, start[1]) for g, node in seen}
+        first = spark.createDataFrame([(g, n, n) for g, n in starts], "g int, node int, origin int")
+        got = graph.reachable(spark.createDataFrame(edges, "g int, src int, dst int"), first, ["g"], up=up)
+        assert rows(got) == sorted(expected, key=repr)

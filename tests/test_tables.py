@@ -10,7 +10,7 @@ from cohortlab.plans import trends
 from cohortlab.plans.descriptives import MAJOR_BREAK
 from cohortlab.sources import stage, tables
 from cohortlab.sources.html import list_links, table_cells
-from conftest import rows
+from conftest import TESTDATA, rows
 
 
 def test_nest_has_one_row_per_group_of_any_size(spark):
@@ -245,3 +245,13 @@ def test_staged_tables_can_be_cleared(spark, tmp_path):
     assert kept.count() == 3 and spark.read.parquet(str(other)).count() == 2
     with pytest.raises(Exception, match="(?i)exist|not found"):
         inside.count()
+
+
+def test_curated_queries_survive_a_clearing(spark, monkeypatch):
+    from cohortlab.catalog import cohorts, registry  # noqa: F401  (registers the query)
+
+    folder = session.run_folder(spark)
+    monkeypatch.setattr(session, "run_folder", lambda s: folder + "/once")
+    before = registry.QUERIES["course_totals"](spark, TESTDATA).count()
+    session.clear_run(spark)
+    assert registry.QUERIES["course_totals"](spark, TESTDATA).count() == before
