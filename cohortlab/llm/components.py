@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.session import staged
@@ -33,13 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges.select("u", "v").where("u <> v"), "edges")
     before = None
     while True:
-        # what the round wrote is counted as it is written
-        seen = Observation()
-        marks = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
-        edges = staged(_small_star(_large_star(edges)).observe(seen, *marks), "stars")
-        row = seen.get
-        if row == before:
+        edges = staged(_small_star(_large_star(edges)), "stars")
+        # how many, and a sum that tells two rounds apart
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if seen == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select("v", "v").distinct()
             )
-        before = row
+        before = seen

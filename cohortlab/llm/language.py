@@ -62,6 +62,13 @@ class Model:
         # only the languages' likelihoods against each other matter
         self.ratio = np.ascontiguousarray(np.exp(log_p - log_p.max(axis=0)).T.astype(np.float32))
 
+    @classmethod
+    def of(cls, names: list[str], ratio: np.ndarray | None) -> Model:
+        """The model of its plain values, as they are sent to the tasks."""
+        out = cls([], np.zeros(0))
+        out.names, out.ratio = names, ratio
+        return out
+
     def mixtures(self, column, penalty: float) -> tuple[np.ndarray, np.ndarray]:
         """Language proportions of each text, and the number of its trigrams."""
         texts, langs = len(column), len(self.names)
@@ -152,10 +159,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
     docs = docs.drop("lang_pred", "score", "languages")
     extra = "lang_pred string, score double, languages map<string, double>"
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(extra).fields])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast of this class would need the package on the workers' path
+    shipped = docs.sparkSession.sparkContext.broadcast((model.names, getattr(model, "ratio", None)))
 
     def run(batches):
-        model = shipped.value
+        model = Model.of(*shipped.value)
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             readable = [bool(model.names) and t is not None and _LETTER.search(t) is not None for t in texts]

@@ -22,15 +22,17 @@ ones too; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+import uuid
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm.pii import document_words
 from cohortlab.llm.spans import matches
-from cohortlab.session import staged
+from cohortlab.session import run_folder, staged
 
 #: A word is in the dictionary when this many documents have it.
 COMMON = 20
@@ -150,6 +152,13 @@ def training_sample(rows: DataFrame, names: list[str], most: int) -> DataFrame:
     return sample.join(F.broadcast(weights), "label")
 
 
+def _stored(forest: RandomForestClassificationModel, spark: SparkSession) -> RandomForestClassificationModel:
+    """The forest by way of the shared folder: without the training summary, which holds the session."""
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}/forest"
+    forest.save(path)
+    return RandomForestClassificationModel.load(path)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, common: int = COMMON, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``docs`` without text, with ``n_candidates`` and ``secrets``.
 
@@ -174,7 +183,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, common: int = COMMO
     classes = training.groupBy("label").count().count()
     if classes == 2:
         forest = RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=7).fit(vector.transform(training))
-        rows = forest.transform(vector.transform(rows))
+        rows = _stored(forest, docs.sparkSession).transform(vector.transform(rows))
         sure = (F.col("rule") == 1) & (F.coalesce("label", F.lit(1.0)) == 1)
         rows = rows.withColumn("probability", F.when(sure, F.lit(1.0)).otherwise(vector_to_array("probability")[1]))
     else:
