@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, simhash, token_counts
+from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -157,6 +157,49 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+#: SQL of the checksum of a text: half a byte at a time, with the 16 fixed values of the polynomial 0xEDB88320.
+def crc32_sql(text: str) -> str:
+    values = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948]
+    values += [3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+    table = "[" + ", ".join(f"{v}::UINTEGER" for v in values) + "]"
+    half = lambda c: f"xor(({c}) >> 4, {table}[(({c}) & 15)::INT + 1])"
+    numbers = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::UINTEGER)"
+    return f"xor(list_reduce(list_prepend(4294967295::UINTEGER, {numbers}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295::UINTEGER)::BIGINT"
+
+
+SHARDS = 16
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to 16 shards by their ids, and to 17."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.deal(docs, sharding.even(SHARDS), {str(SHARDS): 1.0})
+    out = sharding.numbered(dealt, ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+OP12_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+         coalesce('=' || doc_id, '') AS k
+  FROM documents
+), scored AS (
+  SELECT *, list_transform(range(0, {SHARDS + 1}), lambda s:
+         -1 / ln((('0x' || left(md5(k || '/' || s), {sharding.DIGITS}))::BIGINT + 0.5::DOUBLE) / 16::DOUBLE ** {sharding.DIGITS})) AS scores
+  FROM sized
+), dealt AS (
+  SELECT *, (list_position(scores[1:{SHARDS}], list_max(scores[1:{SHARDS}])) - 1)::INTEGER AS shard,
+         (list_position(scores, list_max(scores)) - 1)::INTEGER AS grown_shard
+  FROM scored
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k || ':=' || text_crc32 || ':=' || size)) - 1 AS slot, grown_shard
+FROM dealt
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
@@ -168,6 +211,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op12_sharding": op12_sharding,
 }
 
-ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op12_sharding": OP12_SQL}
