@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
+from cohortlab.llm import conversations, decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -200,6 +200,77 @@ FROM dealt
 """
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their cheapest repair and its digest."""
+    rows = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.digests(rows)
+
+
+_SAID_SQL = "[2, 2, 3, 2][c.q + 1]"
+_PUT_IN = (
+    "{'q': " + _SAID_SQL + ", 'cost': c.cost + 2, 'audit': c.audit || 'I', "
+    "'out': list_append(c.out, CASE " + _SAID_SQL + " WHEN 2 THEN 'user:' ELSE 'assistant:' END)}"
+)
+_NO_ROW = "{'q': 0, 'cost': 0::BIGINT, 'audit': '', 'out': []::VARCHAR[]}"
+OP13_SQL = rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, (SELECT unnest([0, 1]) AS copy) WHERE fate <> 0 AND (copy = 0 OR fate = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS stripped, left(role, 1) AS initial
+  FROM damaged
+), faulty AS (
+  SELECT *, CASE WHEN stripped = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(stripped, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS said
+  FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND said || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), every AS (
+  SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(n, 0) AS n, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+         coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+), repaired AS (
+  SELECT conv_id, 0 AS i, unnest([{_NO_ROW}, {{'q': 2, 'cost': 2::BIGINT, 'audit': 'I', 'out': ['user:']}},
+         {{'q': 3, 'cost': 4::BIGINT, 'audit': 'II', 'out': ['user:', 'assistant:']}}]) AS c
+  FROM every
+  UNION ALL
+  SELECT conv_id, i, min({{'cost': c.cost, 'audit': c.audit, 'q': c.q, 'out': c.out}})::STRUCT(cost BIGINT, audit VARCHAR, q INTEGER, out VARCHAR[]) AS b
+  FROM (
+    SELECT conv_id, i, unnest([c, d, e]) AS c FROM (
+      SELECT conv_id, i, c, d, {_PUT_IN.replace("c.", "d.")} AS e FROM (
+        SELECT conv_id, i, c, {_PUT_IN} AS d FROM (
+          SELECT p.conv_id, p.i + 1 AS i, unnest(list_filter([
+            {{'q': c.q, 'cost': c.cost + 3, 'audit': c.audit || 'D', 'out': c.out}},
+            CASE WHEN fault NOT IN ('b', 'd') AND kept IS NOT NULL THEN
+              {{'q': kept, 'cost': c.cost + (fault = 't')::INT, 'audit': c.audit || 'K', 'out': list_append(c.out, role || ':' || text)}} END,
+            CASE WHEN fault NOT IN ('b', 'd') THEN
+              {{'q': {_SAID_SQL}, 'cost': c.cost + 2 + (fault = 't')::INT, 'audit': c.audit || 'R',
+                'out': list_append(c.out, CASE {_SAID_SQL} WHEN 2 THEN 'user:' ELSE 'assistant:' END || text)}} END
+          ], lambda x: x IS NOT NULL)) AS c
+          FROM (SELECT r.conv_id, r.i, r.c, f.fault, f.role, f.text,
+                       CASE WHEN f.initial = 's' AND r.c.q = 0 THEN 1 WHEN f.initial = 'u' AND r.c.q IN (0, 1, 3) THEN 2
+                            WHEN f.initial = 'a' AND r.c.q = 2 THEN 3 END AS kept
+                FROM repaired r JOIN faulty f ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = r.i + 1) p))))
+  GROUP BY conv_id, i, c.q
+), least AS (
+  SELECT r.conv_id, min({{'cost': c.cost, 'audit': c.audit, 'out': c.out}}) AS c
+  FROM repaired r JOIN every e ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.n WHERE c.q IN (0, 3) GROUP BY r.conv_id
+)
+SELECT e.conv_id, gaps, blank, duplicate, truncated, illegal, c.cost AS cost, c.audit AS audit,
+       sha256(array_to_string(c.out, chr(10))) AS repaired_sha256
+FROM every e JOIN least l ON e.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_sentencepiece": op2_sentencepiece,
@@ -212,6 +283,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
     "op12_sharding": op12_sharding,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op12_sharding": OP12_SQL}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op12_sharding": OP12_SQL, "op13_conversations": OP13_SQL}
