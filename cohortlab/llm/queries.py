@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import conversations, decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, sharding, simhash, token_counts
+from cohortlab.llm import conversations, decontamination, language, line_dedup, neighbours, pii, repeats, secret_scan, sentencepiece_codec, sharding, simhash, spelling, token_counts
 from cohortlab.llm.common import table
 from cohortlab.session import shared_dir
 
@@ -167,6 +167,43 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::UINTEGER, {numbers}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295::UINTEGER)::BIGINT"
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words of the documents' words, with some letters left out, and their forms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.vocabulary(spelling.with_slips(spelling.runs(docs))))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), coded AS (
+  SELECT run, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs WHERE length(run) >= 6
+), words AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM coded)
+  WHERE length(word) >= 6 GROUP BY word HAVING count(*) >= 5
+), places AS (
+  SELECT word, n, unnest(range(0, length(word))) AS i FROM words
+), holes AS (
+  SELECT word, n, left(word, i) || '?' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS shorter FROM places
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.shorter = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, min({{'lost': -n, 'word': other}}) AS best FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.lost >= 5 * w.n THEN best.word END AS form,
+         CASE WHEN -best.lost >= 5 * w.n THEN -best.lost END AS form_n
+  FROM words w LEFT JOIN near ON w.word = near.word
+), chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word
+)
+SELECT f.word, form, c.root, n, n_near, form_n FROM formed f JOIN chain c ON f.word = c.word WHERE c.next IS NULL
+"""
+
+
 SHARDS = 16
 
 
@@ -282,8 +319,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling": op11_spelling,
     "op12_sharding": op12_sharding,
     "op13_conversations": op13_conversations,
 }
 
-ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op12_sharding": OP12_SQL, "op13_conversations": OP13_SQL}
+ORACLES = {"op4_line_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op11_spelling": OP11_SQL, "op12_sharding": OP12_SQL, "op13_conversations": OP13_SQL}
