@@ -16,6 +16,7 @@ from cohortlab.models.diagnostics import (
     roc_curve,
     threshold_sensitivity,
 )
+from cohortlab.models.grouped import fit_groups
 from cohortlab.models.effects import (
     back_transformed,
     focal_effects,
@@ -367,6 +368,73 @@ def hurdle_both_parts(spark, d):
     return rounded(out, "estimate", "se", digits=4)
 
 
+# ---- one formula in every group --------------------------------------------
+
+
+def newton_sql(link: str, cells: str, start: str, rounds: int = 25) -> str:
+    """Coefficients of intercept and one regressor in every group ``k``, by Newton steps in SQL.
+
+    ``cells`` gives (k, x, n, y): equal rows as one, with their number and sum of outcomes;
+    ``link`` the mean and weight as functions of eta.
+    """
+    mean, weight = (("1 / (1 + exp(-eta))", "mu * (1 - mu)") if link == "logistic" else ("exp(eta)", "mu"))
+    return f"""WITH RECURSIVE cells AS ({cells}),
+        steps AS (
+          SELECT DISTINCT k, 0 AS i, {start} AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS va, 0.0::DOUBLE AS vb FROM (SELECT k, sum(y) AS y, sum(n) AS n FROM cells GROUP BY k)
+          UNION ALL
+          SELECT k, i + 1, any_value(a) + (sum(w * x * x) * sum(r) - sum(w * x) * sum(r * x)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2),
+            any_value(b) + (sum(w) * sum(r * x) - sum(w * x) * sum(r)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2),
+            sum(w * x * x) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2), sum(w) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2)
+          FROM (SELECT *, n * {weight} AS w, y - n * mu AS r FROM (SELECT *, {mean} AS mu FROM
+            (SELECT s.k, i, a, b, x, n, y, a + b * x AS eta FROM steps s JOIN cells c ON s.k IS NOT DISTINCT FROM c.k WHERE i < {rounds})))
+          GROUP BY k, i
+        )
+        SELECT s.k, a, b, sqrt(va) AS sa, sqrt(vb) AS sb, n FROM steps s
+        JOIN (SELECT k, sum(n)::BIGINT AS n FROM cells GROUP BY k) t ON s.k IS NOT DISTINCT FROM t.k WHERE i = {rounds}"""
+
+
+def _by_group_sql(link: str, cells: str, start: str, key: str, term: str) -> str:
+    return f"""SELECT k AS {key}, unnest(['(Intercept)', '{term}']) AS term, round(unnest([a, b]), 5) + 0.0 AS estimate,
+        round(unnest([sa, sb]), 5) AS se, n AS n_rows FROM ({newton_sql(link, cells, start)})"""
+
+
+@query(
+    "logistic_by_supplier",
+    _by_group_sql(
+        "logistic",
+        "SELECT l_suppkey AS k, l_quantity / 10 AS x, count(*) AS n, sum((l_returnflag = 'R')::INT) AS y FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY ALL",
+        "0.0::DOUBLE",
+        "l_suppkey",
+        "tens",
+    ),
+)
+def logistic_by_supplier(spark, d):
+    """Whether a line is returned, by its quantity: one model per supplier."""
+    df = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_returnflag") == "R").alias("returned"), (F.col("l_quantity") / 10).alias("tens"))
+    out = fit_groups(df, ["l_suppkey"], ModelSpec("1", "returned", "tens", "full", "logistic", (("tens",),)))
+    return rounded(out.select("l_suppkey", "term", "estimate", "se", "n_rows"), "estimate", "se", digits=5)
+
+
+@query(
+    "poisson_by_customer",
+    _by_group_sql(
+        "Poisson",
+        """SELECT nullif(c_nationkey, 3) AS k, l_discount * 10 AS x, count(*) AS n, sum(l_linenumber) AS y FROM lineitem
+           JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL""",
+        "ln(y / n)",
+        "nation",
+        "discount",
+    ),
+)
+def poisson_by_customer(spark, d):
+    """Line numbers by discount: one model per customers' nation, one of them unknown."""
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer")}
+    lines = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    df = lines.select(F.nullif("c_nationkey", F.lit(3)).alias("nation"), "l_linenumber", (F.col("l_discount") * 10).alias("discount"))
+    out = fit_groups(df, ["nation"], ModelSpec("1", "l_linenumber", "discount", "full", "Poisson", (("discount",),)))
+    return rounded(out.select("nation", "term", "estimate", "se", "n_rows"), "estimate", "se", digits=5)
+
+
 # ---- scores and diagnostics ----------------------------------------------
 
 
