@@ -311,6 +311,7 @@ def majors_unpivoted(spark, d):
     )
 
 
+# The columns that SQL names; the queries look the levels up.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -321,9 +322,10 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
     + " FROM events GROUP BY user_id",
 )
 def events_pivoted(spark, d):
-    best = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    out = reshape.wider(best, ["user_id"], "event_type", "value", EVENT_TYPES)
-    return rounded(out, *EVENT_TYPES)
+    events = table(spark, d, "events")
+    types = reshape.levels_of(events, "event_type")
+    best = events.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
+    return rounded(reshape.wider(best, ["user_id"], "event_type", "value", types), *types)
 
 
 @query(
@@ -334,7 +336,8 @@ def events_pivoted(spark, d):
 )
 def event_ticks(spark, d):
     df = table(spark, d, "events").withColumn("day", F.to_date("ts").cast("string"))
-    return reshape.ticks(reshape.indicators(df, ["user_id", "day"], "event_type", EVENT_TYPES), EVENT_TYPES)
+    types = reshape.levels_of(df, "event_type")
+    return reshape.ticks(reshape.indicators(df, ["user_id", "day"], "event_type", types), types)
 
 
 @query(

@@ -16,6 +16,18 @@ def longer(
     return df.unpivot(ids, list(values), key, value)
 
 
+#: Columns that a table is spread over at most, where its levels are looked up.
+MOST_LEVELS = 10_000
+
+
+def levels_of(df: DataFrame, key: str, most: int = MOST_LEVELS) -> list[str]:
+    """The levels of ``key`` in order, to be columns; more than a table can be wide are refused."""
+    found = df.select(F.col(key).cast("string")).where(F.col(key).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{key} has more than {most} levels: keep it in rows")
+    return sorted(r[0] for r in found)
+
+
 def wider(
     df: DataFrame, by: Sequence[str], key: str, value: str, levels: Sequence[str]
 ) -> DataFrame:

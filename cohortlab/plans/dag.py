@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators.graph import (
-    control_candidates,
+    adjustable,
     edges_from_parents,
     labelled_nodes,
     node_table,
 )
-from cohortlab.operators.reshape import indicators, ticks
+from cohortlab.operators.reshape import indicators, levels_of, ticks
 
 OUTCOME = "outcome"
 
@@ -150,43 +150,59 @@ def model_nodes(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return labelled_nodes(node_table(edges, hidden), LABELS, OUTCOME, FOCAL, MEASURED_CONTROLS)
 
 
-def control_sets(
-    spark: SparkSession, focal: Sequence[str] = tuple(FOCAL)
-) -> dict[str, list[list[str]]]:
+def control_sets(spark: SparkSession, focal: Sequence[str] = tuple(FOCAL)) -> dict[str, list[list[str]]]:
     """One sorted control set per focal variable, ready for the spec grid.
 
-    A set may be empty: nothing then needs adjusting. A variable that is not in
-    the model has no set at all, and is refused.
+    A set may be empty: nothing then needs adjusting. A variable without a set, because it
+    is not in the model or a latent cause can't be adjusted for, is refused.
     """
     nodes = {*PARENTS, *(p for names in PARENTS.values() for p in names)}
     if unknown := set(focal) - nodes:
         raise ValueError(f"no control set for {sorted(unknown)}: not in the causal model")
     edges = model_edges(spark)
-    found = control_candidates(
+    found, valid = adjustable(
         edges,
         node_table(edges, spark.createDataFrame([(n,) for n in LATENT], "name string")),
         spark.createDataFrame([(v,) for v in focal], "node string"),
         spark.createDataFrame([(OUTCOME,)], "node string"),
     )
     # at most one row per pair of nodes of the hand-written model
-    rows = found.groupBy("exposure").agg(F.sort_array(F.collect_set("control")).alias("c")).collect()
+    rows = checked_controls(found, valid).groupBy("exposure").agg(F.sort_array(F.collect_set("control")).alias("c")).collect()
     sets = {r["exposure"]: [list(r["c"])] for r in rows}
-    return {v: sets.get(v, [[]]) for v in focal}
+    return {v: sets[v] for v in focal}
 
 
-def spec_controls(specs: DataFrame) -> DataFrame:
-    """(exposure, control) rows of a spec table: the main effects beside the focal variable.
+def checked_controls(found: DataFrame, valid: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, exposure, control) of every exposure; NULL the control of one that needs none.
+
+    ``found`` and ``valid`` are those of :func:`cohortlab.operators.graph.adjustable`. An
+    exposure without a valid set is refused, for a collection of graphs too, and a few are named.
+    """
+    keys = [*by, "exposure"]
+    if bare := valid.filter("NOT valid").select(*keys).limit(5).collect():
+        raise ValueError(f"no control set for {[tuple(r) for r in bare]}")
+    return valid.select(*keys).join(found, keys, "left")
+
+
+def spec_controls(specs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, exposure, control) rows of a spec table: the main effects beside the focal variable.
 
     ``specs`` is :func:`cohortlab.models.spec.spec_table`; the controls that all
     models share come with them.
     """
     mains = F.filter("terms", lambda t: F.size(t) == 1)
-    rows = specs.filter("formula = 'full'").select(F.col("focal_var").alias("exposure"), F.explode(mains).alias("t"))
-    return rows.select("exposure", F.col("t")[0].alias("control")).filter("control <> exposure").distinct()
+    rows = specs.filter("formula = 'full'").select(*by, F.col("focal_var").alias("exposure"), F.explode(mains).alias("t"))
+    return rows.select(*by, "exposure", F.col("t")[0].alias("control")).filter("control <> exposure").distinct()
+
 
+def controls_table(
+    pairs: DataFrame, levels: Sequence[str] | None, always: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """(by, exposure, control) rows to a table of X marks, some controls always on.
 
-def controls_table(pairs: DataFrame, levels: Sequence[str], always: Sequence[str]) -> DataFrame:
-    """(exposure, control) rows to a table of X marks, some controls always on."""
-    wide = indicators(pairs, ["exposure"], "control", levels)
+    Without ``levels`` every control of the rows is a column.
+    """
+    levels = levels_of(pairs, "control") if levels is None else levels
+    wide = indicators(pairs, [*by, "exposure"], "control", levels)
     wide = wide.withColumns({c: F.lit(True) for c in always})
-    return ticks(wide, [c for c in wide.columns if c != "exposure"])
+    return ticks(wide, [c for c in wide.columns if c not in (*by, "exposure")])
