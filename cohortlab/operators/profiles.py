@@ -6,54 +6,30 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import PCA, Bucketizer, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.recode import level_index
-from cohortlab.operators.scans import CHUNK, CHUNK_ROWS, cut_points, running_totals
+from cohortlab.operators.scans import running_totals
 from cohortlab.session import staged
 
 
-def value_counts(df: DataFrame, names: Sequence[str], chunks: int | None = None) -> DataFrame:
-    """(variable, value, n) of numeric columns with an order-preserving chunk.
-
-    As many chunks as the rows need, unless ``chunks`` says.
-    """
-    chunks = max(2, chunks or -(-df.count() // CHUNK_ROWS))
-    work = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    cuts = cut_points(work, names, chunks)
-    usable = [(c, s) for c, s in zip(names, cuts) if len(s) >= 3]
-    if usable:
-        work = Bucketizer(
-            splitsArray=[s for _, s in usable],
-            inputCols=[c for c, _ in usable],
-            outputCols=[f"__c_{c}" for c, _ in usable],
-            handleInvalid="keep",
-        ).transform(work)
-    have = {c for c, _ in usable}
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("variable"),
-                F.col(c).alias("value"),
-                (F.col(f"__c_{c}") if c in have else F.lit(0.0)).alias(CHUNK),
-            )
-            for c in names
-        ]
-    )
-    long = work.select(F.explode(cells).alias("cell")).select("cell.*").filter("value is not null")
-    return long.groupBy("variable", "value", CHUNK).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(variable, value, n) of numeric columns."""
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value")) for c in names])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.*").filter("value is not null")
+    return long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(counts: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+def quantiles(counts: DataFrame, probs: Mapping[str, float], chunks: int | None = None) -> DataFrame:
     """Exact interpolated quantiles of many columns, without gathering one.
 
     ``counts`` is :func:`value_counts`, best stored. The counts are accumulated
     chunk by chunk, and the two order statistics around each quantile are
     picked by rank.
     """
-    ranked = running_totals(counts, {"upto": F.col("n")}, ["value"], ["variable"], F.col(CHUNK))
+    ranked = running_totals(counts, {"upto": F.col("n")}, ["value"], ["variable"], chunks=chunks)
     sizes = counts.groupBy("variable").agg(F.sum("n").alias("size"))
     ranked = ranked.join(sizes, "variable")
     out = []

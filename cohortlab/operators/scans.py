@@ -6,9 +6,10 @@ is aggregated map-side, carried from chunk to chunk over the summary only, and
 added as one row to each chunk, so the full rows are shuffled once, by (key,
 chunk). ``chunk`` must never
 decrease along the order (a day, a month, a rounded value). Without one,
-quantile cut points of the order columns are used, as many as the rows need;
-they are computed once and become literals of the plan, so a recomputed task
-cuts the same way. Rows tied on a column are cut by the next one.
+the rows are dealt to ranges of key and order, as many as they need, and stored
+with the number of their range, so a recomputed task finds the same chunks and
+the plan is as small for many rows as for few. Rows tied on a column are cut by
+the next one.
 
 NULL order values come last everywhere, and NULL keys are a group of their own.
 
@@ -18,81 +19,45 @@ window.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlab.session import staged
+
 CHUNK = "__chunk"
 SEED = "__seed"
-#: Rows of a chunk, on average, when the cut points are found here.
+#: Rows of a chunk, on average, when the chunks are found here.
 CHUNK_ROWS = 1_000_000
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], chunks: int) -> list[list[float]]:
-    """Bucketizer splits per column that spread its rows evenly."""
-    probs = [i / chunks for i in range(1, chunks)]
-    error = min(0.01, 0.25 / chunks)
-    found = df.approxQuantile(list(columns), probs, error)
-    return [[float("-inf"), *sorted(set(qs)), float("inf")] for qs in found]
-
-
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        # no time zone may bend the order, so it is put together from its parts
-        day = F.unix_date(F.col(column).cast("date")).cast("double")
-        return day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
-    if not isinstance(kind, (T.NumericType, T.BooleanType)):
-        raise ValueError(f"no cut points for {column}: pass chunk= or order by a number first")
-    return F.col(column).cast("double")
-
-
 def chunked(
-    df: DataFrame, order: Sequence[str], chunk: Column | None = None, chunks: int | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    chunk: Column | None = None,
+    chunks: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Add the chunk column that cuts the order into pieces.
 
-    A value that fills a chunk by itself gets one of its own, and its rows are
-    cut by the next order column.
+    Without a chunk given, the rows are dealt to ranges of (by, order) by Spark's
+    sketch of them and stored with the number of their range. A small key then lies
+    in one or two chunks, a large one is many; rows tied on a column are cut by the
+    next one, and rows tied on all of the order by their other columns.
     """
     if chunk is not None:
         return df.withColumn(CHUNK, chunk)
-    chunks = max(2, chunks or -(-df.count() // CHUNK_ROWS))
-    probs = [i / chunks for i in range(1, chunks)]
-    work, tied, parts, added = df, None, [], []
-    for level, name in enumerate(order):
-        try:
-            number = _as_number(df, name)
-        except ValueError:
-            if not level:
-                raise
-            break
-        place, bucket = f"__order{level}", f"__bucket{level}"
-        work = work.withColumn(place, number)
-        some = work if tied is None else work.filter(tied)
-        found = some.approxQuantile(place, probs, min(0.01, 0.25 / chunks))
-        crowded = sorted({q for q in found if found.count(q) > 1})
-        splits = sorted({*found, *(math.nextafter(q, math.inf) for q in crowded)} - {math.inf, -math.inf})
-        added += [place, bucket]
-        cutter = Bucketizer(
-            splits=[-math.inf, *(splits or [0.0]), math.inf], inputCol=place, outputCol=bucket, handleInvalid="keep"
-        )
-        work = cutter.transform(work)
-        piece = F.coalesce(bucket, F.lit(math.inf))  # unknown values come last
-        parts.append(piece if tied is None else F.when(tied, piece))
-        if not crowded:
-            break
-        here = F.col(place).isin(crowded)
-        tied = here if tied is None else tied & here
-    return work.withColumn(CHUNK, F.array(*parts)).drop(*added)
+    if isinstance(df.schema[order[0]].dataType, T.StringType):
+        raise ValueError(f"no chunks for the text {order[0]}: pass chunk= or order by a number first")
+    pieces = max(2, chunks or -(-df.count() // CHUNK_ROWS))
+    keys = [*by, *order]
+    others = [f.name for f in df.schema if f.name not in keys and "map" not in f.dataType.simpleString()]
+    # a hash of values and not a row number: a task run again deals its rows alike
+    tie = [F.xxhash64(*others)] if others else []
+    ranged = df.repartitionByRange(pieces, *_asc(keys), *tie)
+    return staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunked")
 
 
 def _window(by: Sequence[str]) -> Window:
@@ -144,7 +109,7 @@ def running_totals(
         w = _window(by).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({n: F.sum(x).over(w) for n, x in totals.items()})
     parts = {n: f"__part_{n}" for n in totals}
-    rows = chunked(df, order, chunk, chunks).withColumns({parts[n]: x for n, x in totals.items()})
+    rows = chunked(df, order, chunk, chunks, by).withColumns({parts[n]: x for n, x in totals.items()})
     per_chunk = rows.groupBy(*by, CHUNK).agg(*[F.sum(p).alias(p) for p in parts.values()])
     seeds = per_chunk.select(*by, CHUNK, *[F.sum(p).over(_so_far(by)).alias(p) for p in parts.values()])
     both = _with_seeds(rows, seeds, 0)
@@ -175,7 +140,7 @@ def carry_forward(
     if bounded:
         w = _window(by).orderBy(*_asc(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
-    rows = chunked(df, order, chunk, chunks)
+    rows = chunked(df, order, chunk, chunks, by)
     at = _place(order)
     per_chunk = rows.groupBy(*by, CHUNK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns]
@@ -203,7 +168,7 @@ def next_value(
     """Value of the following row; turns cut points into intervals."""
     if bounded:
         return df.withColumn(name, F.lead(column).over(_window(by).orderBy(*_asc(order))))
-    rows = chunked(df, order, chunk, chunks).withColumn("__value", F.col(column))
+    rows = chunked(df, order, chunk, chunks, by).withColumn("__value", F.col(column))
     per_chunk = rows.groupBy(*by, CHUNK).agg(
         F.min_by(F.struct("__value"), _place(order)).alias("__first")
     )

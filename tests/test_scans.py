@@ -122,3 +122,17 @@ def test_text_order_needs_a_chunk(spark):
         scans.sequence_number(df, "n", ["t"], ["k"])
     out = scans.sequence_number(df, "n", ["t"], ["k"], chunk=F.substring("t", 1, 1))
     assert rows(out, "t", "n") == [("x", 1), ("y", 2)]
+
+
+def test_plan_does_not_grow_with_the_chunks(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
+    sizes = []
+    for chunks in (2, 60):
+        out = scans.sequence_number(df, "n", ["t"], ["k"], chunks=chunks)
+        sizes.append(len(out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")))
+        assert out.agg(F.max("n")).first()[0] == 1334
+    assert sizes[1] < sizes[0] * 1.05
+    # small keys lie in few chunks
+    some = spark.range(4000).select((F.col("id") % 200).alias("k"), F.col("id").alias("t"))
+    cut = scans.chunked(some, ["t"], chunks=20, by=["k"])
+    assert cut.groupBy("k").agg(F.count_distinct(scans.CHUNK).alias("c")).agg(F.sum("c")).first()[0] <= 220
