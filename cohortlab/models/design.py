@@ -38,6 +38,16 @@ class Variable:
         return [(self.name, x.cast("double"))]
 
 
+#: Levels of a dense design's factors together, at most.
+MOST_LEVELS = 10_000
+
+
+def level_rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(variable, level): the known levels of text columns, one row each."""
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in names])
+    return df.select(F.explode(cells).alias("c")).select("c.*").where(F.col("level").isNotNull()).distinct()
+
+
 def factor_levels(
     df: DataFrame, names: Sequence[str], first: Mapping[str, str] | None = None
 ) -> dict[str, tuple[str, ...]]:
@@ -45,8 +55,12 @@ def factor_levels(
     if not names:
         return {}
     first = first or {}
-    # every level becomes a design column, so the levels of a model fit the driver
-    found = df.agg(*[F.collect_set(F.col(c).cast("string")).alias(c) for c in names]).first()
+    # one row per level; every level becomes a design column, so more are refused here
+    found: dict[str, list[str]] = {name: [] for name in names}
+    for r in level_rows(df, names).limit(MOST_LEVELS + 1).collect():
+        found[r["variable"]].append(r["level"])
+    if sum(map(len, found.values())) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels in {sorted(names)}: use sparse_design, or is one of them a key?")
     out = {}
     for name in names:
         levels = sorted(found[name])

@@ -249,17 +249,36 @@ class Poisson(Glm):
         return 2 * (part - (y - mu)).sum()
 
 
+#: Columns of a bias-reduced model up to which its third moments are added up.
+THIRD_MOMENTS = 24
+
+
 class BiasReduced(Logistic):
     """Logistic model with the mean bias-reducing adjusted score.
 
-    Rounds alternate: one adds up the information and the penalised
-    likelihood, the next the score, whose leverages need that information.
-    Leverages of the round before would save a scan, but with separated groups
-    the steps then circle around the solution and never settle.
+    The score of a column is adjusted by its sum of leverage times (1/2 - mean), and a
+    leverage needs the inverse information of all rows. The sum is the contraction of that
+    inverse with the third moments, the sums of weight x (1/2 - mean) times three columns:
+    added up beside the information, they give exact leverages of the current coefficients
+    in the same scan. They grow with the cube of the columns, so models of more than
+    ``THIRD_MOMENTS`` columns take two scans a step instead: one adds up the information
+    and the penalised likelihood, the next the score. Both make the same steps.
+
+    Leverages of the round before would save that scan too, but with separated groups the
+    steps then circle around the solution and never settle.
     """
 
     max_rounds = 100
 
+    @property
+    def in_one(self) -> bool:
+        return len(self.keep) <= THIRD_MOMENTS
+
+    def size(self):
+        p = len(self.keep)
+        more = p * p * (p + 1) // 2 if self.beta is not None and self.in_one else 0
+        return super().size() + more
+
     def local(self, block):
         a, y = self.rows(block)
         p = len(a)
@@ -267,6 +286,11 @@ class BiasReduced(Logistic):
             return super().local(block)
         mu = self.mean(self.beta @ a)
         w = self.weight(mu)
+        if self.in_one:
+            one, other = np.triu_indices(p)
+            third = (a[one] * a[other]) @ (a * (w * (0.5 - mu))).T
+            first = self.pack(len(y), float(self.deviance(y, mu)), a @ (y - mu), (a * w) @ a.T)
+            return np.concatenate([first, third.ravel()])
         if self.wants_info:
             return self.pack(len(y), float(self.deviance(y, mu)), np.zeros(p), (a * w) @ a.T)
         lev = w * ((self.cov @ a) * a).sum(axis=0)
@@ -274,13 +298,16 @@ class BiasReduced(Logistic):
         return self.pack(len(y), 0.0, score, np.zeros((p, p)))
 
     def advance(self, total):
-        self.n, dev, score, info = self.unpack(total)
+        p = len(self.keep)
+        basic = total[: 2 + p + p * p]
+        self.n, dev, score, info = self.unpack(basic)
         self.rounds += 1
         if self.beta is None:
             info, score = self.drop_aliased(info, score)
             self.beta = scaled_inverse(info) @ score
             self.wants_info, self.best, self.held, self.halved = True, -float("inf"), None, 0
-        elif self.wants_info:
+            return
+        if self.in_one or self.wants_info:
             value = -0.5 * dev + 0.5 * np.linalg.slogdet(info)[1]
             if not value >= self.best - 1e-9 * abs(self.best) and self.halved < 20:
                 self.halved += 1
@@ -289,13 +316,18 @@ class BiasReduced(Logistic):
             self.best, self.held, self.halved = value, self.beta, 0
             self.cov = scaled_inverse(info)
             self.wants_info = False
-        else:
-            step = self.cov @ score
-            self.beta = self.beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
-            spread = np.sqrt(np.clip(np.diag(self.cov), 1e-300, None))
-            self.converged = bool(np.abs(step / spread).max() < 1e-7)
-            self.done = self.converged or self.rounds >= self.max_rounds
-            self.wants_info = True
+            if not self.in_one:
+                return
+            one, other = np.triu_indices(p)
+            pairs = self.cov[one, other] * np.where(one == other, 1.0, 2.0)
+            score = score + pairs @ total[2 + p + p * p :].reshape(-1, p)
+        step = self.cov @ score
+        self.beta = self.beta + step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        spread = np.sqrt(np.clip(np.diag(self.cov), 1e-300, None))
+        self.converged = bool(np.abs(step / spread).max() < 1e-7)
+        # two scans make one step where the moments are too many
+        self.done = self.converged or self.rounds >= self.max_rounds
+        self.wants_info = True
 
 
 class TruncatedCount(Model):
