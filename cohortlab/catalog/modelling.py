@@ -26,6 +26,7 @@ from cohortlab.models.effects import (
     with_model_group,
 )
 from cohortlab.models.fits import baseline_covariances, fit_sweep
+from cohortlab.models.sparse import column_sums, cross_products, fit_absorbed, sparse_design
 from cohortlab.models.spec import ModelSpec, right_hand_side
 from cohortlab.models.split import stratified_split
 from cohortlab.plans import dag
@@ -368,6 +369,61 @@ def hurdle_both_parts(spark, d):
     return rounded(out, "estimate", "se", digits=4)
 
 
+# ---- factors of many levels ------------------------------------------------
+
+
+@query(
+    "design_sparse_sums",
+    """WITH t AS (SELECT l_partkey::VARCHAR AS part, l_quantity AS q, l_returnflag = 'R' AS back FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity IS NOT NULL),
+        r AS (SELECT *, part <> (SELECT min(part) FROM t) AS other FROM t)
+       SELECT '(Intercept)' AS label, count(*) AS n, count(*)::DOUBLE AS total FROM t
+       UNION ALL SELECT 'part' || part, count(*), count(*) FROM r WHERE other GROUP BY part
+       UNION ALL SELECT 'q', count(*), round(sum(q), 4) FROM t
+       UNION ALL SELECT 'part' || part || ':backTRUE', count(*), sum(back::INT) FROM r WHERE other GROUP BY part""",
+)
+def design_sparse_sums(spark, d):
+    """Column sums of a design whose factor has as many levels as there are parts."""
+    df = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").alias("q"), (F.col("l_returnflag") == "R").alias("back"))
+    return rounded(column_sums(sparse_design(df, [("part",), ("q",), ("part", "back")])), "total", digits=4)
+
+
+@query(
+    "design_cross_products",
+    """WITH t AS (SELECT 's' || l_suppkey AS s, l_quantity AS q FROM lineitem WHERE l_quantity IS NOT NULL),
+        cells AS (SELECT row_number() OVER () AS i, s, q FROM t),
+        c AS (SELECT i, unnest([{'label': '(Intercept)', 'value': 1.0::DOUBLE}, {'label': 'q', 'value': q::DOUBLE},
+          CASE WHEN s <> (SELECT min(s) FROM t) THEN {'label': 's' || s, 'value': 1.0::DOUBLE} END]) AS c FROM cells)
+       SELECT a.c.label AS a, b.c.label AS b, round(sum(a.c.value * b.c.value), 4) AS total FROM c a JOIN c b ON a.i = b.i
+       WHERE a.c IS NOT NULL AND b.c IS NOT NULL AND a.c.label <= b.c.label GROUP BY ALL""",
+)
+def design_cross_products(spark, d):
+    """The cross products of lines that are not empty: a diagonal for the suppliers and a border."""
+    df = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("s"), F.col("l_quantity").alias("q"))
+    return rounded(cross_products(sparse_design(df, [("s",), ("q",)])), "total", digits=4)
+
+
+WITHIN = """WITH t AS (SELECT l_partkey AS k, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    g AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM t GROUP BY k),
+    w AS (SELECT sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy, count(*) AS n, count(DISTINCT t.k) AS levels
+      FROM t JOIN g ON t.k = g.k),
+    f AS (SELECT sxy / sxx AS b, sxx, n AS rows, (syy - sxy * sxy / sxx) / (n - levels - 1) AS s2 FROM w)
+"""
+
+
+@query("linear_within_parts", WITHIN + "SELECT 'l_quantity' AS term, round(b, 4) AS estimate, round(sqrt(s2 / sxx), 4) AS se, rows AS n_rows FROM f")
+def linear_within_parts(spark, d):
+    """Price by quantity with an intercept for every part."""
+    return rounded(fit_absorbed(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], "l_partkey")[0], "estimate", "se", digits=4)
+
+
+@query(
+    "part_intercepts",
+    WITHIN + "SELECT k AS l_partkey, round(my - b * mx, 3) + 0.0 AS estimate, round(sqrt(s2 * (1 / n + mx * mx / sxx)), 3) AS se, n AS n_rows FROM g, f",
+)
+def part_intercepts(spark, d):
+    return rounded(fit_absorbed(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"], "l_partkey")[1], "estimate", "se", digits=3)
+
+
 # ---- one formula in every group --------------------------------------------
 
 
