@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,33 +143,86 @@ def top_values(df: DataFrame, names: Sequence[str], k: int = 4) -> DataFrame:
     return top.join(distinct, "variable")
 
 
+#: Columns of a block of cross products.
+GRAM_BLOCK = 32
+
+
+def _gram_blocks(names: Sequence[str], shift: Sequence[float], block: int):
+    """Task function: rows to the cross products of every pair of column blocks.
+
+    Of each pair of columns, over the rows that have both: how many, the sums of either,
+    of their squares, and of their product.
+    """
+    cuts = [(i, min(i + block, len(names))) for i in range(0, len(names), block)]
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            has = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.stack([c.fill_null(m).to_numpy(zero_copy_only=False) - m for c, m in zip(batch.columns, shift)])
+            for i, (a, b) in enumerate(cuts):
+                for j, (c, d) in enumerate(cuts[: i + 1]):
+                    here = np.stack(
+                        [has[a:b] @ has[c:d].T, x[a:b] @ has[c:d].T, has[a:b] @ x[c:d].T, x[a:b] ** 2 @ has[c:d].T, has[a:b] @ (x[c:d] ** 2).T, x[a:b] @ x[c:d].T]
+                    )
+                    sums[i, j] = sums.get((i, j), 0.0) + here
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([i for i, _ in sums], pa.int32()),
+                    pa.array([j for _, j in sums], pa.int32()),
+                    pa.array([s.ravel().tolist() for s in sums.values()], pa.list_(pa.float64())),
+                ],
+                names=["i", "j", "sums"],
+            )
+
+    return run
+
+
+def _pairs_of_blocks(names: Sequence[str], block: int):
+    """Task function: added-up blocks to one row per pair of columns."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, sums in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "sums"))):
+                mine, other = names[i * block : (i + 1) * block], names[j * block : (j + 1) * block]
+                n, x, y, xx, yy, xy = np.asarray(sums).reshape(6, len(mine), len(other))
+                with np.errstate(all="ignore"):
+                    spread = [np.where(q / n - (s / n) ** 2 > 1e-12 * q / n, q / n - (s / n) ** 2, 0.0) for s, q in ((x, xx), (y, yy))]
+                    cor = (xy / n - x * y / n**2) / np.sqrt(spread[0] * spread[1])
+                    known = (spread[0] * spread[1] != 0) & (n > 0)
+                rows = [(a, b, float(cor[p, q]) if known[p, q] else None) for p, a in enumerate(mine) for q, b in enumerate(other) if a > b]
+                columns = zip(*rows) if rows else ([], [], [])
+                types = (pa.string(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["Var1", "Var2", "cor"])
+
+    return run
+
+
 def correlations(
-    df: DataFrame, names: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None
+    df: DataFrame, names: Sequence[str], levels: Mapping[str, Sequence[str]] | None = None, block: int = GRAM_BLOCK
 ) -> DataFrame:
     """Pairwise-complete correlations, long form, each pair once (Var1 > Var2).
 
-    Categorical columns enter as the position of the value in their level list.
+    Categorical columns enter as the position of the value in their level list. The cross
+    products of values and of marks of presence are formed as matrix products where the
+    rows are, block of columns by block, and added up by block: the plan does not grow with
+    the number of pairs, and no pair reaches the driver. A pair that is constant in one
+    column has no correlation.
     """
-    levels = levels or {}
+    levels, names = levels or {}, sorted(names)
     df = df.select(
         *[
             (level_index(c, levels[c]) if c in levels else F.col(c)).cast("double").alias(c)
             for c in names
         ]
     )
-    pairs = [(b, a) for a, b in combinations(sorted(names), 2)]
-    cells = []
-    for a, b in pairs:
-        # written out, because corr() fails on a constant column instead of giving NULL
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        spread = [F.stddev_pop(F.when(both, F.col(c))) for c in (a, b)]
-        cor = F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
-        cells.append(F.struct(F.lit(a).alias("Var1"), F.lit(b).alias("Var2"), cor.alias("cor")))
-    one = df.agg(*[c.alias(f"p{i}") for i, c in enumerate(cells)])
-    return (
-        one.select(F.explode(F.array(*[f"p{i}" for i in range(len(cells))])).alias("c"))
-        .select("c.*")
-    )
+    # about the means, sums of squares don't cancel
+    means = [m if m is not None and np.isfinite(m) else 0.0 for m in df.agg(*[F.avg(c) for c in names]).first()]
+    parts = df.mapInArrow(_gram_blocks(names, means, block), "i int, j int, sums array<double>")
+    total = parts.groupBy("i", "j").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    total = total.select("i", "j", vector_to_array("sums").alias("sums"))
+    return total.mapInArrow(_pairs_of_blocks(names, block), "Var1 string, Var2 string, cor double")
 
 
 def strong_pairs(cors: DataFrame, above: float = 0.8) -> DataFrame:

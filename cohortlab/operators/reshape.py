@@ -108,16 +108,23 @@ def complete(
 ) -> DataFrame:
     """Add the missing (group, period) rows; observed rows all stay.
 
-    ``periods`` is an array expression (a sequence or literal list), so the
-    grid costs one distinct pass over the groups and no product of tables.
+    ``periods`` is an array expression (a sequence or literal list). The periods that a
+    group has are or-ed together as bits where its rows are read, 64 to a word, so the
+    shuffle carries a few words per group whatever its number of rows; what the bits lack
+    is exploded and put beside the rows, which are neither joined nor moved.
     """
-    slots = df.select(*by).distinct().withColumn(period, F.explode(periods))
-    tagged = slots.withColumnsRenamed({c: f"__{c}" for c in slots.columns})
-    cond = [df[c].eqNullSafe(F.col(f"__{c}")) for c in (*by, period)]
-    joined = df.join(tagged, cond, "full")
-    return joined.select(
-        *[
-            F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in (*by, period) else F.col(c)
-            for c in df.columns
-        ]
-    )
+    at = F.coalesce(F.array_position(periods, F.col(period)), F.lit(0)) - 1
+    # a row of no slot still names its group
+    word = F.floor(at / 64).cast("int").alias("__word")
+    bit = F.when(at >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    words = df.select(*by, word, bit.alias("__bit")).groupBy(*by, "__word").agg(F.bit_or("__bit").alias("__bits"))
+    seen = words.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__word", "__bits"))).alias("__seen"))
+
+    def lacks(i: Column) -> Column:
+        bits = F.coalesce(F.try_element_at("__seen", F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+        return F.getbit(bits, F.pmod(i, F.lit(64)).cast("int")) == 0
+
+    missing = F.filter(F.transform(periods, lambda p, i: F.when(lacks(i), F.struct(p.alias("p")))), lambda s: s.isNotNull())
+    kind = df.schema[period].dataType
+    added = seen.select(*by, F.explode(missing).alias("__slot")).select(*by, F.col("__slot.p").cast(kind).alias(period))
+    return df.unionByName(added, allowMissingColumns=True)

@@ -223,6 +223,22 @@ def test_nested_tables(spark):
     assert rows(list_links(pages, "page", "html")) == [(1, 0, "/x", "X y")]
 
 
+def test_complete_by_bits(spark):
+    """Slots of several words, a hot group, unknown groups, rows outside the slots; no join."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("g"), F.col("id") % 9)).alias("k"),
+        F.when(F.col("id") % 50 > 0, (F.col("id") * 7 % 150) - 5).alias("p"), F.col("id").alias("v"),
+    )
+    df = df.union(spark.createDataFrame([("outside", 999, 1), ("outside", None, 2)], "k string, p long, v long"))
+    out = reshape.complete(df, ["k"], "p", F.sequence(F.lit(0), F.lit(139)))
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "Join" not in plan
+    have = rows(df)
+    groups = {k for k, _, _ in have}
+    lacking = [(k, p, None) for k in groups for p in range(140) if (k, p) not in {(k, p) for k, p, _ in have}]
+    assert rows(out) == sorted(have + lacking, key=repr)
+
+
 def test_shared_folder_is_the_named_one(spark):
     from cohortlab.session import shared_dir, staged
 
@@ -255,3 +271,24 @@ def test_curated_queries_survive_a_clearing(spark, monkeypatch):
     before = registry.QUERIES["course_totals"](spark, TESTDATA).count()
     session.clear_run(spark)
     assert registry.QUERIES["course_totals"](spark, TESTDATA).count() == before
+
+
+def test_correlations_of_many_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    k = 130
+    x = rng.normal(size=(300, 20)) @ rng.normal(size=(20, k)) + 1e6
+    x[:, 7] = 3.3
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i:03d}" for i in range(k)]
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{n} double" for n in names)).repartition(5)
+    out = profiles.correlations(df, names, block=32)
+    assert len(out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")) < 40_000
+    got = {(r.Var1, r.Var2): r.cor for r in out.collect()}
+    assert len(got) == k * (k - 1) // 2
+    for i in range(0, k, 11):
+        for j in range(i):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = None if 7 in (i, j) else np.corrcoef(x[both, i], x[both, j])[0, 1]
+            assert got[names[i], names[j]] == (want if want is None else pytest.approx(want, abs=1e-9))
