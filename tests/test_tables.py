@@ -1,5 +1,8 @@
 """Reshaping, joins, ordering, checks, sources and sinks."""
 
+import threading
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +189,55 @@ def test_stage_builds_once(spark, tmp_path):
     assert not stage.exists(spark, str(tmp_path / "half"))
 
 
+def test_stage_is_built_again_when_its_inputs_or_plan_change(spark, tmp_path):
+    source, folder = str(tmp_path / "source"), str(tmp_path / "stages")
+    calls = []
+
+    def build(scale=1):
+        calls.append(scale)
+        return spark.read.schema("n long, part int").parquet(source).select((F.col("n") * scale).alias("m"))
+
+    def put(start, part, mode="append"):
+        spark.range(start, start + 3).select(F.col("id").alias("n")).write.mode(mode).parquet(f"{source}/part={part}")
+
+    put(0, 1)
+    assert rows(stage.stage(spark, folder, "s", build)) == [(0,), (1,), (2,)]
+    assert rows(stage.stage(spark, folder, "s", build)) == [(0,), (1,), (2,)] and len(calls) == 1
+    put(10, 2)  # a new partition of the table
+    assert stage.stage(spark, folder, "s", build).count() == 6 and len(calls) == 2
+    put(20, 1, "overwrite")  # other files of the same number
+    assert sorted(r.m for r in stage.stage(spark, folder, "s", build).collect())[3:] == [20, 21, 22]
+    assert len(calls) == 3
+    # the same files, another plan
+    assert stage.stage(spark, folder, "s", lambda: build(2), same_plan=True).agg(F.max("m")).first()[0] == 44
+    assert stage.stage(spark, folder, "s", lambda: build(2), same_plan=True).agg(F.max("m")).first()[0] == 44
+    builds = [p.name for p in (tmp_path / "stages/s").iterdir() if p.name.startswith("data-")]
+    assert len(builds) == 4 and stage.prune(spark, folder, "s") == 3
+    assert stage.stage(spark, folder, "s", lambda: build(2)).agg(F.max("m")).first()[0] == 44
+
+
+def test_builders_of_one_stage_agree(spark, tmp_path):
+    folder = str(tmp_path / "stages")
+    started, go = [], threading.Barrier(3, timeout=60)
+
+    def build():
+        started.append(1)
+        go.wait()  # all of them find no stage
+        return spark.range(4)
+
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda _: stage.stage(spark, folder, "raced", build), range(3)))
+    assert len(started) == 3 and all(g.count() == 4 for g in got)
+    assert len({g.inputFiles()[0].rsplit("/", 1)[0] for g in got}) == 1
+    assert len([p for p in (tmp_path / "stages/raced").iterdir() if p.name.startswith("data-")]) == 1
+    # a record whose builder died before writing it is passed over
+    (tmp_path / "stages/raced/_manifests/00000002").write_text("")
+    assert stage.stage(spark, folder, "raced", lambda: spark.range(9), wait=0.2).count() == 4
+    (tmp_path / "stages/dead/_manifests").mkdir(parents=True)
+    (tmp_path / "stages/dead/_manifests/00000001").write_text("")
+    assert stage.stage(spark, folder, "dead", lambda: spark.range(9), wait=0.2).count() == 9
+
+
 def test_report_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
     tables.write_report(df, str(tmp_path / "r"))
