@@ -699,7 +699,54 @@ def demographic_components(spark, d):
     return rounded(out.select("component", "sdev", "share").distinct(), "sdev", "share")
 
 
-@query("demographic_loadings")
+LOADED = ["gender", "poc", "first_gen", "low_income", "admission_type"]
+
+
+def _loadings_sql(rows: str, names: list[str]) -> str:
+    """Components of the covariance matrix one after the other.
+
+    Powers of a matrix, squared and scaled again and again, become the projection on its
+    first component; that is taken out and the next one found. The projection's largest
+    diagonal cell gives the column whose largest loading is positive.
+    """
+    k = len(names)
+    matrix = "[" + ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in names) + "]" for a in names) + "]"
+    cell = f"list_sum(list_transform(range({k}), lambda z: {{a}}[i + 1][z + 1] * {{b}}[z + 1][j + 1]))"
+
+    def each(value: str) -> str:
+        return f"list_transform(range({k}), lambda i: list_transform(range({k}), lambda j: {value}))"
+
+    trace = f"list_sum(list_transform(range({k}), lambda t: {{}}[t + 1][t + 1]))"
+    parts = [f"t AS ({rows})", f"c1 AS (SELECT {matrix} AS m FROM t)", f"whole AS (SELECT {trace.format('m')} AS total FROM c1)"]
+    for n in range(1, k + 1):
+        parts.append(
+            f"""s{n} AS (SELECT 0 AS i, m FROM c{n} UNION ALL SELECT it, {each(f"m2[i + 1][j + 1] / {trace.format('m2')}")}
+              FROM (SELECT i + 1 AS it, {each(cell.format(a="m", b="m"))} AS m2 FROM s{n} WHERE i < 14))"""
+        )
+        parts.append(
+            f"""p{n} AS (SELECT s.m AS p, {trace.format(f"({each(cell.format(a='s.m', b='c.m'))})")} AS power FROM s{n} s, c{n} c WHERE s.i = 14)"""
+        )
+        parts.append(f"c{n + 1} AS (SELECT {each('c.m[i + 1][j + 1] - p.power * p.p[i + 1][j + 1]')} AS m FROM c{n} c, p{n} p)")
+    rows_of = " UNION ALL ".join(
+        f"""SELECT {n}::INT AS component, power, {[*names]} AS names, list_transform(range({k}), lambda i: p[i + 1][b] / sqrt(p[b][b])) AS axis
+            FROM (SELECT *, list_position(list_transform(range({k}), lambda i: p[i + 1][i + 1]), list_max(list_transform(range({k}), lambda i: p[i + 1][i + 1]))) AS b FROM p{n})"""
+        for n in range(1, k + 1)
+    )
+    return f"""SELECT * FROM (WITH RECURSIVE {", ".join(parts)}
+        SELECT component, round(sqrt(power), 6) AS sdev, round(power / total, 6) AS share, unnest(names) AS variable, round(unnest(axis), 6) + 0.0 AS loading
+        FROM ({rows_of}), whole)"""
+
+
+@query(
+    "demographic_loadings",
+    _loadings_sql(
+        """SELECT CASE gender WHEN 'M' THEN 1 WHEN 'F' THEN 2 ELSE 3 END::DOUBLE AS gender, poc::INT::DOUBLE AS poc, first_gen::INT::DOUBLE AS first_gen,
+           low_income::INT::DOUBLE AS low_income, CASE admission_type WHEN 'Freshman' THEN 1 WHEN 'Transfer' THEN 2 END::DOUBLE AS admission_type FROM profile_clean
+           WHERE gender IS NOT NULL AND poc IS NOT NULL AND first_gen IS NOT NULL AND low_income IS NOT NULL AND admission_type IN ('Freshman', 'Transfer')""",
+        LOADED,
+    ),
+    curated=True,
+)
 def demographic_loadings(spark, d):
     df = curated(spark, d)["profile_clean"].select(
         recode.level_index("gender", ["M", "F", "N"]).alias("gender"),

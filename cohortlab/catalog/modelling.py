@@ -709,7 +709,25 @@ def model_groups(spark, d):
     )
 
 
-@query("back_transformed_effects")
+def _back_transformed_sql() -> str:
+    cells = " UNION ALL ".join(
+        f"SELECT '{v}' AS k, {x} AS x, count(*) AS n, sum(n_later_phil) AS y FROM modelled WHERE {x} IS NOT NULL AND n_later_phil IS NOT NULL GROUP BY ALL"
+        for v, x in [
+            ("course_division", "(course_division = 'upper')::INT"),
+            ("admission_type", "(admission_type = 'Transfer')::INT"),
+            ("current_phil_share", "current_phil_share"),
+            ("poc_share", "poc_share"),
+            ("women_share", "women_share"),
+        ]
+    )
+    z = 1.959963984540054
+    return f"""SELECT k AS focal_var, round(exp(b) - 1, 4) + 0.0 AS estimate_comb, round(b, 4) + 0.0 AS estimate_comb_raw,
+        round(exp(b - {z} * sb) - 1, 4) + 0.0 AS ci_low, round(exp(b + {z} * sb) - 1, 4) + 0.0 AS ci_high,
+        CASE WHEN exp(b) < 0.5 THEN 'strong' WHEN exp(b) < 0.8 THEN 'moderate' WHEN exp(b) < 1.25 THEN 'negligible' WHEN exp(b) < 2 THEN 'moderate' ELSE 'strong' END AS level
+        FROM ({newton_sql("Poisson", cells, "ln(y / n)")})"""
+
+
+@query("back_transformed_effects", _back_transformed_sql(), curated=True)
 def back_transformed_effects(spark, d):
     specs = [_spec(i, "n_later_phil", "Poisson", v, "full") for i, v in enumerate(HIGHLIGHTS)]
     effects = with_model_group(focal_effects(_fit(_modelled(spark, d), specs)[2]))
