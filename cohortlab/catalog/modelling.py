@@ -25,9 +25,9 @@ from cohortlab.models.effects import (
     with_band,
     with_model_group,
 )
-from cohortlab.models.fits import baseline_covariances, fit_sweep
+from cohortlab.models.fits import baseline_covariances, fit_sweep, fitted_sums
 from cohortlab.models.sparse import column_sums, cross_products, fit_absorbed, sparse_design
-from cohortlab.models.spec import ModelSpec, right_hand_side
+from cohortlab.models.spec import ModelSpec, right_hand_side, spec_table
 from cohortlab.models.split import stratified_split
 from cohortlab.plans import dag
 from cohortlab.plans.regressions import (
@@ -675,6 +675,83 @@ def model_grid_effects(spark, d):
     )
 
 
+def _controls_by_hand(focal: str) -> list[str]:
+    """The canonical control set of a focal variable, by walking the causal model."""
+    children: dict[str, list[str]] = {}
+    for node, names in dag.PARENTS.items():
+        for parent in names:
+            children.setdefault(parent, []).append(node)
+
+    def walk(start, step):
+        seen, todo = set(start), list(start)
+        while todo:
+            new = set(step.get(todo.pop(), ())) - seen
+            seen |= new
+            todo += new
+        return seen
+
+    up = walk([focal], dag.PARENTS) | walk([dag.OUTCOME], dag.PARENTS)
+    causal = walk([focal], children) & walk([dag.OUTCOME], dag.PARENTS) - {focal}
+    return sorted(up - {focal, dag.OUTCOME, *dag.LATENT} - walk(causal, children))
+
+
+# What the columns of the modelled rows are.
+FACTORS = ["admission_type", "course_division", "demographic", "gender_instructor", "quarter", "race_instructor", "year"]
+FLAGS = ["ever_phil", "first_gen", "low_income", "other_major_student", "undeclared_student"]
+
+
+#: Moves sums of short decimals off the edges of rounding.
+OFF_EDGE = 0.0000371
+
+
+def _observed_sums_sql() -> str:
+    """Sums of the outcome times every design column, of every formula with a canonical link."""
+
+    def part(v: str) -> tuple[str, str]:
+        if v in FACTORS:
+            first = f"'{FIRST_LEVELS[v]}'" if v in FIRST_LEVELS else f"(SELECT min({v}) FROM modelled)"
+            return f"CASE WHEN {v} <> {first} THEN '{v}' || {v} END", "1"
+        if v in FLAGS:
+            return f"'{v}TRUE'", f"{v}::INT"
+        return ("'log10(n_students)'", "log10(n_students)") if v == "n_students" else (f"'{v}'", v)
+
+    seen, rows = set(), []
+    for s in model_grid({v: [_controls_by_hand(v)] for v in dag.FOCAL}):
+        if s.model_type == "bias-reduced logistic" or s.formula in seen:
+            continue
+        seen.add(s.formula)
+        y = {"ever_phil": "ever_phil::INT", "n_later_phil": "n_later_phil"}[s.outcome]
+        y = f"({y} > 0)::INT" if s.model_type == "hurdle" else y
+        cells = [f"{{'t': '(Intercept)', 'v': ({y})::DOUBLE}}"]
+        for term in s.terms:
+            parts = [part(v) for v in term]
+            label = " || ':' || ".join(f"({p})" for p, _ in parts)
+            cells.append(f"{{'t': {label}, 'v': ({y})::DOUBLE * {' * '.join(x for _, x in parts)}}}")
+        known = " AND ".join(f"{v} IS NOT NULL" for v in [s.outcome, *s.variables()])
+        terms = "+".join(":".join(t) for t in s.terms)
+        rows.append(
+            f"SELECT '{s.outcome}' AS outcome, '{s.model_type}' AS model_type, '{terms}' AS terms, c.t AS term, sum(c.v) AS total "
+            f"FROM (SELECT unnest([{', '.join(cells)}]) AS c FROM whole WHERE {known}) GROUP BY c.t"
+        )
+    return f"""WITH whole AS (SELECT m.*, c.other_major_student FROM modelled m LEFT JOIN crs c ON m.id = c.id AND m.course_id = c.course_id)
+        SELECT outcome, model_type, terms, term, round(total + {OFF_EDGE}, 3) AS total FROM ({" UNION ALL ".join(rows)})
+        WHERE term IS NOT NULL AND total <> 0"""
+
+
+@query("model_grid_fitted_sums", _observed_sums_sql(), curated=True)
+def model_grid_fitted_sums(spark, d):
+    """The score equations of the whole grid: SQL has the sums of the outcomes, the fits those of their means."""
+    rows = _modelled(spark, d)
+    specs = [s for s in model_grid(dag.control_sets(spark)) if s.model_type != "bias-reduced logistic"]
+    specs = list({s.formula: s for s in specs}.values())
+    design = grid_design(rows, specs)
+    fits = fit_sweep(design, specs)
+    terms = spark.createDataFrame([(s.model_idx, "+".join(":".join(t) for t in s.terms)) for s in specs], "model_idx string, terms string")
+    kinds = spec_table(spark, specs).select("model_idx", "outcome", "model_type").join(terms, "model_idx")
+    sums = fitted_sums(design, specs, fits).where(F.abs("fitted") > 1e-6).join(kinds, "model_idx")
+    return sums.select("outcome", "model_type", "terms", "term", F.round(F.col("fitted") + OFF_EDGE, 3).alias("total"))
+
+
 @query("model_grid_areas")
 def model_grid_areas(spark, d):
     return rounded(_grid(spark, d)["auc"], "auc", digits=4)

@@ -22,6 +22,7 @@ from cohortlab.models.design import Design
 from cohortlab.models.kernels import (
     BiasReduced,
     Block,
+    Glm,
     Linear,
     Logistic,
     Model,
@@ -284,6 +285,56 @@ def model_bin_counts(
     return _per_model(counts.groupBy("fit", "bin").agg(F.sum("fitted").alias("fitted")), ids)
 
 
+def fitted_sums(design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit]) -> DataFrame:
+    """(model_idx, hurdle_component, term, fitted): sums of fitted means times every design column.
+
+    Over the rows a model was fitted on. Where the link is canonical (least squares,
+    logistic, Poisson, the zero part of a hurdle) the maximum is where they equal the sums
+    of the outcome; models of another kind are left out. One scan serves all models.
+    """
+    jobs: list[tuple[Model, list[str], str | None]] = []
+    seen: dict[int, int] = {}
+    for s in specs:
+        for component, model in fits[s.model_idx].parts.items():
+            if isinstance(model, BiasReduced) or not isinstance(model, (Linear, Logistic, Poisson)):
+                continue
+            if id(model) not in seen:
+                seen[id(model)] = len(jobs)
+                jobs.append((model, [], component))
+            jobs[seen[id(model)]][1].append(s.model_idx)
+    names, ys = [f"x{i}" for i in range(design.width)], sorted({m.y for m, _, _ in jobs})
+
+    def run(batches):
+        sums = [np.zeros(len(m.columns)) for m, _, _ in jobs]
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = [c[at : at + BLOCK_ROWS] for c in columns]
+                block = Block(part[: len(names)], dict(zip(ys, part[len(names) :])))
+                for k, (model, _, _) in enumerate(jobs):
+                    a, ok = block.design([tuple(c) for c in model.columns])
+                    ok = ok & np.isfinite(model.outcome(block.outcomes[model.y]))
+                    eta = model.beta @ a[model.keep][:, ok]
+                    sums[k] += a[:, ok] @ (model.mean(eta) if isinstance(model, Glm) else eta)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(jobs)), pa.int32()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=["model", "sums"]
+        )
+
+    def named(batches):
+        for batch in batches:
+            rows = []
+            for k, sums in zip(batch.column("model").to_pylist(), batch.column("sums").to_pylist()):
+                model, ids, component = jobs[k]
+                rows += [(idx, component, label, value) for idx in ids for label, value in zip(model.labels, sums)]
+            types = (pa.string(), pa.string(), pa.string(), pa.float64())
+            columns = zip(*rows) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["model_idx", "hurdle_component", "term", "fitted"])
+
+    parts = design.table.select(*names, *ys).mapInArrow(run, "model int, sums array<double>")
+    total = parts.groupBy("model").agg(Summarizer.sum(array_to_vector("sums")).alias("sums")).select("model", vector_to_array("sums").alias("sums"))
+    return total.mapInArrow(named, "model_idx string, hurdle_component string, term string, fitted double")
+
+
 def tidy(spark: SparkSession, specs: Sequence[ModelSpec], fits: dict[str, Fit]) -> DataFrame:
     """Coefficient table of a sweep, in design order within each component."""
     rows = []
