@@ -8,13 +8,16 @@
 3. A centroid graph, small enough to be broadcast, finds the nearest centroids of a vector
    best first. Vectors near a border are in several lists: the nearest ``REPLICAS`` whose
    distance is within ``BORDER`` times the least.
-4. A query reads the lists within ``REACH`` of its nearest centroid, by distance ratio.
-   Long lists are cut into chunks, each scored as one matrix product; the best of each
-   chunk are merged. Scores are summed in double precision in order of the components.
-
-Cases: vectors null, empty, zero or with null or non-finite components take no part; of
-several dimensions only the commonest takes part (the smaller on a tie); ties go to the
-smaller id; rows with one id repeated count once; other columns are dropped.
+4. A query goes through the lists from its nearest centroid on until they are home to
+   k + 1 vectors, and reads on to ``REACH`` times that distance. So it finds k where there
+   are k, and small clusters widen the search to the next ones. Long lists are cut into
+   chunks, and so are many queries of one list; a chunk is one matrix product, and the best
+   of each are merged. Scores are summed in double precision in order of the components.
+
+Cases: vectors null, empty, zero or with null or non-finite components take no part;
+vectors of different dimensions are tables of their own, as they have no inner product;
+ties go to the smaller id; rows with one id repeated count once; an empty table gives an
+empty one; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from cohortlab.session import staged
 MAX_LISTS = 4096
 SAMPLE_PER_LIST = 16
 LIST_CHUNK = 8192
+QUERY_CHUNK = 8192
 DEGREE = 24
 BORDER, REPLICAS = 1.1, 8
 REACH = 1.15
@@ -40,10 +44,7 @@ def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     """(id, vec): the rows that take part."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & fine & F.exists("vec", lambda x: x != 0))
-    dims = rows.groupBy(F.size("vec").alias("d")).count()
-    common = dims.orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (common["d"] if common else 0))
+    return rows.where(F.col("id").isNotNull() & fine & F.exists("vec", lambda x: x != 0))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
@@ -77,40 +78,53 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
 class CentroidGraph:
     """Nearest centroids by best-first search over a neighbour graph, many vectors at a time."""
 
-    def __init__(self, centroids: np.ndarray, top: float):
+    def __init__(self, centroids: np.ndarray, top: float, edges: np.ndarray | None = None):
         self.centroids, self.top = centroids, top
-        gaps = _distances(centroids, centroids)
-        near = np.argsort(gaps, axis=1, kind="stable")[:, 1 : DEGREE + 1]
-        ring = (np.arange(len(centroids))[:, None] + 1) % len(centroids)  # keeps the graph connected
-        self.edges = np.concatenate([near, ring], axis=1)
+        if edges is None:
+            gaps = _distances(centroids, centroids)
+            near = np.argsort(gaps, axis=1, kind="stable")[:, 1 : DEGREE + 1]
+            ring = (np.arange(len(centroids))[:, None] + 1) % len(centroids)  # keeps the graph connected
+            edges = np.concatenate([near, ring], axis=1)
+        self.edges = edges
+
+    def plain(self) -> tuple:
+        """What it is made of, to be sent to the tasks: a broadcast of this class would need the package there."""
+        return self.centroids, self.top, self.edges
 
     def raised(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         """With the coordinate that turns the inner product into a distance."""
         rest = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, self.top**2 - (vectors**2).sum(1)))
         return np.concatenate([vectors, rest[:, None]], axis=1)
 
-    def nearest(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) nearest first; infinite where the search did not go.
+    def nearest(self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(centroids, distances, bounds): nearest first, infinite where the search did not go.
 
-        It goes on from the nearest centroid not yet gone on from, while that is within
-        ``ratio`` times the least distance found.
+        It goes on from the nearest centroid not yet gone on from, until those gone on from
+        are home to ``need`` vectors (``sizes`` by list), and then while that is within the
+        bound: ``ratio`` times the distance reached so far.
         """
         found = np.full((len(x), len(self.centroids)), np.inf)
         done = np.zeros(found.shape, bool)
         entry = np.arange(0, len(self.centroids), max(1, math.isqrt(len(self.centroids))))
         found[:, entry] = _distances(x, self.centroids[entry])
         rows = np.arange(len(x))
+        held, covered = np.zeros(len(x)), np.zeros(len(x))
         while len(rows):
             open_ = np.where(done[rows], np.inf, found[rows])
             node = open_.argmin(axis=1)
             gap = open_[np.arange(len(rows)), node]
-            go = (gap <= ratio**2 * found[rows].min(axis=1)) & np.isfinite(gap)
-            rows, node = rows[go], node[go]
+            short = held[rows] < need
+            go = (short | (gap <= ratio**2 * np.maximum(found[rows].min(axis=1), covered[rows]))) & np.isfinite(gap)
+            rows, node, gap, short = rows[go], node[go], gap[go], short[go]
             done[rows, node] = True
+            if sizes is not None:
+                held[rows] += sizes[node]
+                covered[rows[short]] = np.maximum(covered[rows[short]], gap[short])
             ends = self.edges[node]
             found[rows[:, None], ends] = ((x[rows][:, None, :] - self.centroids[ends]) ** 2).sum(2)
         order = np.argsort(found, axis=1, kind="stable")
-        return order, np.sqrt(np.take_along_axis(found, order, axis=1))
+        bounds = ratio * np.sqrt(np.maximum(found.min(axis=1), covered))
+        return order, np.sqrt(np.take_along_axis(found, order, axis=1)), bounds
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,17 +149,17 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _lists(graph, query: bool, reach: float, border: float):
-    """The lists of each vector: those that hold it, or those that a query reads."""
+def _lists(graph, ratio: float, sizes=None, need: int = 0):
+    """The lists of each vector: those that hold it, or with ``sizes`` those that a query reads."""
 
     def run(batches):
-        index = graph.value
+        index, query = CentroidGraph(*graph.value), sizes is not None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 x = index.raised(_matrix(part.column("vec")), query)
-                near, gap = index.nearest(x, reach if query else border)
-                keep = gap <= (reach if query else border) * gap[:, :1]
+                near, gap, bounds = index.nearest(x, ratio, sizes.value if query else None, need)
+                keep = (gap <= bounds[:, None]) & np.isfinite(gap)
                 if not query:
                     keep[:, REPLICAS:] = False
                 lists = pa.array([row[k].tolist() for row, k in zip(near, keep)], pa.list_(pa.int32()))
@@ -193,27 +207,47 @@ def nearest(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", embedd
 
     ``is_query`` is a condition on column ``id``.
     """
-    spark = vectors.sparkSession
     rows = staged(valid(vectors, vec_id, embedding), "vectors")
+    dims = sorted(r[0] for r in rows.select(F.size("vec")).distinct().collect())
+    found = [_nearest_alike(rows.where(F.size("vec") == d), is_query, k, reach, border) for d in dims]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest_alike(rows: DataFrame, is_query, k: int, reach: float, border: float) -> DataFrame:
+    """The search among vectors of one dimension."""
+    sc = rows.sparkSession.sparkContext
     distinct = staged(distinct_vectors(rows, k + 1), "distinct")
     index = fit(distinct)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if index is None:
-        return spark.createDataFrame([], schema)
-    graph = spark.sparkContext.broadcast(index)
+    graph = sc.broadcast(index.plain())
     lists = "vid long, vec array<double>, ids array<bigint>, lists array<int>"
-    postings = distinct.mapInArrow(_lists(graph, False, reach, border), lists).select("vid", "vec", "ids", F.explode("lists").alias("list"))
-    postings = staged(postings, "postings")
+    held = staged(distinct.mapInArrow(_lists(graph, border), lists), "held")
+    # every vector has one home, so the homes of some lists are different vectors
+    homes = np.zeros(len(index.centroids))
+    for r in held.groupBy(F.col("lists")[0].alias("list")).agg(F.sum(F.size("ids")).alias("n")).collect():
+        homes[r["list"]] = r["n"]
+    sizes = sc.broadcast(homes)
+    postings = held.select("vid", "vec", "ids", F.explode("lists").alias("list"))
     chunks = postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_CHUNK).cast("int").alias("chunks"))
     cut = postings.join(F.broadcast(chunks), "list")  # MAX_LISTS rows at most
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).drop("chunks")
 
     asked = rows.where(is_query)
     queries = asked.select("vec").distinct().join(distinct.select("vec", "vid"), "vec")
-    reads = queries.select("vid", "vec").mapInArrow(_lists(graph, True, reach, border), "vid long, vec array<double>, lists array<int>")
-    reads = reads.select("vid", "vec", F.explode("lists").alias("list")).join(F.broadcast(chunks), "list")
-    reads = reads.select("vid", "vec", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    scored = reads.groupBy("list", "chunk").cogroup(cut.groupBy("list", "chunk")).applyInArrow(_score(k), "vid long, best array<struct<lost: double, id: bigint>>")
+    reads = queries.select("vid", "vec").mapInArrow(_lists(graph, reach, sizes, k + 1), "vid long, vec array<double>, lists array<int>")
+    reads = staged(reads.select("vid", "vec", F.explode("lists").alias("list")), "reads")
+    # a list that many queries read is given to several groups of them
+    groups = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
+    sides = F.broadcast(chunks.join(F.broadcast(groups), "list"))  # MAX_LISTS rows at most
+    reads = reads.join(sides, "list").withColumn("group", F.pmod(F.xxhash64("vid"), F.col("groups")).cast("int"))
+    reads = reads.select("vid", "vec", "list", "group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    cut = cut.join(F.broadcast(groups), "list").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    at = ["list", "chunk", "group"]
+    scored = reads.groupBy(*at).cogroup(cut.groupBy(*at)).applyInArrow(_score(k), "vid long, best array<struct<lost: double, id: bigint>>")
     merged = scored.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     by_id = asked.distinct().join(distinct.select("vec", "vid"), "vec").select(F.col("id").alias("query_id"), "vid")
     mine = by_id.join(merged, "vid").select("query_id", F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k).alias("best"))

@@ -57,3 +57,36 @@ def test_recall(spark):
     assert sum((q, i) in pairs for q, _, i, _ in true) >= 0.9 * len(true)
     score = {(q, i): s for q, _, i, s in exact(rows, len(rows), 20)}
     assert all(score[q, i] == s for q, _, i, s in got)
+
+
+def clustered(rng, clusters, each, dim, spread):
+    centres = rng.normal(size=(clusters, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    v = np.repeat(centres, each, axis=0) + spread * rng.normal(size=(clusters * each, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "tight clusters", "skewed norms"])
+def test_recall_and_whole_results_on_other_shapes(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "skewed norms":
+        v = rng.normal(size=(2000, 16)) * np.exp(rng.normal(size=(2000, 1)))
+    else:
+        v = clustered(rng, 200, 10, 16, 0.1 if kind == "clusters" else 0.001)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v[rng.permutation(len(v))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, true = found(neighbours.nearest(df, "id % 20 = 0", 20)), exact(rows, 20, 20)
+    assert len(got) == len(true) == 100 * 20
+    pairs = {(q, i) for q, _, i, _ in got}
+    assert sum((q, i) in pairs for q, _, i, _ in true) >= 0.9 * len(true)
+
+
+def test_dimensions_are_tables_of_their_own_and_hot_lists_are_cut(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    short = [(2 * i, [float(x) for x in rng.normal(size=3)]) for i in range(150)]
+    long = [(2 * i + 1, [float(x) for x in rng.normal(size=5)]) for i in range(60)]
+    df = spark.createDataFrame(short + long, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "QUERY_CHUNK", 4)
+    monkeypatch.setattr(neighbours, "LIST_CHUNK", 8)
+    got = found(neighbours.nearest(df, "id % 3 = 0", 4, reach=50.0))
+    assert got == sorted(exact(short, 4, 3) + exact(long, 4, 3))
