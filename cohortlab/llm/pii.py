@@ -1,23 +1,28 @@
 """Operator 1: personal data, and words that give it away.
 
 Base findings are emails, addresses, cards and phones by pattern. The method adds terms:
-an entity is a value found by a pattern, its terms are the words within ``CONTEXT`` code
-points of it. Over the corpus,
+an entity is a value found by a pattern, or what it shares with others (the domain of an
+email, the network of an address, the first digits of a card or phone); its terms are the
+words within ``CONTEXT`` code points of it. Over the corpus,
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(N n_te / (n_t n_e)) / log(N / n_e)
 
 is the share of the entity's information that the term gives away: 1 if every document
 with the term has the entity beside it, 0 if the term tells nothing. n counts documents:
 with the entity, with the term beside it, with the term anywhere in the text, and all. A
-term seen beside the entity in ``SUPPORT`` documents or more is *generalised* from
-``GENERALISE`` on and *removed* from ``REMOVE`` on, wherever a document that has the
-entity has the term.
+term seen beside the entity in ``support`` documents or more is *generalised* from
+``GENERALISE`` on and *removed* from ``REMOVE`` on. With ``everywhere`` that is so in every
+document that has the term, whether it names the entity or not; otherwise where a document
+that has the entity has the term. With a support of 1 a word that is found nowhere but
+beside an entity (a name, mostly) identifies it and goes.
 
 All by built-in functions. Words are counted with map-side sums; the joins are by entity
 and by term, where adaptive execution splits hot keys.
 
 Cases: null and empty texts have no findings; rows are documents, repeated ones count
-each; an entity in every document discloses nothing; other columns pass through.
+each; an entity in every document discloses nothing; a term of several entities counts by
+the strongest; very long texts are one row's arrays, never cut; an empty table gives an
+empty one; other columns pass through, and those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -87,6 +92,18 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
+def _kin(span: Column) -> Column:
+    """What the value shares with others: domain, network, issuer or area."""
+    number, value = digits(span["value"]), F.lower(span["value"])
+    shared = (
+        F.when(span["kind"] == "email", F.substring_index(value, "@", -1))
+        .when(span["kind"] == "ip", F.substring_index(value, ".", 2))
+        .when(span["kind"] == "card", F.substring(number, 1, 6))
+        .otherwise(F.substring(number, 1, 4))
+    )
+    return F.concat(span["kind"], F.lit("/"), shared)
+
+
 def _terms(text: Column, span: Column) -> Column:
     """Words of three letters or more around a finding, cut-off words left out."""
     left = F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT)))
@@ -97,10 +114,14 @@ def _terms(text: Column, span: Column) -> Column:
     return F.array_distinct(words)
 
 
+def words_of(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}]+"))
+
+
 def document_words(docs: DataFrame) -> DataFrame:
     """(term, n_docs): in how many documents each word is."""
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}\p{M}]+"))
-    rows = docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3)
+    rows = docs.select(F.explode(words_of(F.col("text"))).alias("term")).where(F.length("term") >= 3)
     return rows.groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
@@ -146,7 +167,20 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, begin, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def _owned(found: DataFrame, risky: DataFrame) -> DataFrame:
+    """(row, term, disclosure) of the documents that have the entity."""
+    owners = found.select("row", F.explode("entities.entity").alias("entity")).distinct()
+    rows = owners.join(risky, "entity")
+    return rows.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _anywhere(found: DataFrame, risky: DataFrame) -> DataFrame:
+    """(row, term, disclosure) of all documents that have the term."""
+    strongest = staged(risky.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    return found.select("row", F.explode(words_of(F.col("text"))).alias("term")).join(strongest, "term")
+
+
+def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, everywhere: bool = False) -> DataFrame:
     """``docs`` without text, with ``base``, ``spans`` (base and terms) and ``sanitised``.
 
     ``sanitised`` is null where nothing was found: the text stays as it is.
@@ -154,13 +188,17 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE)
     docs = docs.drop("base", "spans", "sanitised", "row", "entities", "terms")
     rest = [c for c in docs.columns if c != "text"]
     found = docs.withColumn("base", base_spans(F.col("text")))
-    entities = F.transform("base", lambda s: F.struct(_entity(s).alias("entity"), _terms(F.col("text"), s).alias("terms")))
-    # only texts with a finding are needed again
-    text = F.when(F.size("base") > 0, F.col("text")).alias("text")
+    def named(s: Column) -> Column:
+        terms = _terms(F.col("text"), s)
+        return F.array(*(F.struct(name.alias("entity"), terms.alias("terms")) for name in (_entity(s), _kin(s))))
+
+    entities = F.flatten(F.transform("base", named))
+    # without ``everywhere`` only texts with a finding are needed again
+    text = F.col("text") if everywhere else F.when(F.size("base") > 0, F.col("text")).alias("text")
     found = staged(found.select(F.monotonically_increasing_id().alias("row"), *rest, "base", text, entities.alias("entities")), "findings")
     risky = disclosing_terms(found.select("row", "entities"), docs.select("text"), support, least)
-    owners = found.select("row", F.explode("entities.entity").alias("entity")).distinct()
-    terms = owners.join(risky, "entity").groupBy("row").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms"))
+    marks = _anywhere(found, risky) if everywhere else _owned(found, risky)
+    terms = marks.groupBy("row").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
     out = found.drop("entities").join(terms, "row", "left")
     added = F.when(F.col("terms").isNotNull(), _added(F.col("text"), F.col("base"), F.col("terms"))).otherwise(F.array().cast(SPANS))
     out = out.withColumn("spans", F.array_sort(F.concat("base", added)))

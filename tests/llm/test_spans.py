@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import pii, secret_scan
 from cohortlab.llm.spans import matches
+from conftest import TESTDATA
 
 TEXTS = [
     None, "", "nothing here", "a@b.c", "a@b", "x a.b+c@d-e.f.g, y@z.w@q.r", "a@b.c_x@d.e", "@b.c a@.c", "é🙂 a@b.co 🙂 1.2.3.4",
@@ -160,3 +161,73 @@ def test_plans_have_no_python(spark):
     for out in (pii.sanitise(docs), secret_scan.scan(docs, common=2)):
         plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+WORD = re.compile(r"[^\W\d_]+")
+
+
+def plain_terms(texts, least):
+    """term -> disclosure over (text,) rows, for emails alone: by value and by domain."""
+    near, have, beside, anywhere = {}, {}, {}, {}
+    for i, text in enumerate(texts):
+        for w in set(WORD.findall((text or "").lower())):
+            anywhere.setdefault(w, set()).add(i)
+        for start, _, end in [s for s in brute.personal(text) if s[1] == "email"]:
+            value = text[start:end].lower()
+            left, right = text[max(0, start - pii.CONTEXT) : start], text[end : end + pii.CONTEXT]
+            left = re.sub(r"^[^\W\d_]+", "", left) if start > pii.CONTEXT else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(right) == pii.CONTEXT else right
+            for e in (value, "@" + value.split("@")[-1]):
+                have.setdefault(e, set()).add(i)
+                for w in WORD.findall(f"{left} {right}".lower()):
+                    if len(w) >= 3:
+                        beside.setdefault((e, w), set()).add(i)
+    n = len(texts)
+    for (e, w), rows in beside.items():
+        known = math.log(n / len(have[e]))
+        share = round(math.log(n * len(rows) / (len(anywhere[w]) * len(have[e]))) / known, 9) if known > 0 else 0.0
+        if share >= least:
+            near[w] = max(near.get(w, 0.0), share)
+    return near
+
+
+def test_terms_everywhere_against_plain_counts(spark):
+    rng = random.Random(11)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}é" for a in range(8) for b in range(8)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 40))) for _ in range(150)]
+    for i in range(0, 150, 4):
+        at = rng.randint(0, len(texts[i]))
+        name = rng.choice(["ann", "bob", "eve"])
+        texts[i] = f"{texts[i][:at]} {name}ish {name}{i % 3}@{rng.choice('ab')}.org {rng.choice(['tell', 'ask'])} {texts[i][at:]}"
+    texts += ["annish alone", "bobish and others", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = plain_terms(texts, pii.GENERALISE)
+    assert terms
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.sanitise(docs, support=1, everywhere=True).collect()}
+    for i, text in enumerate(texts):
+        base = [(kind, start, end) for start, kind, end in brute.personal(text)]
+        hit = [m for m in WORD.finditer(text or "") if m.group().lower() in terms]
+        added = [("remove" if terms[m.group().lower()] >= pii.REMOVE else "generalise", m.start(), m.end()) for m in hit]
+        added = [s for s in added if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        assert sorted(got[i]) == sorted(base + added), text
+
+
+def test_terms_of_the_given_table(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").select("doc_id", "text")
+    out = pii.sanitise(docs, support=1, everywhere=True).collect()
+    assert sum(s.kind in pii.TERMS for r in out for s in r.spans) > 0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        base = [(s.start, s.kind, s.end) for s in r.base]
+        assert base == brute.personal(texts[r.doc_id])
+        assert base == [(s.start, s.kind, s.end) for s in r.spans if s.kind not in pii.TERMS]
+
+
+def test_forest_after_a_graph_query_on_the_larger_table(spark):
+    from cohortlab.llm import queries, simhash
+
+    larger = TESTDATA.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    assert simhash.near_duplicates(docs.select("doc_id", "text"), words=3, radius=3).count() == docs.count()
+    rows = queries.op3_secrets(spark, larger).collect()
+    assert len(rows) == docs.count() and sum(r.n_secrets for r in rows) > 0
