@@ -9,7 +9,7 @@
    best first. Vectors near a border are in several lists: the nearest ``REPLICAS`` whose
    distance is within ``BORDER`` times the least.
 4. A query goes through the lists from its nearest centroid on until they are home to
-   k + 1 vectors, and reads on to ``REACH`` times that distance. So it finds k where there
+   ``HOMES`` times k + 1 vectors, and reads on to ``REACH`` times that distance. So it finds k where there
    are k, and small clusters widen the search to the next ones. Long lists are cut into
    chunks, and so are many queries of one list; a chunk is one matrix product, and the best
    of each are merged. Scores are summed in double precision in order of the components.
@@ -38,6 +38,8 @@ QUERY_CHUNK = 8192
 DEGREE = 24
 BORDER, REPLICAS = 1.1, 8
 REACH = 1.15
+#: The lists that a query goes through are home to this many times the vectors asked for.
+HOMES = 4
 
 
 def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -99,32 +101,42 @@ class CentroidGraph:
     def nearest(self, x: np.ndarray, ratio: float, sizes: np.ndarray | None = None, need: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(centroids, distances, bounds): nearest first, infinite where the search did not go.
 
-        It goes on from the nearest centroid not yet gone on from, until those gone on from
-        are home to ``need`` vectors (``sizes`` by list), and then while that is within the
-        bound: ``ratio`` times the distance reached so far.
+        It goes on from the nearest centroid not yet gone on from, while that is within
+        ``ratio`` times the least distance found. With ``sizes``, the vectors at home in each
+        list, it goes on until those are ``need``, and then to the bound: ``ratio`` times the
+        distance within which they are.
         """
         found = np.full((len(x), len(self.centroids)), np.inf)
         done = np.zeros(found.shape, bool)
         entry = np.arange(0, len(self.centroids), max(1, math.isqrt(len(self.centroids))))
         found[:, entry] = _distances(x, self.centroids[entry])
-        rows = np.arange(len(x))
-        held, covered = np.zeros(len(x)), np.zeros(len(x))
-        while len(rows):
-            open_ = np.where(done[rows], np.inf, found[rows])
-            node = open_.argmin(axis=1)
-            gap = open_[np.arange(len(rows)), node]
-            short = held[rows] < need
-            go = (short | (gap <= ratio**2 * np.maximum(found[rows].min(axis=1), covered[rows]))) & np.isfinite(gap)
-            rows, node, gap, short = rows[go], node[go], gap[go], short[go]
-            done[rows, node] = True
-            if sizes is not None:
-                held[rows] += sizes[node]
-                covered[rows[short]] = np.maximum(covered[rows[short]], gap[short])
-            ends = self.edges[node]
-            found[rows[:, None], ends] = ((x[rows][:, None, :] - self.centroids[ends]) ** 2).sum(2)
+
+        def search(rows: np.ndarray, goes_on) -> None:
+            while len(rows):
+                open_ = np.where(done[rows], np.inf, found[rows])
+                node = open_.argmin(axis=1)
+                gap = open_[np.arange(len(rows)), node]
+                go = goes_on(rows, gap) & np.isfinite(gap)
+                rows, node = rows[go], node[go]
+                done[rows, node] = True
+                ends = self.edges[node]
+                found[rows[:, None], ends] = ((x[rows][:, None, :] - self.centroids[ends]) ** 2).sum(2)
+
+        every = np.arange(len(x))
+        search(every, lambda rows, gap: gap <= ratio**2 * found[rows].min(axis=1))
+        reach = found.min(axis=1)
+        if sizes is not None:
+            search(every[done @ sizes < need], lambda rows, gap: done[rows] @ sizes < need)
+            known = np.where(done, found, np.inf)
+            order = np.argsort(known, axis=1, kind="stable")
+            enough = (np.cumsum(np.where(np.isfinite(np.take_along_axis(known, order, axis=1)), sizes[order], 0), axis=1) >= need).argmax(axis=1)
+            at = np.take_along_axis(known, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
+            # without enough vectors in all lists, every list is within the bound
+            at = np.where(done @ sizes < need, np.inf, at)
+            reach = np.maximum(reach, at)
+            search(every, lambda rows, gap: gap <= ratio**2 * reach[rows])
         order = np.argsort(found, axis=1, kind="stable")
-        bounds = ratio * np.sqrt(np.maximum(found.min(axis=1), covered))
-        return order, np.sqrt(np.take_along_axis(found, order, axis=1)), bounds
+        return order, np.sqrt(np.take_along_axis(found, order, axis=1)), ratio * np.sqrt(reach)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,7 +250,7 @@ def _nearest_alike(rows: DataFrame, is_query, k: int, reach: float, border: floa
 
     asked = rows.where(is_query)
     queries = asked.select("vec").distinct().join(distinct.select("vec", "vid"), "vec")
-    reads = queries.select("vid", "vec").mapInArrow(_lists(graph, reach, sizes, k + 1), "vid long, vec array<double>, lists array<int>")
+    reads = queries.select("vid", "vec").mapInArrow(_lists(graph, reach, sizes, HOMES * (k + 1)), "vid long, vec array<double>, lists array<int>")
     reads = staged(reads.select("vid", "vec", F.explode("lists").alias("list")), "reads")
     # a list that many queries read is given to several groups of them
     groups = reads.groupBy("list").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("groups"))
@@ -248,7 +260,9 @@ def _nearest_alike(rows: DataFrame, is_query, k: int, reach: float, border: floa
     cut = cut.join(F.broadcast(groups), "list").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     at = ["list", "chunk", "group"]
     scored = reads.groupBy(*at).cogroup(cut.groupBy(*at)).applyInArrow(_score(k), "vid long, best array<struct<lost: double, id: bigint>>")
-    merged = scored.groupBy("vid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
+    # a vector is in REPLICAS lists at most, so that often among the best found
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, (k + 1) * REPLICAS)
+    merged = scored.groupBy("vid").agg(F.slice(F.array_distinct(best), 1, k + 1).alias("best"))
     by_id = asked.distinct().join(distinct.select("vec", "vid"), "vec").select(F.col("id").alias("query_id"), "vid")
     mine = by_id.join(merged, "vid").select("query_id", F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k).alias("best"))
     out = mine.select("query_id", F.posexplode("best").alias("rank", "b"))
