@@ -11,7 +11,7 @@ is the share of the entity's information that the term gives away: 1 if every do
 with the term has the entity beside it, 0 if the term tells nothing. n counts documents:
 with the entity, with the term beside it, with the term anywhere in the text, and all. A
 term seen beside the entity in ``support`` documents or more is *generalised* from
-``GENERALISE`` on and *removed* from ``REMOVE`` on. With ``everywhere`` that is so in every
+``least`` on and *removed* from ``remove`` on. With ``everywhere`` that is so in every
 document that has the term, whether it names the entity or not; otherwise where a document
 that has the entity has the term. With a support of 1 a word that is found nowhere but
 beside an entity (a name, mostly) identifies it and goes.
@@ -138,14 +138,14 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, support: int, least: flo
     return pairs.withColumn("disclosure", share).where(F.col("disclosure") >= least).select("entity", "term", "disclosure")
 
 
-def _added(text: Column, base: Column, terms: Column) -> Column:
+def _added(text: Column, base: Column, terms: Column, remove: float) -> Column:
     """Findings of the document's disclosing terms, outside the base findings."""
     words = matches(text, r"\p{L}[\p{L}\p{M}]*+")
 
     def one(m: Column) -> Column:
         strongest = F.array_max(F.transform(F.filter(terms, lambda t: t["term"] == F.lower(m["value"])), lambda t: t["disclosure"]))
-        kind_no = F.when(strongest >= REMOVE, F.lit(5)).otherwise(F.lit(4))
-        kind = F.when(strongest >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
+        kind_no = F.when(strongest >= remove, F.lit(5)).otherwise(F.lit(4))
+        kind = F.when(strongest >= remove, F.lit("remove")).otherwise(F.lit("generalise"))
         return F.struct(m["start"].alias("start"), kind_no.alias("kind_no"), kind.alias("kind"), m["end"].alias("end"), m["value"].alias("value"))
 
     listed = F.transform(terms, lambda t: t["term"])
@@ -180,7 +180,7 @@ def _anywhere(found: DataFrame, risky: DataFrame) -> DataFrame:
     return found.select("row", F.explode(words_of(F.col("text"))).alias("term")).join(strongest, "term")
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, everywhere: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE, remove: float = REMOVE, everywhere: bool = False) -> DataFrame:
     """``docs`` without text, with ``base``, ``spans`` (base and terms) and ``sanitised``.
 
     ``sanitised`` is null where nothing was found: the text stays as it is.
@@ -200,7 +200,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE,
     marks = _anywhere(found, risky) if everywhere else _owned(found, risky)
     terms = marks.groupBy("row").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
     out = found.drop("entities").join(terms, "row", "left")
-    added = F.when(F.col("terms").isNotNull(), _added(F.col("text"), F.col("base"), F.col("terms"))).otherwise(F.array().cast(SPANS))
+    added = F.when(F.col("terms").isNotNull(), _added(F.col("text"), F.col("base"), F.col("terms"), remove)).otherwise(F.array().cast(SPANS))
     out = out.withColumn("spans", F.array_sort(F.concat("base", added)))
     changed = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans")))
     return out.withColumn("sanitised", changed).select(*rest, "base", "spans", "sanitised")
