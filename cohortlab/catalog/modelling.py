@@ -491,6 +491,64 @@ def poisson_by_customer(spark, d):
     return rounded(out.select("nation", "term", "estimate", "se", "n_rows"), "estimate", "se", digits=5)
 
 
+def _hurdle_sql(cells: str, rounds: int = 60) -> str:
+    """Both parts of a hurdle model of one regressor, by Newton steps in SQL.
+
+    ``cells`` gives (x, y, n). The count part is a zero-truncated negative binomial in
+    intercept, slope and the logarithm of its dispersion; a step is no longer than 3.
+    """
+    zero = newton_sql("logistic", f"SELECT 1 AS k, x, sum(n) AS n, sum(n * (y > 0)::INT) AS y FROM ({cells}) GROUP BY x", "0.0::DOUBLE")
+    inverse = {
+        "i11": "(h22 * h33 - h23 * h23)", "i12": "(h13 * h23 - h12 * h33)", "i13": "(h12 * h23 - h13 * h22)",
+        "i22": "(h11 * h33 - h13 * h13)", "i23": "(h12 * h13 - h11 * h23)", "i33": "(h11 * h22 - h12 * h12)",
+    }
+    det = "(h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h13 * h23) + h13 * (h12 * h23 - h13 * h22))"
+    parts = ", ".join(f"{value} / {det} AS {name}" for name, value in inverse.items())
+    return f"""WITH RECURSIVE every AS ({cells}), counts AS (SELECT x, y, n FROM every WHERE y > 0),
+        steps AS (
+          SELECT 0 AS i, ln(sum(n * y) / sum(n)) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS l, 0.0::DOUBLE AS va, 0.0::DOUBLE AS vb, 0.0::DOUBLE AS vl FROM counts
+          UNION ALL
+          SELECT i + 1, a + f * da, b + f * db, l + f * dl, i11, i22, i33 FROM (
+            SELECT *, least(1, 3 / greatest(abs(da), abs(db), abs(dl), 1e-300)) AS f FROM (
+              SELECT *, i11 * g1 + i12 * g2 + i13 * g3 AS da, i12 * g1 + i22 * g2 + i23 * g3 AS db, i13 * g1 + i23 * g2 + i33 * g3 AS dl FROM (
+                SELECT *, {parts} FROM (
+                  SELECT i, any_value(a) AS a, any_value(b) AS b, any_value(l) AS l, sum(n * ge) AS g1, sum(n * ge * x) AS g2, sum(n * th * gt) AS g3,
+                    -sum(n * hee) AS h11, -sum(n * hee * x) AS h12, -sum(n * th * het) AS h13, -sum(n * hee * x * x) AS h22, -sum(n * th * het * x) AS h23,
+                    -sum(n * (th * th * htt + th * gt)) AS h33
+                  FROM (
+                    SELECT *, th * (y - mu) / s + odds * za AS ge, dg - over_ + (mu - y) / s + odds * zt AS gt,
+                      -th * mu * (y + th) / (s * s) + pull * za * za - odds * th * th * mu / (s * s) AS hee,
+                      (y - mu) * mu / (s * s) + pull * za * zt - odds * mu * mu / (s * s) AS het,
+                      tg + mu / (th * s) - (mu - y) / (s * s) + pull * zt * zt + odds * mu * mu / (th * s * s) AS htt
+                    FROM (
+                      SELECT *, -th * mu / s AS za, mu / s - over_ AS zt, odds * (1 + odds) AS pull,
+                        list_sum(list_transform(range(0, y::INT), lambda q: 1 / (th + q))) AS dg, -list_sum(list_transform(range(0, y::INT), lambda q: 1 / (th + q) ** 2)) AS tg
+                      FROM (
+                        SELECT *, exp(-th * over_) / (1 - exp(-th * over_)) AS odds FROM (
+                          SELECT *, th + mu AS s, ln(1 + mu / th) AS over_ FROM (
+                            SELECT i, a, b, l, x, y, n, exp(a + b * x) AS mu, exp(l) AS th FROM steps, counts WHERE i < {rounds})))))
+                  GROUP BY i)))))
+        SELECT 'count' AS hurdle_component, unnest(['(Intercept)', 'price', 'Log(theta)']) AS term, round(unnest([a, b, l]), 4) + 0.0 AS estimate,
+          round(unnest([sqrt(va), sqrt(vb), sqrt(vl)]), 4) AS se FROM steps WHERE i = {rounds}
+        UNION ALL SELECT 'zero', unnest(['(Intercept)', 'price']), round(unnest([a, b]), 4) + 0.0, round(unnest([sa, sb]), 4) FROM ({zero})"""
+
+
+@query(
+    "hurdle_one_regressor",
+    _hurdle_sql(
+        """SELECT floor(p / 50000) AS x, y, count(*) AS n FROM (
+             SELECT o_totalprice AS p, floor(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / 10) AS y
+             FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice) GROUP BY ALL"""
+    ),
+)
+def hurdle_one_regressor(spark, d):
+    """Returned tens of units of an order by its price, zero part and counts."""
+    df = _returned(spark, d).select("y", F.floor(F.col("o_totalprice") / 50000).cast("double").alias("price"))
+    specs = [ModelSpec("1", "y", "price", "full", "hurdle", (("price",),))]
+    coefs = _fit(df, specs)[2]
+    return rounded(coefs.select("hurdle_component", "term", "estimate", "se"), "estimate", "se", digits=4)
+
+
 # ---- scores and diagnostics ----------------------------------------------
 
 
