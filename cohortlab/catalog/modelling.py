@@ -16,7 +16,7 @@ from cohortlab.models.diagnostics import (
     roc_curve,
     threshold_sensitivity,
 )
-from cohortlab.models.grouped import fit_groups
+from cohortlab.models.grouped import fit_groups, sweep_groups
 from cohortlab.models.effects import (
     back_transformed,
     focal_effects,
@@ -491,6 +491,38 @@ def poisson_by_customer(spark, d):
     return rounded(out.select("nation", "term", "estimate", "se", "n_rows"), "estimate", "se", digits=5)
 
 
+def _sweep_sql() -> str:
+    lines = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+    models = [
+        ("1", "quantity", "logistic", "0.0::DOUBLE", "l_quantity / 10", "(l_returnflag = 'R')::INT"),
+        ("2", "discount", "logistic", "0.0::DOUBLE", "l_discount * 10", "(l_returnflag = 'R')::INT"),
+        ("3", "quantity", "Poisson", "ln(y / n)", "l_quantity / 10", "l_linenumber"),
+        ("4", "discount", "Poisson", "ln(y / n)", "l_discount * 10", "l_linenumber"),
+    ]
+    return " UNION ALL ".join(
+        f"""SELECT k AS c_mktsegment, '{idx}' AS model_idx, unnest(['(Intercept)', '{term}']) AS term, round(unnest([a, b]), 5) + 0.0 AS estimate,
+            round(unnest([sa, sb]), 5) AS se, n AS n_rows FROM ({newton_sql(link, f"SELECT c_mktsegment AS k, {x} AS x, count(*) AS n, sum({y}) AS y FROM {lines} GROUP BY ALL", start)})"""
+        for idx, term, link, start, x, y in models
+    )
+
+
+@query("model_sweep_by_segment", _sweep_sql())
+def model_sweep_by_segment(spark, d):
+    """Two outcomes by two variables, a grid of four models in every market segment."""
+    t = {n: table(spark, d, n) for n in ("lineitem", "orders", "customer")}
+    lines = t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    df = lines.select(
+        "c_mktsegment", "l_linenumber", (F.col("l_returnflag") == "R").alias("returned"),
+        (F.col("l_quantity") / 10).alias("quantity"), (F.col("l_discount") * 10).alias("discount"),
+    )
+    grid = [("returned", "logistic"), ("l_linenumber", "Poisson")]
+    specs = [
+        ModelSpec(str(1 + 2 * i + j), outcome, x, "full", kind, ((x,),)) for i, (outcome, kind) in enumerate(grid) for j, x in enumerate(["quantity", "discount"])
+    ]
+    out = sweep_groups(df, ["c_mktsegment"], specs)
+    return rounded(out.select("c_mktsegment", "model_idx", "term", "estimate", "se", "n_rows"), "estimate", "se", digits=5)
+
+
 def _hurdle_sql(cells: str, rounds: int = 60) -> str:
     """Both parts of a hurdle model of one regressor, by Newton steps in SQL.
 

@@ -1,7 +1,8 @@
-"""One formula fitted in every group of a table, for any number of groups.
+"""A grid of formulas fitted in every group of a table, for any number of groups.
 
 The sweep of `fits` keeps one model object per formula on the driver. Here the models are
-rows: (group, component, state), and neither a group nor its coefficients reach the driver.
+rows: (group, component, state), a component being a part of one of the formulas, and
+neither a group nor its coefficients reach the driver.
 
 1. Equal rows of a group become one with a weight, so repeated rows cost nothing more.
 2. The distinct rows of a group are packed into blocks of about ``BLOCK`` rows. A large
@@ -43,14 +44,15 @@ def _key(by: Sequence[str]):
     return F.to_json(F.struct(*by))
 
 
-def pack(rows: DataFrame, by: Sequence[str], x: Sequence[str], y: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, groups) of the complete rows.
+def pack(rows: DataFrame, by: Sequence[str], x: Sequence[str], y: str | Sequence[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(blocks, groups) of the rows that have an outcome; which of them a model can use, its kernel sees.
 
     ``blocks`` is (__group, __block, cells), cells an array<struct<x, y, w>>; ``groups`` is
     (__group, by, __blocks), one row per group.
     """
-    complete = rows.select(*by, *x, y).dropna(subset=[*x, y])
-    tagged = complete.select(_key(by).alias("__group"), *by, F.array(*x).cast("array<double>").alias("x"), F.col(y).alias("y"))
+    ys = [y] if isinstance(y, str) else list(y)
+    known = rows.select(*by, *x, *ys).dropna("all", subset=ys)
+    tagged = known.select(_key(by).alias("__group"), *by, F.array(*x).cast("array<double>").alias("x"), F.array(*ys).cast("array<double>").alias("y"))
     cells = staged(tagged.groupBy("__group", *by, "x", "y").agg(F.count("*").cast("double").alias("w")), "cells")
     sizes = cells.groupBy("__group", *by).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
     groups = staged(sizes, "groups")
@@ -90,7 +92,7 @@ def _load(kind: type[Model], state: bytes) -> Model:
     return model
 
 
-def _sums(kinds: Sequence[type[Model]], outcome: str):
+def _sums(kinds: Sequence[type[Model]], outcomes: Sequence[str]):
     """Task function: blocks with a model's state to its vector of sums."""
 
     def run(batches):
@@ -98,9 +100,9 @@ def _sums(kinds: Sequence[type[Model]], outcome: str):
             cells = batch.column("cells")
             ends = np.concatenate([[0], np.cumsum(np.asarray(cells.value_lengths(), np.int64))])
             flat = cells.flatten()
-            y, w = (flat.field(c).to_numpy(zero_copy_only=False) for c in "yw")
-            x = flat.field("x").flatten().to_numpy(zero_copy_only=False)
-            x = x.reshape(len(y), len(x) // max(1, len(y)))
+            w = flat.field("w").to_numpy(zero_copy_only=False)
+            x, y = (flat.field(c).flatten().to_numpy(zero_copy_only=False) for c in "xy")
+            x, y = (a.reshape(len(w), len(a) // max(1, len(w))) for a in (x, y))
             sums = []
             for k, (component, state) in enumerate(zip(batch.column("__component").to_pylist(), batch.column("state").to_pylist())):
                 model, mine = _load(kinds[component], state), slice(ends[k], ends[k + 1])
@@ -108,7 +110,7 @@ def _sums(kinds: Sequence[type[Model]], outcome: str):
                 # the sums of a row repeated w times are w times its own
                 for times in np.unique(w[mine]):
                     like = w[mine] == times
-                    part = Block(list(x[mine][like].T), {outcome: y[mine][like]})
+                    part = Block(list(x[mine][like].T), dict(zip(outcomes, y[mine][like].T)))
                     with np.errstate(all="ignore"):
                         total += times * model.local(part)
                 sums.append(total.tolist())
@@ -140,7 +142,7 @@ def _advance(kinds: Sequence[type[Model]]):
 STATE = "__group string, __component int, __blocks int, state binary, done boolean"
 
 
-def fit_packed(blocks: DataFrame, groups: DataFrame, starts: Sequence[Model], outcome: str) -> DataFrame:
+def fit_packed(blocks: DataFrame, groups: DataFrame, starts: Sequence[Model], outcomes: Sequence[str]) -> DataFrame:
     """(__group, __component, state) of every group once all its models are done."""
     kinds = [type(m) for m in starts]
     first = F.array(*(F.lit(bytearray(_dump(m))) for m in starts))
@@ -150,7 +152,7 @@ def fit_packed(blocks: DataFrame, groups: DataFrame, starts: Sequence[Model], ou
     with _Bucketed(blocks) as stored:
         while True:
             spread = live.select(*KEY, "state", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__block"))
-            sums = stored.join(spread, ["__group", "__block"]).mapInArrow(_sums(kinds, outcome), "__group string, __component int, sums array<double>")
+            sums = stored.join(spread, ["__group", "__block"]).mapInArrow(_sums(kinds, outcomes), "__group string, __component int, sums array<double>")
             total = sums.groupBy(*KEY).agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
             moved = live.join(total.select(*KEY, vector_to_array("sums").alias("sums")), KEY)
             moved = staged(moved.mapInArrow(_advance(kinds), STATE), "states")
@@ -179,26 +181,46 @@ def _terms(kinds: Sequence[type[Model]]):
     return run
 
 
-def fit_groups(
-    df: DataFrame, by: Sequence[str], spec: ModelSpec, variables: Mapping[str, Variable] | None = None, block: int = BLOCK
+def sweep_groups(
+    df: DataFrame, by: Sequence[str], specs: Sequence[ModelSpec], variables: Mapping[str, Variable] | None = None, block: int = BLOCK
 ) -> DataFrame:
-    """Coefficients of ``spec`` fitted in every group: by, hurdle_component, term_idx, term, estimate, se, n_rows, converged, status.
+    """Coefficients of all specs in every group: by, model_idx, hurdle_component, term_idx, term, estimate, se, n_rows, converged, status.
 
-    Rows with a missing variable or outcome are left out; a group without a complete row
-    has no rows in the result. Factor levels are those of the whole table; in a group that
-    lacks one its term is aliased and left out, like any spanned column.
+    A model leaves out rows in which a variable or outcome of its own is missing; one
+    without a complete row in a group has no rows there. Specs of one formula share a fit.
+    Factor levels are those of the whole table; in a group that lacks one its term is
+    aliased and left out, like any spanned column. All models of a group go through its
+    blocks together, so a sweep costs as many rounds as its slowest model.
     """
-    kinds = FITTERS.get(spec.model_type)
-    if kinds is None:
-        raise ValueError(f"unknown model type: {spec.model_type}")
-    variables = variables or variables_of(df, spec.variables())
-    design = build_design(df, variables, [spec.outcome], keep=by)
-    y, columns = design.outcomes[spec.outcome], design.columns_for(spec)
-    starts = [kind([c[0] for c in columns], [c[1] for c in columns], y) for kind in kinds.values()]
-    blocks, groups = pack(design.table, by, [f"x{i}" for i in range(design.width)], y, block)
-    states = fit_packed(blocks, groups, starts, y)
+    if unknown := {s.model_type for s in specs} - set(FITTERS):
+        raise ValueError(f"unknown model type: {sorted(unknown)}")
+    variables = variables or variables_of(df, list(dict.fromkeys(v for s in specs for v in s.variables())))
+    design = build_design(df, variables, sorted({s.outcome for s in specs}), keep=by)
+    starts: list[Model] = []
+    named: list[list[tuple[str, str | None]]] = []  # the specs and parts that each model serves
+    places: dict[tuple, list[int]] = {}
+    for s in specs:
+        parts = FITTERS[s.model_type]
+        if s.formula not in places:
+            columns = design.columns_for(s)
+            places[s.formula] = list(range(len(starts), len(starts) + len(parts)))
+            starts += [kind([c[0] for c in columns], [c[1] for c in columns], design.outcomes[s.outcome]) for kind in parts.values()]
+            named += [[] for _ in parts]
+        for place, part in zip(places[s.formula], parts):
+            named[place].append((s.model_idx, part))
+    ys = sorted(design.outcomes.values())
+    blocks, groups = pack(design.table, by, [f"x{i}" for i in range(design.width)], ys, block)
+    states = fit_packed(blocks, groups, starts, ys)
     schema = "__group string, __component int, term_idx int, term string, estimate double, se double, n_rows long, converged boolean, status string"
-    out = states.mapInArrow(_terms(list(kinds.values())), schema)
-    names = F.array(*(F.lit(c).cast("string") for c in kinds))
-    out = out.withColumn("hurdle_component", F.get(names, F.col("__component")))
-    return groups.join(out, "__group").select(*by, "hurdle_component", "term_idx", "term", "estimate", "se", "n_rows", "converged", "status")
+    out = states.mapInArrow(_terms([type(m) for m in starts]), schema)
+    serves = [(place, idx, part) for place, some in enumerate(named) for idx, part in some]
+    names = df.sparkSession.createDataFrame(serves, "__component int, model_idx string, hurdle_component string")
+    out = out.join(F.broadcast(names), "__component")  # as many rows as specs
+    return groups.join(out, "__group").select(*by, "model_idx", "hurdle_component", "term_idx", "term", "estimate", "se", "n_rows", "converged", "status")
+
+
+def fit_groups(
+    df: DataFrame, by: Sequence[str], spec: ModelSpec, variables: Mapping[str, Variable] | None = None, block: int = BLOCK
+) -> DataFrame:
+    """:func:`sweep_groups` of one spec, without its number."""
+    return sweep_groups(df, by, [spec], variables, block).drop("model_idx")

@@ -94,3 +94,23 @@ def test_intercept_alone_and_unknown_kind(spark, rows):
     assert means == pytest.approx(plain) or {k: round(v, 9) for k, v in means.items()} == {k: round(v, 9) for k, v in plain.items()}
     with pytest.raises(ValueError):
         grouped.fit_groups(rows, ["g"], ModelSpec("1", "z", "x", "full", "probit", ()))
+
+
+def test_a_sweep_equals_each_of_its_fits(spark, rows):
+    specs = [
+        ModelSpec("1", "z", "x", "full", "lm", (("x",),)),
+        ModelSpec("2", "n", "x", "full", "hurdle", (("level",),)),
+        ModelSpec("3", "z", "level", "full", "lm", (("x",),)),
+        ModelSpec("4", "z", "level", "full", "lm", (("level",),)),
+    ]
+    variables = variables_of(rows, ["x", "level"])
+    key = lambda r: (r.g, r.hurdle_component, r.term, round(r.estimate, 9), r.n_rows)
+    got = {}
+    for r in grouped.sweep_groups(rows, ["g"], specs, variables, block=100).collect():
+        got.setdefault(r.model_idx, []).append(key(r))
+    assert sorted(got["1"], key=repr) == sorted(got["3"], key=repr)
+    for s in specs[1:]:
+        alone = [key(r) for r in grouped.fit_groups(rows, ["g"], s, variables, block=100).collect()]
+        assert sorted(got[s.model_idx], key=repr) == sorted(alone, key=repr)
+    # a row without x counts in the models that don't ask for it
+    assert max(r[4] for r in got["4"]) > max(r[4] for r in got["1"])
