@@ -84,7 +84,7 @@ def test_odd_rows_pass_all_stages(spark):
 
 def test_registered():
     assert [n for n in queries.QUERIES] == [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert entry.queries()["pipeline"] is pipeline.run
 
 
