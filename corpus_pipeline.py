@@ -1,7 +1,10 @@
 """A training-data pipeline over `documents`: each stage applies one corpus operator to all its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns the columns of `documents`, the last one
-also the tokens. Rows without an id pass the near-duplicate stage as they are.
+also the tokens. Rows without an id pass the near-duplicate stage as they are; of rows with
+one id one stays, whatever their number. Null and empty texts have no language and go at the
+first stage, very long ones are taken whole by every stage, ties are those of the operators,
+an empty table stays one, and columns beside those of `documents` are dropped.
 """
 
 from __future__ import annotations
@@ -9,12 +12,12 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import decontamination, language, line_dedup, sentencepiece_codec, simhash
 from cohortlab.llm.common import table
-from cohortlab.session import shared_dir
+from cohortlab.session import shared_dir, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document stays when one language has at least this share of it.
@@ -37,11 +40,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with linked fingerprints the one with the least id stays."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"), words=3, radius=3)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    others = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "others")
     kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
-    # repeated rows of one id are copies too
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("nth", row).where("nth = 1 OR doc_id IS NULL").select(*COLUMNS)
+    # repeated rows of one id are copies too; only their texts are shuffled, one of each kept map-side
+    ids = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = staged(ids.where("n > 1").select("doc_id"), "repeated")
+    single = kept.join(repeated, "doc_id", "left_anti")
+    one = F.min_by(F.struct(*COLUMNS), F.struct(F.xxhash64("text"), *COLUMNS))
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("row")).select("row.*")
+    return single.select(*COLUMNS).unionByName(again)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
