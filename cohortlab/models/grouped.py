@@ -129,8 +129,11 @@ def _advance(kinds: Sequence[type[Model]]):
             states, done = [], []
             for component, state, total in zip(*(batch.column(c).to_pylist() for c in ("__component", "state", "sums"))):
                 model = _load(kinds[component], state)
-                with np.errstate(all="ignore"):
-                    model.advance(np.asarray(total))
+                if total[0]:
+                    with np.errstate(all="ignore"):
+                        model.advance(np.asarray(total))
+                else:  # not one row that it can use
+                    model.n, model.done = 0.0, True
                 states.append(_dump(model))
                 done.append(bool(model.done))
             columns = [batch.column(c) for c in (*KEY, "__blocks")]
@@ -173,6 +176,8 @@ def _terms(kinds: Sequence[type[Model]]):
             rows = []
             for group, component, state in zip(*(batch.column(c).to_pylist() for c in (*KEY, "state"))):
                 model = _load(kinds[component], state)
+                if not model.n:
+                    continue
                 for i, (term, estimate, se) in enumerate(model.results()):
                     rows.append((group, component, i, term, estimate, se, int(model.n), bool(model.converged), model.status))
             columns = zip(*rows) if rows else [[]] * len(types)
