@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Mapping
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +34,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return load(spark, folder, [name])[name]
 
 
-def curated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The registrar plan over the stand-in tables, its shared stages stored.
+def curated(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
+    """The registrar plan over the stand-in tables, its shared stages stored once a query reads them.
 
     Kept while the folder's files stay as they are.
     """
@@ -51,7 +51,7 @@ def folder_state(spark: SparkSession, folder: str) -> tuple:
 
 
 @lru_cache(maxsize=4)
-def _curated(spark: SparkSession, folder: str, state: tuple) -> dict[str, DataFrame]:
+def _curated(spark: SparkSession, folder: str, state: tuple) -> Mapping[str, DataFrame]:
     t = standin.tables(spark, folder)
     raw = {
         "raw_profile": standin.profile(t),
@@ -60,9 +60,11 @@ def _curated(spark: SparkSession, folder: str, state: tuple) -> dict[str, DataFr
         "faculty": standin.faculty(t),
         "division": standin.course_division(t),
     }
-    out = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"], staged)
-    out["modelled"] = model_table(out["analysis"], raw["faculty"], raw["division"])
-    return {**t, **raw, **out}
+    plan = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"], staged)
+    makers = {name: partial(dict.__getitem__, tables, name) for tables in (t, raw) for name in tables}
+    makers |= {name: partial(plan.__getitem__, name) for name in plan}
+    makers["modelled"] = lambda: model_table(plan["analysis"], raw["faculty"], raw["division"])
+    return registrar.Stages(makers)
 
 
 def rnd(x: str | Column, digits: int = 6) -> Column:

@@ -110,6 +110,11 @@ def phi_crs(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def major_term(t: dict[str, DataFrame]) -> DataFrame:
+    """Admission term and the major held in each slot of a student's lines.
+
+    A slot's major is that of the student's last order with a line in it. An order's slots
+    travel as the bits of one number, so lines are neither joined nor moved.
+    """
     o = _student(t).withColumn(
         "major",
         F.when(
@@ -117,30 +122,32 @@ def major_term(t: dict[str, DataFrame]) -> DataFrame:
             "Philosophy",
         ).otherwise(lookup("o_orderpriority", MAJOR_OF_PRIORITY)),
     )
+    quarter = lookup(lookup(F.month("l_shipdate"), QUARTER_OF_MONTH), REL_QUARTER_OF_CODE)
+    slot = F.concat(F.lit("YR"), F.col("l_linenumber").cast("string"), quarter)
+    place = F.array_position(F.array(*[F.lit(x) for x in SLOTS]), slot)
+    lines = t["lineitem"].select("l_orderkey", place.cast("int").alias("place")).filter("place > 0")
+    slots = lines.groupBy("l_orderkey").agg(F.bit_or(F.expr("shiftleft(1L, place - 1)")).alias("slots"))
+    o = o.select("o_orderkey", "student", "term", "major").join(slots, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     # most students are admitted with their first order, some only with the last
-    admit = o.groupBy("student").agg(
-        F.when(F.col("student") % 17 == 0, F.max("term")).otherwise(F.min("term")).alias("a")
-    )
-    admit = admit.select(
+    admitted = F.when(F.col("student") % 17 == 0, F.max("term")).otherwise(F.min("term")).alias("a")
+    # majors as numbers: all that is added up has a fixed width
+    majors = sorted({"Philosophy", *MAJOR_OF_PRIORITY.values()})
+    o = o.withColumn("code", lookup("major", {m: i for i, m in enumerate(majors)}))
+    cells = [
+        F.max_by("code", F.when(F.col("student").isNotNull() & (F.col("slots").bitwiseAND(F.lit(1 << i)) != 0), F.col("o_orderkey"))).alias(x)
+        for i, x in enumerate(SLOTS)
+    ]
+    named = F.array(*[F.lit(m) for m in majors])
+    wide = o.groupBy("student").agg(admitted, *cells)
+    return wide.select(
         F.col("student").alias("E_PIDM"),
         F.when(
             F.col("a").endswith("07") & (F.col("student") % 2 == 0), F.concat(F.substring("a", 1, 4), F.lit("06"))
         )
         .otherwise(F.col("a"))
         .alias("ADMIT_TERM"),
+        *[F.get(named, F.col(x)).alias(x) for x in SLOTS],
     )
-    lines = t["lineitem"].join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    code = lookup(F.month("l_shipdate"), QUARTER_OF_MONTH)
-    quarter = lookup(code, REL_QUARTER_OF_CODE)
-    seen = lines.select(
-        F.col("student").alias("s"),
-        F.concat(F.lit("YR"), F.col("l_linenumber").cast("string"), quarter).alias("slot"),
-        "major",
-        F.struct("o_orderkey", "l_partkey", "l_suppkey").alias("at"),
-    )
-    cells = seen.groupBy("s", "slot").agg(F.max_by("major", "at").alias("major"))
-    wide = cells.groupBy("s").pivot("slot", SLOTS).agg(F.first("major"))
-    return admit.join(wide, admit["E_PIDM"] == wide["s"], "left").drop("s")
 
 
 def faculty(t: dict[str, DataFrame]) -> DataFrame:

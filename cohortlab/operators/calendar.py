@@ -101,6 +101,25 @@ def value_at_term(series: str | Column, first_index: str | Column, term: str | C
     return F.when((offset >= 0) & (offset < F.size(s)), F.get(s, offset))
 
 
+def changes(series: str | Column) -> Column:
+    """The places of a series where the value is another than before, as array<struct<at, value>>.
+
+    A value that is carried forward fills many places and changes at few: this is what is
+    worth moving.
+    """
+    s = F.col(series) if isinstance(series, str) else series
+    cells = F.transform(s, lambda v, k: F.struct(k.alias("at"), v.alias("value")))
+    return F.filter(cells, lambda c, k: (k == 0) | ~c["value"].eqNullSafe(F.get(s, k - 1)))
+
+
+def changed_value_at_term(found: str | Column, length: str | Column, first_index: str | Column, term: str | Column) -> Column:
+    """:func:`value_at_term` of a series given by its :func:`changes` and its length."""
+    found, length, first = (F.col(x) if isinstance(x, str) else x for x in (found, length, first_index))
+    offset = term_index(term) - first
+    held = F.filter(found, lambda c: c["at"] <= offset)
+    return F.when((offset >= 0) & (offset < length), F.get(held, F.size(held) - 1)["value"])
+
+
 def bad_terms(df: DataFrame, term: str) -> DataFrame:
     """Rows whose term the calendar cannot place, for a quarantine report."""
     return df.filter(term_index(term).isNull())

@@ -235,7 +235,8 @@ def principal_components(df: DataFrame, names: Sequence[str]) -> DataFrame:
     Rows with a missing value are left out. The sign of a component is fixed
     by making its largest loading positive.
     """
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    # the passes read the numbers alone, not what they are made from
+    rows = staged(df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna(), "components")
     vectors = VectorAssembler(inputCols=list(names), outputCol="v").transform(rows).select("v")
     model = PCA(k=len(names), inputCol="v", outputCol="pc").fit(vectors)
     total = rows.agg(sum(F.var_samp(c) for c in names)).head()[0]

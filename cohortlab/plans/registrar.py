@@ -6,7 +6,7 @@ course) and ``major_term`` (one wide row per student).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from cohortlab.functions.missing import flag, if_else, not_in, strict_sum, sum_o
 from cohortlab.functions.recode import collapse, cross_label, explicit_missing, lookup, yes
 from cohortlab.functions.terms import term_date, term_quarter, term_year
 from cohortlab.functions.text import join_text, mentions, squash_spaces
-from cohortlab.operators.calendar import calendar_rows, student_calendar, value_at_term
+from cohortlab.operators.calendar import calendar_rows, changed_value_at_term, changes, student_calendar
 from cohortlab.operators.joins import keyed_join, natural_join
 from cohortlab.operators.reshape import nest
 from cohortlab.operators.summaries import group_gap, shares_of
@@ -96,44 +96,54 @@ def clean_profile(profile: DataFrame, ever: DataFrame) -> DataFrame:
     return df.withColumn("demographic", cross_label("gender", "race4"))
 
 
+def compact(calendar: DataFrame) -> DataFrame:
+    """The calendar with each series as its changes: what a join should carry."""
+    keys = ["id", "first_index", F.size("series").alias("series_length"), changes("series").alias("series_changes")]
+    return calendar.select(*keys, *[c for c in calendar.columns if c not in ("id", "first_index", "series")])
+
+
 def people_table(calendar: DataFrame, students: DataFrame) -> DataFrame:
-    """One row per student: cleaned profile and major series."""
-    return keyed_join(calendar.select("id", "first_index", "series"), students, ["id"], "full")
+    """One row per student: cleaned profile and the changes of the major."""
+    return keyed_join(compact(calendar.select("id", "first_index", "series")), students, ["id"], "full")
 
 
 def course_facts(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
     """Student x course with grade gap and the major held in that term.
 
-    The major is picked from the student's series by term arithmetic, so the
-    join brings one row per student instead of one row per student and term.
+    The major is picked from the changes of the student's series by term arithmetic, so the
+    join brings one short row per student instead of one row per student and term.
     ``people`` is the student calendar, or :func:`people_table` to get the
     profile columns along with it: one join per fact table leaves Spark free to
-    split the rows of a student who holds many of them.
+    split the rows of a student who holds many of them. Texts that follow from the
+    given columns are formed after the join and not moved.
     """
-    df = phi_crs.select(
-        F.col("E_PIDM").alias("id"),
-        F.col("TERM").alias("term"),
-        term_year("TERM").alias("year"),
-        term_quarter("TERM").alias("quarter"),
-        join_text("TERM", F.lit("_"), "CRN").alias("course_id"),
-        squash_spaces(join_text("TERM", F.lit("_"), "CRN", F.lit(" "), "COURSE_TITLE")).alias("id_title"),
-        F.col("COURSE_TITLE").alias("title"),
-        F.col("INSTRUCTOR").alias("instructor"),
-        lookup("COURSE_LETTER_GRADE", GRADE_POINTS).alias("grade"),
-        F.col("TERM_CUM_GPA").alias("term_cum_gpa"),
-    )
-    names = df.columns
+    people = compact(people) if "series" in people.columns else people
+    raw = ["TERM", "CRN", "COURSE_TITLE", "INSTRUCTOR", "COURSE_LETTER_GRADE", "TERM_CUM_GPA"]
+    df = phi_crs.select(F.col("E_PIDM").alias("id"), *[F.col(c).alias(f"__{c}") for c in raw])
     df = keyed_join(df, people.drop("admit_term", "start"), ["id"], "left")
-    df = df.withColumn("major", value_at_term("series", "first_index", "term"))
+    course = join_text("__TERM", F.lit("_"), "__CRN")
+    given = {
+        "term": F.col("__TERM"),
+        "year": term_year("__TERM"),
+        "quarter": term_quarter("__TERM"),
+        "course_id": course,
+        "id_title": squash_spaces(join_text("__TERM", F.lit("_"), "__CRN", F.lit(" "), "__COURSE_TITLE")),
+        "title": F.col("__COURSE_TITLE"),
+        "instructor": F.col("__INSTRUCTOR"),
+        "grade": lookup("__COURSE_LETTER_GRADE", GRADE_POINTS),
+        "term_cum_gpa": F.col("__TERM_CUM_GPA"),
+        "major": changed_value_at_term("series_changes", "series_length", "first_index", "__TERM"),
+    }
+    extra = [c for c in people.columns if c not in ("id", "admit_term", "start", "first_index", "series_length", "series_changes")]
+    df = df.select("id", *[x.alias(name) for name, x in given.items()], *extra)
+    names = ["id", *given]
     df = df.withColumns(major_flags()).withColumns(
         {
             "grade_diff": F.col("term_cum_gpa") - F.col("grade"),
             "other_major": F.col("human_dev") | F.col("bio_sci") | F.col("soc"),
         }
     )
-    derived = ["major", *MAJOR_FLAGS, "grade_diff", "other_major"]
-    extra = [c for c in people.columns if c not in ("id", "admit_term", "start", "first_index", "series")]
-    return df.select(*names, *derived, *extra)
+    return df.select(*names, *MAJOR_FLAGS, "grade_diff", "other_major", *extra)
 
 
 def course_totals(facts: DataFrame) -> DataFrame:
@@ -267,33 +277,52 @@ def analysis_table(facts: DataFrame, totals: DataFrame, gaps: DataFrame) -> Data
     )
 
 
+class Stages(Mapping):
+    """Tables by name, each made when it is first asked for and then kept.
+
+    A report that reads one stage does not pay for the others.
+    """
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def build(
     profile: DataFrame,
     phi_crs: DataFrame,
     major_term: DataFrame,
     keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
-) -> dict[str, DataFrame]:
+) -> Stages:
     """All stages of the plan by name.
 
     ``keep`` may store the calendar and the student facts, which all other
-    stages read; without it everything stays lazy.
+    stages read, when the first of them is asked for; without it everything stays lazy.
     """
-    calendar = keep(student_calendar(major_term), "calendar")
-    students = clean_profile(profile, ever_majored(calendar))
-    wide = keep(course_facts(phi_crs, people_table(calendar, students)), "student_facts")
-    facts = wide.select(*columns_between(wide, "id", "other_major"))
-    totals = course_totals(wide)
-    gaps = course_gaps(wide)
-    nested = first_course_nested(facts)
-    return {
-        "calendar": calendar,
-        "profile_clean": students,
-        "student_facts": wide,
-        "crs_1": facts,
-        "crs_2": totals,
-        "dmg": gaps,
-        "crs_4": nested,
-        "crs": clean_courses(facts, totals),
-        "profile": student_table(students, nested),
-        "analysis": analysis_table(wide, totals, gaps),
+    makers = {
+        "calendar": lambda: keep(student_calendar(major_term), "calendar"),
+        "profile_clean": lambda: clean_profile(profile, ever_majored(out["calendar"])),
+        "student_facts": lambda: keep(course_facts(phi_crs, people_table(out["calendar"], out["profile_clean"])), "student_facts"),
+        "crs_1": lambda: out["student_facts"].select(*columns_between(out["student_facts"], "id", "other_major")),
+        "crs_2": lambda: course_totals(out["student_facts"]),
+        "dmg": lambda: course_gaps(out["student_facts"]),
+        "crs_4": lambda: first_course_nested(out["crs_1"]),
+        "crs": lambda: clean_courses(out["crs_1"], out["crs_2"]),
+        "profile": lambda: student_table(out["profile_clean"], out["crs_4"]),
+        "analysis": lambda: analysis_table(out["student_facts"], out["crs_2"], out["dmg"]),
     }
+    out = Stages(makers)
+    return out

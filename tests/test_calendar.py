@@ -101,3 +101,16 @@ def test_alignment_needs_no_shuffle(spark):
     plan = calendar.calendar_rows(calendar.student_calendar(wide(spark)))
     text = plan._sc._jvm.PythonSQLUtils.explainString(plan._jdf.queryExecution(), "formatted")
     assert "Exchange" not in text and "Window" not in text and "Join" not in text
+
+
+def test_changes_hold_the_series(spark):
+    """Every place of a series can be read off its changes; a carried value is kept once."""
+    cal = calendar.student_calendar(wide(spark)).withColumn("found", calendar.changes("series")).withColumn("n", F.size("series"))
+    terms = [f"{y}{q}" for y in range(1990, 2030) for q in ("01", "03", "05", "07", "10", "06")] + [None, "x"]
+    cells = cal.withColumn("t", F.explode(F.array(*[F.lit(t) for t in terms])))
+    plain = calendar.value_at_term("series", "first_index", "t")
+    short = calendar.changed_value_at_term("found", "n", "first_index", "t")
+    assert cells.filter(plain.isNotNull()).count() > 0
+    assert cells.filter(~plain.eqNullSafe(short)).isEmpty()
+    values = F.size(F.array_distinct("series"))
+    assert cal.filter(F.size("found") > values + 2).isEmpty() and cal.filter("n = 50 AND size(found) > 10").isEmpty()

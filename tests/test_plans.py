@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlab.catalog import standin
 from cohortlab.catalog.registry import curated
 from cohortlab.catalog.verbs import trend_pages
 from cohortlab.functions import text
@@ -87,6 +88,52 @@ def test_registrar_by_hand(spark):
     assert analysis[0]["year"] == "2006" and analysis[0]["year_number"] == 2006
 
 
+def test_stages_are_made_when_asked_for(spark):
+    kept = []
+    out = registrar.build(*registrar_input(spark), keep=lambda df, name: kept.append(name) or df)
+    assert kept == [] and "crs" in out
+    out["profile_clean"].count()
+    assert kept == ["calendar"]
+    out["analysis"], out["crs_4"], out["crs_2"]
+    assert kept == ["calendar", "student_facts"]
+
+
+def test_people_carry_changes_of_the_major(spark):
+    """A long series is one short cell in the join with the facts."""
+    profile, courses, majors = registrar_input(spark)
+    calendar = registrar.student_calendar(majors)
+    people = registrar.people_table(calendar, registrar.clean_profile(profile, registrar.ever_majored(calendar)))
+    assert "series" not in people.columns
+    assert {r["id"]: [tuple(c) for c in r["series_changes"]] for r in people.collect()} == {
+        1: [(0, "Undeclared"), (1, "Philosophy")], 2: [(0, "Sociology")], 3: [(0, None)], 4: [(0, None), (1, "Art")]
+    }
+    both = [registrar.course_facts(courses, p).select("id", "course_id", "major", "current_phil", "grade_diff") for p in (people, calendar)]
+    assert rows(both[0]) == rows(both[1])
+
+
+def test_majors_of_slots_by_hand(spark):
+    """The last order with a line in a slot counts, though its major is unknown; lines are packed by order first."""
+    orders = spark.createDataFrame(
+        [
+            (1, 7, "O", 1.0, "1996-01-05", "2-HIGH"), (2, 7, "O", 1.0, "1996-10-05", "4-NOT SPECIFIED"), (3, 7, "O", 1.0, "1996-11-05", "else"),
+            (4, 8, "P", 300000.0, "1997-05-01", "5-LOW"), (5, None, "O", 1.0, "1997-05-01", "5-LOW"),
+        ],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string",
+    ).withColumn("o_orderdate", F.to_timestamp("o_orderdate"))
+    lines = spark.createDataFrame(
+        [(1, 1, "1996-10-01"), (1, 2, "1996-01-01"), (2, 1, "1996-11-01"), (2, 1, "1996-12-01"), (3, 2, "1996-02-01"), (3, None, "1996-02-01"), (3, 3, "1996-08-01"), (5, 1, "1996-10-01")],
+        "l_orderkey long, l_linenumber int, l_shipdate string",
+    ).withColumn("l_shipdate", F.to_timestamp("l_shipdate"))
+    wide = standin.major_term({"orders": orders, "lineitem": lines})
+    found = {r["E_PIDM"]: r for r in wide.collect()}
+    assert set(found) == {706, 807, None} and wide.columns == ["E_PIDM", "ADMIT_TERM", *standin.SLOTS]
+    assert {k: v for k, v in found[706].asDict().items() if v is not None} == {"E_PIDM": 706, "ADMIT_TERM": "199601", "YR1FALL": "History"}
+    assert [v for k, v in found[807].asDict().items() if k.startswith("YR") and v] == []
+    assert [v for k, v in found[None].asDict().items() if k.startswith("YR") and v] == []
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan.split("Aggregate")[1] and "bit_or" in plan
+
+
 def test_facts_keep_their_rows(stages):
     assert stages["crs"].count() == stages["raw_courses"].count()
     checks.require(checks.key_report(stages["crs_1"], ["id", "course_id"]), "is_unique", "fact key repeats")
