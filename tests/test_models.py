@@ -21,6 +21,7 @@ from cohortlab.models.fits import (
     tidy,
 )
 from cohortlab.models.kernels import (
+    BiasReduced,
     Block,
     TruncatedCount,
     independent_columns,
@@ -368,3 +369,71 @@ def test_rootogram_dispatch(spark):
     assert rows(out, "bin", "observed", "fitted") == [(False, 1, 1), (True, 1, 1)]
     with pytest.raises(ValueError):
         diagnostics.rootogram(df, "z", "f", {"c": "count"})
+
+
+def settle(model, x, y):
+    """All rounds of one model over a block, and the sums that travelled."""
+    sizes = []
+    while not model.done:
+        total = model.local(Block(x, {"y": y}))
+        sizes.append(len(total))
+        model.advance(total)
+    return sizes
+
+
+def test_bias_reduced_steps_need_one_scan_and_no_cubes():
+    """Ten columns settle in a few scans of squares, at the zero of the adjusted score."""
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=500) for _ in range(9)]
+    y = (rng.random(500) < 0.3).astype(float)
+    m = BiasReduced([str(i) for i in range(10)], [(), *[(i,) for i in range(9)]], "y")
+    sizes = settle(m, x, y)
+    assert m.converged and len(sizes) <= 12 and max(sizes) == 2 + 10 + 100
+    a = np.vstack([np.ones(500), *x])
+    mu = 1 / (1 + np.exp(-m.beta @ a))
+    w = mu * (1 - mu)
+    inverse = np.linalg.inv((a * w) @ a.T)
+    adjusted = a @ (y - mu + w * ((inverse @ a) * a).sum(axis=0) * (0.5 - mu))
+    assert np.abs(inverse @ adjusted / np.sqrt(np.diag(inverse))).max() < 1e-6
+
+
+@pytest.mark.parametrize("width", [2, 8])
+def test_bias_reduced_goes_on_with_exact_leverages(width):
+    """A separated group: steps with the leverages of the round before don't settle."""
+    rng = np.random.default_rng(6)
+    x = [(np.arange(40) < 3).astype(float), *[rng.normal(size=40) for _ in range(width - 2)]]
+    y = np.where(np.arange(40) < 3, 1.0, (rng.random(40) < 0.2).astype(float))
+    m = BiasReduced([str(i) for i in range(width)], [(), *[(i,) for i in range(width - 1)]], "y")
+    settle(m, x, y)
+    assert m.converged
+    a = np.vstack([np.ones(40), *x])
+    mu = 1 / (1 + np.exp(-m.beta @ a))
+    w = mu * (1 - mu)
+    inverse = np.linalg.inv((a * w) @ a.T)
+    adjusted = a @ (y - mu + w * ((inverse @ a) * a).sum(axis=0) * (0.5 - mu))
+    assert np.abs(inverse @ adjusted / np.sqrt(np.diag(inverse))).max() < 1e-5
+
+
+def test_counts_are_tabled_alike():
+    y = np.array([1.0, 3.0, 3.0, 7.0])
+    for some in (y, y + 0.5, y + 5000, y[:0]):
+        counts, back, factorials = TruncatedCount.tabled(some)
+        assert (np.asarray(counts)[back] == some).all()
+        assert factorials[back] == pytest.approx([math.lgamma(v + 1) for v in some], rel=1e-12)
+
+
+def test_a_grid_is_reported_when_asked_for(spark, monkeypatch):
+    """Effects don't wait for the counts of scores."""
+    from cohortlab.plans import regressions
+
+    df = spark.createDataFrame(
+        [(i, i, i % 3 == 0, i % 4, "M.White" if i % 2 else "F.White", float(i % 7)) for i in range(400)],
+        "id int, course_id int, ever_phil boolean, n_later_phil int, demographic string, dmg double",
+    )
+    specs = [ModelSpec("1", "ever_phil", "dmg", "full", "logistic", (("dmg",),)), ModelSpec("2", "n_later_phil", "dmg", "full", "Poisson", (("dmg",),))]
+    asked = []
+    real = regressions.model_score_counts
+    monkeypatch.setattr(regressions, "model_score_counts", lambda *a: asked.append(1) or real(*a))
+    out = regressions.run(df, specs)
+    assert out["estimates"].count() == 2 and out["rootograms"].count() > 0 and asked == []
+    assert out["auc"].count() == 1 and out["roc"].count() > 2 and asked == [1]
