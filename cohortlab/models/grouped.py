@@ -36,6 +36,8 @@ from cohortlab.models.spec import ModelSpec
 from cohortlab.session import run_folder, staged
 
 BLOCK = 2048
+#: Rows that cost as much as one more call of a kernel.
+CALL = 256
 KEY = ["__group", "__component"]
 
 
@@ -92,6 +94,21 @@ def _load(kind: type[Model], state: bytes) -> Model:
     return model
 
 
+def parts_of(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[float, tuple[np.ndarray, np.ndarray]]]:
+    """Weighted rows as (weight, rows) parts: the sums of a row repeated w times are w times its own.
+
+    Rows of one weight are a part, but a call of a kernel costs as much as ``CALL`` rows: where
+    repeating them is cheaper, they are repeated together with all others of which that holds.
+    """
+    values, at, n = np.unique(w, return_inverse=True, return_counts=True)
+    repeated = (values * n <= n + CALL)[at]
+    out = [(float(values[k]), (x[at == k], y[at == k])) for k in np.unique(at[~repeated])]
+    if repeated.any():
+        times = w[repeated].astype(np.int64)
+        out.append((1.0, (np.repeat(x[repeated], times, axis=0), np.repeat(y[repeated], times, axis=0))))
+    return out
+
+
 def _sums(kinds: Sequence[type[Model]], outcomes: Sequence[str]):
     """Task function: blocks with a model's state to its vector of sums."""
 
@@ -107,12 +124,9 @@ def _sums(kinds: Sequence[type[Model]], outcomes: Sequence[str]):
             for k, (component, state) in enumerate(zip(batch.column("__component").to_pylist(), batch.column("state").to_pylist())):
                 model, mine = _load(kinds[component], state), slice(ends[k], ends[k + 1])
                 total = np.zeros(model.size())
-                # the sums of a row repeated w times are w times its own
-                for times in np.unique(w[mine]):
-                    like = w[mine] == times
-                    part = Block(list(x[mine][like].T), dict(zip(outcomes, y[mine][like].T)))
+                for times, part in parts_of(x[mine], y[mine], w[mine]):
                     with np.errstate(all="ignore"):
-                        total += times * model.local(part)
+                        total += times * model.local(Block(list(part[0].T), dict(zip(outcomes, part[1].T))))
                 sums.append(total.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("__group"), batch.column("__component"), pa.array(sums, pa.list_(pa.float64()))], names=[*KEY, "sums"]

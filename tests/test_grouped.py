@@ -114,3 +114,14 @@ def test_a_sweep_equals_each_of_its_fits(spark, rows):
         assert sorted(got[s.model_idx], key=repr) == sorted(alone, key=repr)
     # a row without x counts in the models that don't ask for it
     assert max(r[4] for r in got["4"]) > max(r[4] for r in got["1"])
+
+
+def test_weighted_rows_take_few_calls():
+    """Rows of many small weights are repeated in one part, a heavy one is multiplied."""
+    x, w = np.arange(41.0).reshape(-1, 1), np.array([float(1 + i % 20) for i in range(40)] + [1e6])
+    parts = grouped.parts_of(x, 2 * x, w)
+    assert len(parts) == 2 and sum(len(a) for _, (a, _) in parts) == 2 * 210 + 1
+    for f in (lambda a: a, np.square):
+        assert sum(t * f(a).sum() for t, (a, _) in parts) == (f(x[:, 0]) * w).sum()
+    assert all((b == 2 * a).all() for _, (a, b) in parts)
+    assert grouped.parts_of(x[:0], x[:0], w[:0]) == []
