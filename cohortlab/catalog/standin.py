@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.recode import lookup
@@ -52,10 +52,14 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return load(spark, folder, names)
 
 
+def _student_id() -> Column:
+    return F.col("o_custkey") * 100 + F.year("o_orderdate") - 1990
+
+
 def _student(t: dict[str, DataFrame]) -> DataFrame:
     return t["orders"].select(
         "*",
-        (F.col("o_custkey") * 100 + F.year("o_orderdate") - 1990).alias("student"),
+        _student_id().alias("student"),
         F.concat(
             F.year("o_orderdate").cast("string"), lookup(F.month("o_orderdate"), QUARTER_OF_MONTH)
         ).alias("term"),
@@ -89,22 +93,41 @@ def profile(t: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def _rank(x: str, known: list[str]) -> Column:
+    """A number in the order of the texts: 2, 4, ... for the known ones, an odd one for any other."""
+    x = F.col(x)
+    return sum((x >= k).cast("int") for k in known) * 2 + (~x.isin(known)).cast("int")
+
+
 def phi_crs(t: dict[str, DataFrame]) -> DataFrame:
-    o = _student(t)
+    """A student's lines with a supplier in a term are one course.
+
+    Terms and priorities travel as numbers until all is joined: what is grouped and moved
+    has a fixed width, so groups are hashed and not sorted.
+    """
+    letters = sorted(LETTER_OF_PRIORITY)
+    date = F.col("o_orderdate")
+    o = t["orders"].select(
+        "o_orderkey",
+        _student_id().alias("student"),
+        (F.year(date) * 100 + lookup(F.month(date), QUARTER_OF_MONTH).cast("int")).alias("term"),
+        _rank("o_orderpriority", letters).alias("rank"),
+    )
     lines = t["lineitem"].join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.groupBy("student", "term", "l_suppkey").agg(
-        F.min("o_orderpriority").alias("p"),
+        F.min("rank").alias("rank"),
         F.max("l_quantity").alias("q"),
         F.min("l_partkey").alias("pk"),
     )
     rows = rows.join(t["part"], rows["pk"] == F.col("p_partkey"))
+    year = F.floor(F.col("term") / 100)
     return rows.select(
         F.col("student").alias("E_PIDM"),
-        F.col("term").alias("TERM"),
+        F.concat(year.cast("string"), F.lpad((F.col("term") - year * 100).cast("string"), 2, "0")).alias("TERM"),
         F.col("l_suppkey").cast("string").alias("CRN"),
         F.concat("p_brand", F.lit(" "), "p_type").alias("COURSE_TITLE"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("INSTRUCTOR"),
-        lookup("p", LETTER_OF_PRIORITY).alias("COURSE_LETTER_GRADE"),
+        lookup("rank", {2 * i: LETTER_OF_PRIORITY[x] for i, x in enumerate(letters, 1)}).alias("COURSE_LETTER_GRADE"),
         (F.nullif(F.col("q"), F.lit(13.0)) * 0.08).alias("TERM_CUM_GPA"),
     )
 
@@ -127,12 +150,12 @@ def major_term(t: dict[str, DataFrame]) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(x) for x in SLOTS]), slot)
     lines = t["lineitem"].select("l_orderkey", place.cast("int").alias("place")).filter("place > 0")
     slots = lines.groupBy("l_orderkey").agg(F.bit_or(F.expr("shiftleft(1L, place - 1)")).alias("slots"))
-    o = o.select("o_orderkey", "student", "term", "major").join(slots, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # majors as numbers: all that is moved and added up has a fixed width
+    majors = sorted({"Philosophy", *MAJOR_OF_PRIORITY.values()})
+    o = o.select("o_orderkey", "student", "term", lookup("major", {m: i for i, m in enumerate(majors)}).alias("code"))
+    o = o.join(slots, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     # most students are admitted with their first order, some only with the last
     admitted = F.when(F.col("student") % 17 == 0, F.max("term")).otherwise(F.min("term")).alias("a")
-    # majors as numbers: all that is added up has a fixed width
-    majors = sorted({"Philosophy", *MAJOR_OF_PRIORITY.values()})
-    o = o.withColumn("code", lookup("major", {m: i for i, m in enumerate(majors)}))
     cells = [
         F.max_by("code", F.when(F.col("student").isNotNull() & (F.col("slots").bitwiseAND(F.lit(1 << i)) != 0), F.col("o_orderkey"))).alias(x)
         for i, x in enumerate(SLOTS)

@@ -107,35 +107,49 @@ def people_table(calendar: DataFrame, students: DataFrame) -> DataFrame:
     return keyed_join(compact(calendar.select("id", "first_index", "series")), students, ["id"], "full")
 
 
-def course_facts(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
-    """Student x course with grade gap and the major held in that term.
+def held_courses(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
+    """Student x course with the major held in that term and the columns of the student: what is worth storing.
 
     The major is picked from the changes of the student's series by term arithmetic, so the
     join brings one short row per student instead of one row per student and term.
     ``people`` is the student calendar, or :func:`people_table` to get the
     profile columns along with it: one join per fact table leaves Spark free to
-    split the rows of a student who holds many of them. Texts that follow from the
-    given columns are formed after the join and not moved.
+    split the rows of a student who holds many of them.
     """
     people = compact(people) if "series" in people.columns else people
-    raw = ["TERM", "CRN", "COURSE_TITLE", "INSTRUCTOR", "COURSE_LETTER_GRADE", "TERM_CUM_GPA"]
-    df = phi_crs.select(F.col("E_PIDM").alias("id"), *[F.col(c).alias(f"__{c}") for c in raw])
+    df = phi_crs.select(
+        F.col("E_PIDM").alias("id"),
+        F.col("TERM").alias("__term"),
+        F.col("CRN").alias("__crn"),
+        F.col("COURSE_TITLE").alias("__title"),
+        F.col("INSTRUCTOR").alias("__instructor"),
+        lookup("COURSE_LETTER_GRADE", GRADE_POINTS).alias("__grade"),
+        F.col("TERM_CUM_GPA").alias("__term_cum_gpa"),
+    )
+    names = df.columns[1:]
     df = keyed_join(df, people.drop("admit_term", "start"), ["id"], "left")
-    course = join_text("__TERM", F.lit("_"), "__CRN")
+    major = changed_value_at_term("series_changes", "series_length", "first_index", "__term").alias("__major")
+    extra = [c for c in people.columns if c not in ("id", "admit_term", "start", "first_index", "series_length", "series_changes")]
+    return df.select("id", *names, major, *extra)
+
+
+def fact_columns(held: DataFrame) -> DataFrame:
+    """The facts of :func:`held_courses`: texts, flags and numbers that follow from its columns are neither moved nor stored."""
+    course = join_text("__term", F.lit("_"), "__crn")
     given = {
-        "term": F.col("__TERM"),
-        "year": term_year("__TERM"),
-        "quarter": term_quarter("__TERM"),
+        "term": F.col("__term"),
+        "year": term_year("__term"),
+        "quarter": term_quarter("__term"),
         "course_id": course,
-        "id_title": squash_spaces(join_text("__TERM", F.lit("_"), "__CRN", F.lit(" "), "__COURSE_TITLE")),
-        "title": F.col("__COURSE_TITLE"),
-        "instructor": F.col("__INSTRUCTOR"),
-        "grade": lookup("__COURSE_LETTER_GRADE", GRADE_POINTS),
-        "term_cum_gpa": F.col("__TERM_CUM_GPA"),
-        "major": changed_value_at_term("series_changes", "series_length", "first_index", "__TERM"),
+        "id_title": squash_spaces(join_text("__term", F.lit("_"), "__crn", F.lit(" "), "__title")),
+        "title": F.col("__title"),
+        "instructor": F.col("__instructor"),
+        "grade": F.col("__grade"),
+        "term_cum_gpa": F.col("__term_cum_gpa"),
+        "major": F.col("__major"),
     }
-    extra = [c for c in people.columns if c not in ("id", "admit_term", "start", "first_index", "series_length", "series_changes")]
-    df = df.select("id", *[x.alias(name) for name, x in given.items()], *extra)
+    extra = [c for c in held.columns if c != "id" and not c.startswith("__")]
+    df = held.select("id", *[x.alias(name) for name, x in given.items()], *extra)
     names = ["id", *given]
     df = df.withColumns(major_flags()).withColumns(
         {
@@ -146,6 +160,11 @@ def course_facts(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
     return df.select(*names, *MAJOR_FLAGS, "grade_diff", "other_major", *extra)
 
 
+def course_facts(phi_crs: DataFrame, people: DataFrame) -> DataFrame:
+    """Student x course with grade gap and the major held in that term."""
+    return fact_columns(held_courses(phi_crs, people))
+
+
 def course_totals(facts: DataFrame) -> DataFrame:
     """Size, means, counts and shares per course, from the student facts."""
     out = facts.groupBy("course_id").agg(
@@ -239,7 +258,8 @@ def analysis_table(facts: DataFrame, totals: DataFrame, gaps: DataFrame) -> Data
 
     ``facts`` are the student facts. Their first-term rows are used directly:
     nesting them per student and joining them back to the facts would give the
-    same rows after two more shuffles of the facts.
+    same rows after two more shuffles of the facts. ``totals`` and ``gaps`` are
+    those of the facts: a course with gaps has totals.
     """
     names = columns_between(totals, "current_phil", "undeclared")
     first = first_rows(facts).filter(
@@ -263,8 +283,13 @@ def analysis_table(facts: DataFrame, totals: DataFrame, gaps: DataFrame) -> Data
         {c: f"{c}_course" for c in names}
         | {c: f"{c}_class" for c in totals.columns if c in clash and c not in names}
     )
-    df = keyed_join(first, courses, ["course_id"], "left")
-    df = keyed_join(df, gaps, ["course_id", "demographic"], "left")
+    # a course's gaps travel with its totals, so the rows are moved once; rows without a group are gone
+    cells = [c for c in gaps.columns if c != "course_id"]
+    per = gaps.filter(F.col("demographic").isNotNull()).groupBy("course_id").agg(F.collect_list(F.struct(*cells)).alias("__gaps"))
+    df = keyed_join(first, keyed_join(courses, per, ["course_id"], "left"), ["course_id"], "left")
+    mine = F.filter("__gaps", lambda g: g["demographic"] == F.col("demographic"))
+    df = df.select(*[c for c in df.columns if c != "__gaps"], F.explode_outer(mine).alias("__gap"))
+    df = df.select("*", *[F.col("__gap")[c].alias(c) for c in cells if c != "demographic"]).drop("__gap")
     return df.withColumns(
         {
             "multiple_phil": F.col("n_later_phil") >= 1,
@@ -309,13 +334,15 @@ def build(
 ) -> Stages:
     """All stages of the plan by name.
 
-    ``keep`` may store the calendar and the student facts, which all other
+    ``keep`` may store the calendar and what the student facts follow from, which all other
     stages read, when the first of them is asked for; without it everything stays lazy.
     """
     makers = {
         "calendar": lambda: keep(student_calendar(major_term), "calendar"),
         "profile_clean": lambda: clean_profile(profile, ever_majored(out["calendar"])),
-        "student_facts": lambda: keep(course_facts(phi_crs, people_table(out["calendar"], out["profile_clean"])), "student_facts"),
+        "student_facts": lambda: fact_columns(
+            keep(held_courses(phi_crs, people_table(out["calendar"], out["profile_clean"])), "student_facts")
+        ),
         "crs_1": lambda: out["student_facts"].select(*columns_between(out["student_facts"], "id", "other_major")),
         "crs_2": lambda: course_totals(out["student_facts"]),
         "dmg": lambda: course_gaps(out["student_facts"]),

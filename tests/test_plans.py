@@ -175,3 +175,72 @@ def test_small_grid_runs_through(spark, stages):
     assert out["sensitivity"].filter("abs(threshold) = double('infinity')").isEmpty()
     # the course division enters as a control-free full model as well
     assert out["highlights"].count() == 1
+
+
+def test_courses_of_lines_by_hand(spark):
+    """The least priority of a term's lines gives the grade, an unknown one has none; no text is grouped or moved."""
+    orders = spark.createDataFrame(
+        [
+            (1, 7, "1996-01-05", "5-LOW"), (2, 7, "1996-02-05", "2-HIGH"), (3, 7, "1996-10-05", "3-z"), (4, 7, "1996-10-06", "4-NOT SPECIFIED"),
+            (5, 8, "1996-10-05", "0"), (6, 8, "1996-10-05", "1-URGENT"), (7, 8, "1996-05-05", "9"), (8, 8, "1996-05-05", None), (9, None, "1996-05-05", None),
+        ],
+        "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string",
+    ).withColumn("o_orderdate", F.to_timestamp("o_orderdate"))
+    lines = spark.createDataFrame(
+        [(k, 5, 1 + k % 2, 13.0 if k == 9 else float(k)) for k in range(1, 10)] + [(1, 5, 2, None), (2, 6, 1, 50.0), (2, 6, 3, 50.0)],
+        "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double",
+    )
+    part = spark.createDataFrame([(1, "B1", "BIG"), (2, "B2", "SMALL")], "p_partkey long, p_brand string, p_type string")
+    out = standin.phi_crs({"orders": orders, "lineitem": lines, "part": part})
+    found = {(r[0], r[1], r[2]): tuple(r[3:6]) + (r[6] and round(r[6], 6),) for r in out.collect()}
+    assert found == {
+        (706, "199601", "5"): ("B1 BIG", "S5", "B+", 0.16),
+        (706, "199601", "6"): ("B1 BIG", "S6", "B+", 4.0),
+        (706, "199610", "5"): ("B1 BIG", "S5", None, 0.32),
+        (806, "199610", "5"): ("B1 BIG", "S5", None, 0.48),
+        (806, "199605", "5"): ("B1 BIG", "S5", None, 0.64),
+        (None, "199605", "5"): ("B2 SMALL", "S5", None, None),
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(o_orderpriority" not in plan
+
+
+def test_stored_facts_hold_what_others_follow_from(spark):
+    """What is stored has no derived text; the facts read from it are those of one call."""
+    kept = {}
+
+    def keep(df, name):
+        return kept.setdefault(name, df)
+
+    given = registrar_input(spark)
+    out = registrar.build(*given, keep)
+    facts = out["student_facts"]
+    assert not {"id_title", "course_id", "grade_diff"} & set(kept["student_facts"].columns)
+    whole = registrar.course_facts(given[1], registrar.people_table(out["calendar"], out["profile_clean"]))
+    assert facts.columns == whole.columns and rows(facts) == rows(whole)
+
+
+def test_gaps_travel_with_totals(spark):
+    """Gaps are found as by a join on course and group, and the first rows are moved to their course once."""
+    profile, courses, majors = registrar_input(spark)
+    more = spark.createDataFrame([(1, "200610", "5", "Mind", "Kim", "B", 3.0), (4, "200610", "5", "Mind", "Kim", "B", 3.0)], courses.schema)
+    out = registrar.build(profile, courses.union(more), majors)
+    facts, totals = out["student_facts"], out["crs_2"]
+    gaps = spark.createDataFrame(
+        [("200610_1", "M.White", 0.5), ("200610_1", "F.BHIP", -1.0), ("200610_1", None, 9.0), ("200601_4", "M.White", 7.0), ("200610_2", "M.White", None)],
+        "course_id string, demographic string, dmg double",
+    )
+    found = registrar.analysis_table(facts, totals, gaps)
+    plain = registrar.analysis_table(facts, totals, gaps.limit(0)).drop("dmg")
+    again = plain.join(gaps, ["course_id", "demographic"], "left")
+    assert found.count() > 1 and rows(found, *sorted(found.columns)) == rows(again, *sorted(found.columns))
+    assert {r["dmg"] for r in found.collect()} == {0.5, None}
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("demographic" in x for x in joins)
+
+
+def test_stages_are_stored_with_zstd(spark):
+    from cohortlab.session import staged
+
+    files = staged(spark.range(10), "ids").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
