@@ -57,7 +57,7 @@ def _modelled_as_of(spark, d, state):
     names = sorted({v for s in model_grid({f: [dag.FOCAL] for f in dag.FOCAL}) for v in s.variables()})
     keep = ["id", "course_id", "ever_phil", "n_later_phil", "mean_grade", "other_major_share", "other_major_student"]
     df = curated(spark, d)["modelled"]
-    return staged(df.select(*dict.fromkeys([*keep, "demographic", *names])), "modelled")
+    return staged(df.select(*dict.fromkeys([*keep, "demographic", *names])), "modelled", packed=True)
 
 
 def _spec(idx, outcome, kind, focal, form, controls=(), general=()):

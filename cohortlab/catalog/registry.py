@@ -60,7 +60,7 @@ def _curated(spark: SparkSession, folder: str, state: tuple) -> Mapping[str, Dat
         "faculty": standin.faculty(t),
         "division": standin.course_division(t),
     }
-    plan = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"], staged)
+    plan = registrar.build(raw["raw_profile"], raw["raw_courses"], raw["raw_majors"], partial(staged, packed=True))
     makers = {name: partial(dict.__getitem__, tables, name) for tables in (t, raw) for name in tables}
     makers |= {name: partial(plan.__getitem__, name) for name in plan}
     makers["modelled"] = lambda: model_table(plan["analysis"], raw["faculty"], raw["division"])

@@ -69,14 +69,14 @@ def clear_run(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, spread: bool = False, packed: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Used where a result is scanned many times: the columns stay prunable and
     nothing depends on an executor's memory; :func:`clear_run` deletes them.
-    The files are packed with zstd, a quarter smaller than by default.
     ``spread`` is for tables that feed heavy per-row work: they are dealt to as
-    many pieces as there are cores at least.
+    many pieces as there are cores at least. ``packed`` is for wide tables: zstd
+    makes them a quarter smaller.
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
@@ -84,5 +84,6 @@ def staged(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
     if spread:
         # in turn and not by contents: equal rows may be many
         out = df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    out.write.option("compression", "zstd").parquet(path)
+    write = out.write.option("compression", "zstd") if packed else out.write
+    write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
