@@ -1,6 +1,7 @@
 """Personal data and secrets: places, disclosure and the forest."""
 
 import math
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import pii, secret_scan
 from cohortlab.llm.spans import matches
+from cohortlab.session import run_folder
 from conftest import TESTDATA
 
 TEXTS = [
@@ -212,6 +214,50 @@ def test_terms_everywhere_against_plain_counts(spark):
         assert sorted(got[i]) == sorted(base + added), text
 
 
+def stored_bytes(spark):
+    folder = run_folder(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def marked_texts(n):
+    """Texts that do not pack well, every tenth with an email beside two words of its own."""
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("bcdfghjklmnpqrstvwxzéß    ") for _ in range(3000)) for _ in range(n)]
+    return [f"{t} only{chr(97 + i // 10 % 26)}here x{i}@mail.org plain words {t[:200]}" if i % 10 == 0 else t for i, t in enumerate(texts)]
+
+
+def test_texts_are_not_stored(spark):
+    texts = marked_texts(200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for everywhere in (True, False):
+        before = stored_bytes(spark)
+        out = pii.sanitise(docs, support=1, least=0.85, everywhere=everywhere).select("doc_id", "base", "spans").collect()
+        assert sum(len(r.base) for r in out) == 20 and sum(len(r.spans) for r in out) > 40
+        assert stored_bytes(spark) - before < 0.1 * sum(map(len, texts))
+
+
+def test_repeated_texts_are_marked_alike_without_broadcast(spark):
+    texts = [*marked_texts(60), *marked_texts(1) * 40, "onlyahere and onlyahere alone", None, None, ""]
+    docs = spark.createDataFrame([(None if i % 7 == 0 else i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, at int").repartition(5)
+    for everywhere in (True, False):
+        seen = []
+        for threshold in ("10m", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            try:
+                out = pii.sanitise(docs, support=1, least=0.5, everywhere=everywhere).collect()
+            finally:
+                spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            assert len(out) == len(texts) and all((r.doc_id is None) == (r["at"] % 7 == 0) for r in out)
+            seen.append({r["at"]: ([tuple(s) for s in r.spans], r.sanitised) for r in out})
+        assert seen[0] == seen[1]
+        assert len({repr(seen[0][i]) for i in (0, *range(60, 100))}) == 1
+        # the word is beside the entity in 41 of the 42 documents that have it
+        first = [s[4] for s in seen[0][0][0] if s[2] in pii.TERMS]
+        assert "onlyahere" in first
+        assert [s[2:] for s in seen[0][100][0]] == ([("remove", 9, "onlyahere"), ("remove", 23, "onlyahere")] if everywhere else [])
+        assert seen[0][101] == seen[0][102] == seen[0][103] == ([], None)
+
+
 def test_terms_of_the_given_table(spark):
     docs = spark.read.parquet(f"{TESTDATA}/documents.parquet").select("doc_id", "text")
     out = pii.sanitise(docs, support=1, everywhere=True).collect()
