@@ -87,13 +87,15 @@ def _local_sums(models: dict[int, Model], names: Sequence[str], width: int):
 
     def run(batches):
         sums = {k: np.zeros(m.size()) for k, m in models.items()}
+        # models of one design one after the other
+        ordered = sorted(models.items(), key=lambda x: (x[1].terms(), x[1].y))
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for i in range(0, batch.num_rows, BLOCK_ROWS):
                 part = [c[i : i + BLOCK_ROWS] for c in columns]
                 block = Block(part[:width], dict(zip(names, part[width:])))
                 with np.errstate(all="ignore"):
-                    for k, m in models.items():
+                    for k, m in ordered:
                         sums[k] += m.local(block)
         yield pa.RecordBatch.from_arrays(
             [

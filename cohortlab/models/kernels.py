@@ -43,6 +43,10 @@ def scaled_inverse(gram: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(gram * np.outer(d, d), hermitian=True) * np.outer(d, d)
 
 
+#: Logarithm of the least mean that a deviance tells from zero.
+LEAST_LOG = math.log(1e-300)
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) for v in x])
 
@@ -61,6 +65,30 @@ def count_mean(eta: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(eta, -700, 700))
 
 
+#: Magnitude from which sums and products of base columns are looked at row by row.
+HUGE = 1e100
+#: Matrices of a block that are held at once; models of one design follow each other.
+HELD = 4
+
+
+@lru_cache(maxsize=4096)
+def used_columns(columns) -> tuple[frozenset, bool]:
+    """The base columns behind these products, and whether all are of three columns at most."""
+    return frozenset(i for idx in columns for i in idx), all(len(idx) <= 3 for idx in columns)
+
+
+def products(columns, base, n: int) -> np.ndarray:
+    out = np.empty((len(columns), n))
+    for j, idx in enumerate(columns):
+        if len(idx) > 1:
+            np.multiply(base[idx[0]], base[idx[1]], out=out[j])
+        else:
+            out[j] = base[idx[0]] if idx else 1.0
+        for i in idx[2:]:
+            out[j] *= base[i]
+    return out
+
+
 class Block:
     """One batch of the design table; design rows are built once per term set."""
 
@@ -68,24 +96,89 @@ class Block:
         self.base = base  # arrays of the base columns
         self.outcomes = outcomes  # outcome column -> array
         self.built = {}
+        self.kept = {}
+        self.holes = None
+
+    def once(self, key, make):
+        """Something small of this block that several models need."""
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key]
+
+    def held(self, key, make):
+        """A matrix that the next models may need; older ones go."""
+        if key not in self.built:
+            if len(self.built) >= HELD:
+                del self.built[next(iter(self.built))]
+            self.built[key] = make()
+        return self.built[key]
+
+    def incomplete(self, columns) -> list[int] | None:
+        """The base columns with unknown values among those used; None where numbers are so large
+        that only the products themselves tell."""
+        if self.holes is None:
+            self.holes, self.huge = {}, set()
+            for i, c in enumerate(self.base):
+                least, most = (c.min(), c.max()) if len(c) else (0.0, 0.0)
+                if not (np.isfinite(least) and np.isfinite(most)):
+                    ok = self.holes[i] = np.isfinite(c)
+                    least, most = (f(c, initial=0.0, where=ok) for f in (np.min, np.max))
+                if max(-least, most) >= HUGE:
+                    self.huge.add(i)
+        used, short = used_columns(columns)
+        return sorted(used & self.holes.keys()) if short and not used & self.huge else None
 
     def design(self, columns):
         """Design as (columns x rows) and which rows are complete."""
-        key = tuple(columns)
-        if key not in self.built:
+        columns = tuple(columns)
+
+        def make():
             n = len(next(iter(self.outcomes.values())))
-            out = np.empty((len(columns), n))
-            for j, idx in enumerate(columns):
-                out[j] = self.base[idx[0]] if idx else 1.0
-                for i in idx[1:]:
-                    out[j] *= self.base[i]
-            self.built[key] = out, np.isfinite(out.sum(axis=0))
-        return self.built[key]
+            out, holes = products(columns, self.base, n), self.incomplete(columns)
+            if holes is None:
+                return out, np.isfinite(out.sum(axis=0))
+            ok = np.ones(n, bool)
+            for i in holes:
+                ok &= self.holes[i]
+            return out, ok
+
+        return self.held(columns, make)
+
+    def rows(self, columns, y, outcome):
+        """Complete rows: design as (columns x rows), the outcome, and a name for those rows or None."""
+        values = self.once(("values", y, outcome), lambda: outcome(self.outcomes[y]))
+        holes = self.incomplete(columns)
+        if holes is None:
+            a, ok = self.design(columns)
+            ok = ok & np.isfinite(values)
+            return a[:, ok], values[ok], None
+
+        def complete():
+            ok = np.isfinite(values)
+            for i in holes:
+                ok &= self.holes[i]
+            name = ok.tobytes()  # rows known for several reasons are the same rows
+            if ok.all():
+                return name, dict(enumerate(self.base)), None, values
+            return name, self.once(name, dict), (at := np.flatnonzero(ok)), values[at]
+
+        name, base, at, values = self.once(("rows", y, outcome, *holes), complete)
+        if at is not None:
+            for i in used_columns(columns)[0]:
+                if i not in base:
+                    base[i] = self.base[i][at]
+        return self.held((name, columns), lambda: products(columns, base, len(values))), values, (y, outcome, name)
+
+
+#: Room for one weighted design, used again by the next.
+_ROOM = [np.empty(0)]
 
 
 def weighted_products(a: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Cross products of columns under weights that are not negative, half of them formed."""
-    b = a * np.sqrt(w)
+    if len(_ROOM[0]) < a.size:
+        _ROOM[0] = np.empty(a.size)
+    b = np.multiply(a, np.sqrt(w), out=_ROOM[0][: a.size].reshape(a.shape))
     return b @ b.T
 
 
@@ -97,7 +190,7 @@ class Model:
 
     def __init__(self, labels, columns, y):
         self.labels = list(labels)
-        self.columns = list(columns)  # base column indices to multiply
+        self.columns = [tuple(c) for c in columns]  # base column indices to multiply
         self.y = y
         self.keep = list(range(len(columns)))
         self.beta = None
@@ -115,21 +208,19 @@ class Model:
             return "Poisson boundary"
         return "converged" if self.converged else "stopped early"
 
-    def outcome(self, y: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def outcome(y: np.ndarray) -> np.ndarray:
         """The modelled outcome; NaN leaves a row out."""
         return y
 
-    def rows(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """Complete cases: design as (columns x rows), and the outcome."""
-        terms = [tuple(self.columns[j]) for j in self.keep]
+    def terms(self) -> tuple:
+        """The products of base columns behind the design that is left."""
+        return tuple(map(self.columns.__getitem__, self.keep))
+
+    def rows(self, block: Block):
+        """Complete cases: design as (columns x rows), the outcome, and a name for them or None."""
         # models of one design and outcome share their rows
-        key = (*terms, self.y, type(self).outcome)
-        if key not in block.built:
-            a, ok = block.design(terms)
-            y = self.outcome(block.outcomes[self.y])
-            ok = ok & np.isfinite(y)
-            block.built[key] = (a, y) if ok.all() else (a[:, ok], y[ok])
-        return block.built[key]
+        return block.rows(self.terms(), self.y, self.outcome)
 
     def size(self) -> int:
         p = len(self.keep)
@@ -160,7 +251,7 @@ class Linear(Model):
     """Least squares from one pass of cross products."""
 
     def local(self, block):
-        a, y = self.rows(block)
+        a, y, _ = self.rows(block)
         return self.pack(len(y), float(y @ y), a @ y, a @ a.T)
 
     def advance(self, total):
@@ -190,20 +281,30 @@ class Glm(Model):
     def link(self, mu):
         raise NotImplementedError
 
-    def deviance(self, y, mu):
+    @staticmethod
+    def facts(y):
+        """What the deviance needs of the outcome alone; models of the same rows share it."""
         raise NotImplementedError
 
+    def deviance(self, facts, mu, eta):
+        raise NotImplementedError
+
+    def misfit(self, block, y, name, mu, eta) -> float:
+        facts = self.facts(y) if name is None else block.once((self.facts, *name), lambda: self.facts(y))
+        return float(self.deviance(facts, mu, eta))
+
     def local(self, block):
-        a, y = self.rows(block)
+        a, y, name = self.rows(block)
         if self.beta is None:
             mu = self.start(y)
             w = self.weight(mu)
             # weighted working response; its link is that of the starting mean
             score = a @ (w * self.link(mu) + (y - mu))
             return self.pack(len(y), 0.0, score, weighted_products(a, w))
-        mu = self.mean(self.beta @ a)
+        eta = self.beta @ a
+        mu = self.mean(eta)
         w = self.weight(mu)
-        return self.pack(len(y), float(self.deviance(y, mu)), a @ (y - mu), weighted_products(a, w))
+        return self.pack(len(y), self.misfit(block, y, name, mu, eta), a @ (y - mu), weighted_products(a, w))
 
     def advance(self, total):
         self.n, dev, score, info = self.unpack(total)
@@ -228,10 +329,17 @@ class Glm(Model):
 
 class Logistic(Glm):
     def mean(self, eta):
-        return 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
+        out = np.maximum(eta, -700)
+        np.minimum(out, 700, out=out)
+        np.negative(out, out=out)
+        np.exp(out, out=out)
+        out += 1.0
+        return np.divide(1.0, out, out=out)
 
     def weight(self, mu):
-        return np.clip(mu * (1 - mu), 1e-15, None)
+        out = 1 - mu
+        out *= mu
+        return np.maximum(out, 1e-15, out=out)
 
     def start(self, y):
         return (y + 0.5) / 2
@@ -239,15 +347,21 @@ class Logistic(Glm):
     def link(self, mu):
         return np.log(mu / (1 - mu))
 
-    def deviance(self, y, mu):
-        hit = np.where(y > 0.5, mu, 1 - mu)
-        return -2 * np.log(np.clip(hit, 1e-300, None)).sum()
+    @staticmethod
+    def facts(y):
+        return y > 0.5
+
+    def deviance(self, facts, mu, eta):
+        hit = np.where(facts, mu, 1 - mu)
+        np.maximum(hit, 1e-300, out=hit)
+        return -2 * np.log(hit, out=hit).sum()
 
 
 class Positive(Logistic):
     """Logistic model of ``y > 0``, the zero part of a hurdle model."""
 
-    def outcome(self, y):
+    @staticmethod
+    def outcome(y):
         return np.where(np.isfinite(y), (y > 0).astype(float), y)
 
 
@@ -264,10 +378,16 @@ class Poisson(Glm):
     def link(self, mu):
         return np.log(mu)
 
-    def deviance(self, y, mu):
-        mu = np.clip(mu, 1e-300, None)
-        part = np.where(y > 0, y * np.log(np.where(y > 0, y, 1.0) / mu), 0.0)
-        return 2 * (part - (y - mu)).sum()
+    @staticmethod
+    def facts(y):
+        positive = np.maximum(y, 0)
+        return positive, float((positive * np.log(np.where(y > 0, y, 1.0))).sum() - y.sum())
+
+    def deviance(self, facts, mu, eta):
+        positive, own = facts
+        # the logarithm of a mean is its linear predictor
+        log_mu = np.maximum(eta, LEAST_LOG)
+        return 2 * (own - positive @ np.minimum(log_mu, 700, out=log_mu) + mu.sum())
 
 
 #: Columns of a bias-reduced model up to which its third moments are added up.
@@ -306,23 +426,24 @@ class BiasReduced(Logistic):
         return super().size() + more
 
     def local(self, block):
-        a, y = self.rows(block)
+        a, y, name = self.rows(block)
         p = len(a)
         if self.beta is None:
             return super().local(block)
-        mu = self.mean(self.beta @ a)
+        eta = self.beta @ a
+        mu = self.mean(eta)
         w = self.weight(mu)
         if self.in_one:
             one, other = np.triu_indices(p)
             third = (a[one] * a[other]) @ (a * (w * (0.5 - mu))).T
-            first = self.pack(len(y), float(self.deviance(y, mu)), a @ (y - mu), weighted_products(a, w))
+            first = self.pack(len(y), self.misfit(block, y, name, mu, eta), a @ (y - mu), weighted_products(a, w))
             return np.concatenate([first, third.ravel()])
         if self.wants_info and not self.lagged:
-            return self.pack(len(y), float(self.deviance(y, mu)), np.zeros(p), weighted_products(a, w))
-        lev = w * ((self.cov @ a) * a).sum(axis=0)
+            return self.pack(len(y), self.misfit(block, y, name, mu, eta), np.zeros(p), weighted_products(a, w))
+        lev = w * np.einsum("ij,ij->j", self.cov @ a, a)
         score = a @ (y - mu + lev * (0.5 - mu))
         if self.lagged:
-            return self.pack(len(y), float(self.deviance(y, mu)), score, weighted_products(a, w))
+            return self.pack(len(y), self.misfit(block, y, name, mu, eta), score, weighted_products(a, w))
         return self.pack(len(y), 0.0, score, np.zeros((p, p)))
 
     def advance(self, total):
@@ -372,7 +493,8 @@ class TruncatedCount(Model):
 
     max_rounds = 100
 
-    def outcome(self, y):
+    @staticmethod
+    def outcome(y):
         return np.where(y > 0, y, np.nan)
 
     def size(self):
@@ -395,44 +517,48 @@ class TruncatedCount(Model):
         counts, back = np.unique(y, return_inverse=True)
         return counts, back, log_gamma(counts + 1)
 
+    @classmethod
+    def facts(cls, y):
+        """Counts, how many rows have each, and the sum of the logarithms of their factorials."""
+        counts, back, factorials = cls.tabled(y)
+        times = np.bincount(back, minlength=len(counts)).astype(float)
+        return counts, times, float(times @ factorials)
+
     def local(self, block):
-        a, y = self.rows(block)
+        a, y, name = self.rows(block)
         if self.beta is None:
             mu = y + 0.1
-            return self.pack(len(y), 0.0, a @ (mu * np.log(mu) + y - mu), (a * mu) @ a.T)
+            return self.pack(len(y), 0.0, a @ (mu * np.log(mu) + y - mu), weighted_products(a, mu))
         th = math.exp(self.log_theta)
         eta = np.clip(self.beta @ a, -700, 700)
         mu = count_mean(eta)
-        s = th + mu
+        inverse = 1 / (th + mu)
         over = np.log1p(mu / th)  # log of (theta + mu) / theta, also for a very large theta
         zero = np.exp(-th * over)
-        odds = zero / np.clip(-np.expm1(-th * over), 1e-300, None)
-        counts, back, factorials = self.tabled(y)
+        some = np.maximum(-np.expm1(-th * over), 1e-300)
+        odds = zero / some
+        counts, times, factorials = self.facts(y) if name is None else block.once((self.facts, *name), lambda: self.facts(y))
         # gamma(y + theta) / gamma(theta) as a product over the counts below y
         below = th + np.arange(counts[-1] if len(counts) else 0)
         upto = [np.concatenate([[0.0], np.cumsum(x)]) for x in (np.log(below / th), 1 / below, -1 / below**2)]
-        rising, dg, tg = (x[counts.astype(int)][back] for x in upto)
-        value = (
-            rising - factorials[back]
-            + y * eta - (y + th) * over
-            - np.log(np.clip(-np.expm1(-th * over), 1e-300, None))
-        )
-        # derivatives of the log zero probability
-        za, zt = -th * mu / s, mu / s - over
-        ge = th * (y - mu) / s + odds * za
-        gt = dg - over + (mu - y) / s + odds * zt
+        rising, dg, tg = (float(times @ x[counts.astype(int)]) for x in upto)
+        value = rising - factorials + y @ eta - (y + th) @ over - np.log(some).sum()
+        # derivatives of the log zero probability, by the parts mu / s and theta / s of s = theta + mu
+        part, rest, away = mu * inverse, th * inverse, (y - mu) * inverse
+        za, zt = -th * part, part - over
         pull = odds * (1 + odds)
-        hee = -th * mu * (y + th) / s**2 + pull * za**2 - odds * th**2 * mu / s**2
-        het = (y - mu) * mu / s**2 + pull * za * zt - odds * mu**2 / s**2
-        htt = tg + mu / (th * s) - (mu - y) / s**2
-        htt = htt + pull * zt**2 + odds * mu**2 / (th * s**2)
+        ge = th * away + odds * za
+        gt = dg - over.sum() - away.sum() + odds @ zt
+        hee = pull * za * za - part * rest * (y + th + odds * th)
+        het = part * (away - odds * part) + pull * za * zt
+        htt = tg + part.sum() / th + away @ inverse + pull @ (zt * zt) + odds @ (part * part) / th
         gl, hel, hll = th * gt, th * het, th**2 * htt + th * gt
         p = len(a)
         hess = np.empty((p + 1, p + 1))
-        hess[:p, :p] = (a * hee) @ a.T
+        hess[:p, :p] = -weighted_products(a, -hee) if hee.max(initial=0.0) <= 0 else (a * hee) @ a.T
         hess[:p, p] = hess[p, :p] = a @ hel
-        hess[p, p] = hll.sum()
-        return self.pack(len(y), float(value.sum()), np.append(a @ ge, gl.sum()), -hess)
+        hess[p, p] = hll
+        return self.pack(len(y), float(value), np.append(a @ ge, gl), -hess)
 
     def advance(self, total):
         self.n, value, score, info = self.unpack(total)
@@ -478,7 +604,7 @@ def predict(kind: str, parts: dict, block: Block, response: bool) -> tuple[np.nd
     """Scores of one fitted model for a block, and which rows are complete."""
 
     def link(model):
-        a, ok = block.design([tuple(model.columns[j]) for j in model.keep])
+        a, ok = block.design(model.terms())
         return model.beta @ a, ok
 
     if kind == "hurdle":

@@ -23,6 +23,8 @@ from cohortlab.models.fits import (
 from cohortlab.models.kernels import (
     BiasReduced,
     Block,
+    Poisson,
+    Positive,
     TruncatedCount,
     independent_columns,
 )
@@ -437,3 +439,36 @@ def test_a_grid_is_reported_when_asked_for(spark, monkeypatch):
     out = regressions.run(df, specs)
     assert out["estimates"].count() == 2 and out["rootograms"].count() > 0 and asked == []
     assert out["auc"].count() == 1 and out["roc"].count() > 2 and asked == [1]
+
+
+def test_rows_of_a_block_are_the_complete_ones():
+    """Holes, numbers too large for products, and outcomes that leave rows out, against plain sums."""
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=60) for _ in range(4)]
+    x[1][::7], x[2][3], x[3][5] = np.nan, np.inf, 1e200
+    y = rng.integers(0, 4, 60).astype(float)
+    y[::11] = np.nan
+    block = Block(x, {"y": y})
+    for columns in [((), (0,)), ((), (0,), (1,)), ((2,), (0, 1)), ((3,), (3, 3)), ((0, 1, 2), (0,)), ((0,), (0, 0, 0, 0))]:
+        a = np.array([np.prod([x[i] for i in idx], axis=0) if idx else np.ones(60) for idx in columns])
+        for kind in (Poisson, Positive, TruncatedCount):
+            with np.errstate(all="ignore"):
+                seen = kind.outcome(y)
+                ok = np.isfinite(a.sum(axis=0)) & np.isfinite(seen)
+                design, values, _ = block.rows(columns, "y", kind.outcome)
+                whole, known = block.design(columns)
+            np.testing.assert_array_equal(design, a[:, ok])
+            np.testing.assert_array_equal(values, seen[ok])
+            np.testing.assert_array_equal(known, np.isfinite(a.sum(axis=0)))
+            np.testing.assert_array_equal(whole, a)
+
+
+def test_a_block_does_not_hold_the_designs_of_all_models():
+    """Rows of a block are shared between models of one design and go after them."""
+    rng = np.random.default_rng(4)
+    x, y = [rng.normal(size=50) for _ in range(30)], rng.integers(0, 3, 50).astype(float)
+    block = Block(x, {"y": y})
+    models = [kind(["1", "x"], [(), (i,)], "y") for i in range(30) for kind in (Poisson, Positive)]
+    made = [m.rows(block)[0] for m in models]
+    assert all(made[k] is made[k + 1] for k in range(0, 60, 2))
+    assert len(block.built) < 10
