@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlab.models.design import Design
@@ -46,6 +46,9 @@ FITTERS: dict[str, dict[str | None, type[Model]]] = {
 FAN_IN = 64
 ROUND_SUMS = 20_000_000  # numbers that reach the driver at once, unless one model has more
 BLOCK_ROWS = 2048  # a block of design rows stays in a core's cache
+CHUNK_ROWS = 1 << 16  # rows whose scores are counted together before they are sent
+PART_ROWS = 1 << 21  # rows whose scores of one fit meet in a task
+CUT_ROWS = 20_000  # rows off which the cuts between such parts are read
 
 
 @dataclass
@@ -260,6 +263,114 @@ def model_score_counts(
     return _per_model(counts, ids)
 
 
+def _score_cuts(design: Design, scored, fits: int, y: str) -> list[np.ndarray]:
+    """Where the scores of each fit are cut into parts of about ``PART_ROWS`` rows.
+
+    The cuts are read off some of the rows. They say where a score is counted and not what is
+    counted, so they don't change an area.
+    """
+    rows = design.table.count()
+    parts = -(-rows // PART_ROWS)
+    if parts < 2:
+        return [np.zeros(0)] * fits
+    some = design.table.sample(min(1.0, CUT_ROWS / rows), seed=1).select(*[f"x{i}" for i in range(design.width)], y)
+
+    def run(batches):
+        for k, score, _ in scored(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([score.tobytes()], pa.binary())], names=["fit", "scores"])
+
+    found: list[list[np.ndarray]] = [[] for _ in range(fits)]
+    for r in some.mapInArrow(run, "fit int, scores binary").collect():
+        found[r["fit"]].append(np.frombuffer(r["scores"]))
+    out = []
+    for scores in found:
+        known = np.sort(np.concatenate(scores)) if scores else np.zeros(0)
+        known = known[np.isfinite(known)]
+        out.append(np.unique(known[np.arange(1, parts) * len(known) // parts]) if len(known) else known)
+    return out
+
+
+def model_areas(design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str) -> DataFrame:
+    """(model_idx, auc): areas under the curves of all models, from every distinct score.
+
+    What ``area_of`` the score counts is, without a row for a score: tasks turn ``CHUNK_ROWS``
+    rows into the distinct scores of each fit with their positives and negatives, packed by part
+    of the scores; a part is merged where it meets, and of it only its sums go on.
+    """
+    y, names = design.outcomes[outcome], [f"x{i}" for i in range(design.width)]
+    jobs, ids = _jobs(specs, fits, outcome)
+
+    def scored(batches):
+        """(fit, scores, positives) of the rows that each fit can use."""
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = [c[at : at + BLOCK_ROWS] for c in columns]
+                block, truth = Block(part[:-1], {y: part[-1]}), part[-1]
+                seen = np.isfinite(truth)
+                for k, (kind, parts) in enumerate(jobs):
+                    with np.errstate(all="ignore"):
+                        score, ok = predict(kind, parts, block, False)
+                    ok = ok & seen
+                    yield k, score[ok], truth[ok] > 0.5
+
+    cuts = _score_cuts(design, scored, len(jobs), y)
+
+    def counts(batches):
+        held: list[list] = [[] for _ in jobs]
+        rows = 0
+
+        def packed():
+            sent = []
+            for k, chunks in enumerate(held):
+                if not chunks:
+                    continue
+                score, truth = (np.concatenate(x) for x in zip(*chunks))
+                chunks.clear()
+                values, pos, neg = _counted_scores(score, truth.astype(np.int64), (~truth).astype(np.int64))
+                ends = np.concatenate([[0], np.searchsorted(values, cuts[k], side="right"), [len(values)]])
+                for part, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                    if a < b:
+                        sent.append((k, part, values[a:b].tobytes(), pos[a:b].astype(np.uint32).tobytes(), neg[a:b].astype(np.uint32).tobytes()))
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), kinds)], names=["fit", "part", "score", "pos", "neg"])
+
+        for k, score, truth in scored(batches):
+            if k == 0 and rows >= CHUNK_ROWS:
+                yield packed()
+                rows = 0
+            rows += len(score) if k == 0 else 0
+            if len(score):
+                held[k].append((score, truth))
+        if any(held):
+            yield packed()
+
+    def sums(met: pa.Table) -> pa.Table:
+        kinds = {"score": np.float64, "pos": np.uint32, "neg": np.uint32}
+        score, pos, neg = (np.concatenate([np.frombuffer(b, t) for b in met.column(c).to_pylist()]) for c, t in kinds.items())
+        _, pos, neg = _counted_scores(score, pos, neg)
+        below = np.cumsum(neg) - neg
+        pairs = float((pos * (below + neg / 2)).sum())
+        return pa.table({"fit": met.column("fit")[:1], "part": met.column("part")[:1], "pairs": [pairs], "pos": pa.array([int(pos.sum())]), "neg": pa.array([int(neg.sum())])})
+
+    sent = design.table.select(*names, y).mapInArrow(counts, "fit int, part int, score binary, pos binary, neg binary")
+    by_part = sent.groupBy("fit", "part").applyInArrow(sums, "fit int, part int, pairs double, pos long, neg long")
+    # a few rows a fit: the sums of its parts in order
+    below = F.sum("neg").over(Window.partitionBy("fit").orderBy("part")) - F.col("neg")
+    whole = by_part.withColumn("pairs", F.col("pairs") + F.col("pos") * below).groupBy("fit")
+    size = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return _per_model(whole.agg(F.try_divide(F.sum("pairs"), size).alias("auc")), ids)
+
+
+def _counted_scores(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct scores in order with the sums of their counts."""
+    order = np.argsort(score, kind="stable")
+    score = score[order]
+    first = np.flatnonzero(np.concatenate([[True], (score[1:] != score[:-1]) & ~np.isnan(score[:-1])])) if len(score) else np.zeros(0, np.int64)
+    pos, neg = (np.add.reduceat(x[order], first, dtype=np.int64) if len(x) else x.astype(np.int64) for x in (pos, neg))
+    return score[first], pos, neg
+
+
 def model_bin_counts(
     design: Design, specs: Sequence[ModelSpec], fits: dict[str, Fit], outcome: str
 ) -> DataFrame:

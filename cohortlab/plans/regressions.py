@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cohortlab.functions.numbers import deciles
 from cohortlab.models.design import Design, build_design, variables_of
 from cohortlab.models.diagnostics import (
-    area_of,
     counted,
     curve_of,
     side_by_side,
@@ -27,6 +26,7 @@ from cohortlab.models.effects import (
 from cohortlab.models.fits import (
     Fit,
     fit_sweep,
+    model_areas,
     model_bin_counts,
     model_score_counts,
     score_models,
@@ -208,7 +208,7 @@ def run(
             model_score_counts(train, of_outcome(specs, "ever_phil"), fits, "ever_phil"), ["model_idx"]
         ),
         "roc": lambda: curve_of(out["score_counts"], ["model_idx"]).join(kinds, "model_idx"),
-        "auc": lambda: area_of(out["score_counts"], ["model_idx"]),
+        "auc": lambda: model_areas(train, of_outcome(specs, "ever_phil"), fits, "ever_phil"),
         "sensitivity": lambda: threshold_sensitivity(out["roc"], F.col("model_type") == "lm"),
         "rootograms": lambda: rootograms(test, specs, fits),
         "highlights": lambda: highlights(coefs, HIGHLIGHTS),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlab.models import diagnostics
 from cohortlab.models import fits as fits_module
 from cohortlab.models.design import Variable, build_design, factor_levels, variables_of
+from cohortlab.models.diagnostics import area_of, counted
 from cohortlab.models.fits import (
     baseline_covariances,
     fit_sweep,
@@ -472,3 +473,42 @@ def test_a_block_does_not_hold_the_designs_of_all_models():
     made = [m.rows(block)[0] for m in models]
     assert all(made[k] is made[k + 1] for k in range(0, 60, 2))
     assert len(block.built) < 10
+
+
+@pytest.mark.parametrize("part, cuts", [(1 << 21, 20_000), (40, 150), (3, 400)])
+def test_areas_of_packed_scores(spark, data, monkeypatch, part, cuts):
+    specs = [spec("y", "logistic", (("g",),), "1"), spec("y", "lm", (("x",), ("g",)), "2"), spec("y", "lm", (("x",), ("g",)), "3")]
+    design = build_design(data, variables_of(data, ["x", "g"]), ["y"])
+    design = replace(design, table=design.table.repartition(3))
+    fits = fit_sweep(design, specs)
+    plain = area_of(counted(model_score_counts(design, specs, fits, "y"), ["model_idx"]), ["model_idx"]).collect()
+    monkeypatch.setattr(fits_module, "PART_ROWS", part)
+    monkeypatch.setattr(fits_module, "CUT_ROWS", cuts)
+    monkeypatch.setattr(fits_module, "CHUNK_ROWS", 50)
+    got = fits_module.model_areas(design, specs, fits, "y").collect()
+    assert {r["model_idx"]: r["auc"] for r in got} == pytest.approx({r["model_idx"]: r["auc"] for r in plain}, rel=1e-12)
+    assert len(got) == 3
+
+
+def test_areas_store_no_row_for_a_score(spark, data, monkeypatch):
+    from cohortlab.plans import regressions
+
+    df = data.select(F.monotonically_increasing_id().alias("id"), F.lit(1).alias("course_id"), F.col("y").alias("ever_phil"), "x", F.col("g").alias("demographic"))
+    out = regressions.run(df, [spec("ever_phil", "lm", (("x",),), "1")])
+    asked = []
+    real = regressions.counted
+    monkeypatch.setattr(regressions, "counted", lambda *a: asked.append(1) or real(*a))
+    area = out["auc"].collect()
+    assert asked == []
+    whole = area_of(out["score_counts"], ["model_idx"]).collect()
+    assert asked == [1] and area[0]["auc"] == pytest.approx(whole[0]["auc"], rel=1e-12)
+
+
+def test_areas_with_one_class_or_no_rows(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(9)], "x double, y double")
+    specs = [spec("y", "lm", (("x",),), "1")]
+    design = build_design(df, variables_of(df, ["x"]), ["y"])
+    fits = fit_sweep(design, specs)
+    assert [r["auc"] for r in fits_module.model_areas(design, specs, fits, "y").collect()] == [None]
+    none = replace(design, table=design.table.filter("x0 < 0"))
+    assert fits_module.model_areas(none, specs, fits, "y").count() == 0
