@@ -9,7 +9,6 @@ or one vector of sums.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
@@ -55,9 +54,14 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 TABLED = 4096
 
 
-@lru_cache(maxsize=8)
+# plain tables: tasks get the kernels by value, and wrappers of functools travel by name only
+_FACTORIALS: dict[int, np.ndarray] = {}
+
+
 def log_factorials(n: int) -> np.ndarray:
-    return log_gamma(np.arange(n) + 1.0)
+    if n not in _FACTORIALS:
+        _FACTORIALS[n] = log_gamma(np.arange(n) + 1.0)
+    return _FACTORIALS[n]
 
 
 def count_mean(eta: np.ndarray) -> np.ndarray:
@@ -71,10 +75,16 @@ HUGE = 1e100
 HELD = 4
 
 
-@lru_cache(maxsize=4096)
+_USED: dict[tuple, tuple[frozenset, bool]] = {}
+
+
 def used_columns(columns) -> tuple[frozenset, bool]:
     """The base columns behind these products, and whether all are of three columns at most."""
-    return frozenset(i for idx in columns for i in idx), all(len(idx) <= 3 for idx in columns)
+    if columns not in _USED:
+        if len(_USED) >= 4096:
+            _USED.clear()
+        _USED[columns] = frozenset(i for idx in columns for i in idx), all(len(idx) <= 3 for idx in columns)
+    return _USED[columns]
 
 
 def products(columns, base, n: int) -> np.ndarray:

@@ -1,10 +1,15 @@
 """Fits against numpy and MLlib, splits, diagnostics."""
 
+import ast
 import math
+import os
+import subprocess
+import sys
 from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
@@ -512,3 +517,25 @@ def test_areas_with_one_class_or_no_rows(spark):
     assert [r["auc"] for r in fits_module.model_areas(design, specs, fits, "y").collect()] == [None]
     none = replace(design, table=design.table.filter("x0 < 0"))
     assert fits_module.model_areas(none, specs, fits, "y").count() == 0
+
+
+def test_kernels_travel_by_value(tmp_path):
+    """A worker that cannot import the package gets all that the models need."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=40), rng.integers(0, 3, 40).astype(float)
+    models = [kind(["1", "x"], [(), (0,)], "y") for kind in fits_module.FITTERS["hurdle"].values()]
+    for m in models:
+        for _ in range(2):
+            m.advance(m.local(Block([x], {"y": y})))
+    code = "import sys; from pyspark import cloudpickle; f, a = cloudpickle.loads(sys.stdin.buffer.read()); print(repr([v.tolist() for v in f(*a)]))"
+
+    def sums(block, some, x, y):
+        return [m.local(block([x], {"y": y})) for m in some]
+
+    sent = cloudpickle.dumps((sums, (Block, models, x, y)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=sent, cwd=tmp_path, env=env, capture_output=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    got = ast.literal_eval(done.stdout.decode())
+    for a, b in zip(got, sums(Block, models, x, y)):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
